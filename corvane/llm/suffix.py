@@ -22,7 +22,7 @@ from . import exchange as ex
 from . import textkit as tk
 
 K = 16
-PART_BYTES = 4 << 20
+SORT_BYTES = 2 << 20  # of text for each part that is sorted; key parts are larger
 _LAST = np.iinfo(np.int64).max
 _SEGMENTS = pa.schema([("g", pa.int32()), ("p", pa.int32()), ("n", pa.int32()), ("lengths", pa.binary()), ("docs", pa.binary()), ("bytes", pa.binary())])
 
@@ -39,8 +39,8 @@ def _sort_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in order of their first ``depth`` bytes, by 8 bytes at a time; only ties go on."""
     padded = np.concatenate((text, np.zeros(depth + 16, np.uint8)))
     order = at.copy()
-    tied = np.arange(len(at))
-    group = np.zeros(len(at), np.int64)
+    tied = np.arange(len(at), dtype=at.dtype)
+    group = np.zeros(len(at), at.dtype)
     for step in range(0, depth, 8):
         if not len(tied):
             break
@@ -50,7 +50,7 @@ def _sort_directly(text: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
         key, group = key[o], group[o]
         new = np.ones(len(tied), bool)
         new[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        group = np.cumsum(new)
+        group = np.cumsum(new, dtype=at.dtype)
         alone = new & np.append(new[1:], True)
         tied, group = tied[~alone], group[~alone]
     return order
@@ -63,19 +63,17 @@ def two_stage_suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     order: the predecessor of a scanned suffix, where it is larger than its successor, takes the next free place at the front of its bucket.
     """
     n = len(text)
+    place = np.int32 if n < 1 << 31 else np.int64
     if not n:
-        return np.zeros(0, np.int64)
-    step = np.empty(n, np.int16)
-    step[:-1] = text[1:].astype(np.int16) - text[:-1]
-    step[-1] = -1  # the empty suffix is smaller than any
-    follow = np.where(step != 0, np.arange(n), n)
-    follow = np.minimum.accumulate(follow[::-1])[::-1]
-    rising = step[follow] > 0
+        return np.zeros(0, place)
+    change = np.append(np.flatnonzero(text[1:] != text[:-1]), n - 1)  # the empty suffix is smaller than any
+    rises = np.append(text[change[:-1] + 1] > text[change[:-1]], False)
+    rising = np.repeat(rises, np.diff(change, prepend=-1))
     counts = np.bincount(text, minlength=256)
     start = np.concatenate(([0], np.cumsum(counts)))
     falling = np.bincount(text[~rising], minlength=256)
-    order = np.empty(n, np.int64)
-    direct = _sort_directly(text, np.flatnonzero(rising), depth)
+    order = np.empty(n, place)
+    direct = _sort_directly(text, np.flatnonzero(rising).astype(place), depth)
     at = np.concatenate(([0], np.cumsum(counts - falling)))
     free = start[:-1].copy()
     order[free[text[-1]]] = n - 1
@@ -122,7 +120,7 @@ def smallest_owner(segments: list[bytes], owners: np.ndarray, length: int) -> li
     text = np.frombuffer(b"\xff".join(segments) + b"\xff", np.uint8) + np.uint8(1)  # UTF-8 has no 0xFF: it becomes 0
     at = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
     windows = np.maximum(0, sizes - length + 1)
-    owner = np.full(len(text), -1, np.int64)
+    owner = np.full(len(text), -1, np.int32)
     owner[tk.ranges(at, windows)] = np.repeat(np.arange(len(segments)), windows)
     order = two_stage_suffix_array(text, length)
     order = order[owner[order] >= 0]
@@ -165,7 +163,7 @@ class _Runs:
             at, size = at[ok[at]], size[ok[at]]
             starts.append(at + self.off[first])
             counts.append(size)
-            keys.append(low[at])
+            keys.append(tk.mix(low[at]))  # minima crowd at the small end of the hash space: spread them over the parts again
             hashes.append(tk.span_hashes(data, at, at + size + length - 1))
             docs.append(first + np.searchsorted(off, at, side="right") - 1)
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
@@ -306,9 +304,10 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
         raise ValueError(f"length must be at least {K + 8}")
     tk.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    grouped, parts, _ = ex.grouped(docs, "doc_id", "text", part_bytes=PART_BYTES)
+    grouped, parts, _ = ex.grouped(docs, "doc_id", "text")
+    sorts = parts * (ex.PART_BYTES // SORT_BYTES)
     shared = ex.merge(grouped.groupBy("g").applyInArrow(_ask(length, parts), ex.ASK), _shared, np.uint8)
-    segments = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_segments(length, parts), "g int, p int, n int, lengths binary, docs binary, bytes binary")
+    segments = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_segments(length, sorts), "g int, p int, n int, lengths binary, docs binary, bytes binary")
     found = segments.groupBy("p").applyInArrow(_sort_part(length), ex.REPLY)
     replies = shared.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
     return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_apply(length, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if texts else 'binary'}")
