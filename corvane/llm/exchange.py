@@ -34,10 +34,10 @@ PART_BYTES = 16 << 20
 LEAST = 256
 
 
-def grouped(docs: DataFrame, *columns: str, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int, int]:
+def grouped(docs: DataFrame, *columns: str, part_bytes: int = PART_BYTES, group_bytes: int = GROUP_BYTES, least: int = LEAST) -> tuple[DataFrame, int, int]:
     """(g, columns...), and the numbers of hash parts and of groups for this many bytes of text. Reads the text column once."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    groups = max(LEAST, total // GROUP_BYTES)
+    groups = max(least, total // group_bytes)
     parts = max(8, total // part_bytes)
     return docs.select(group_of(groups), *columns), int(parts), int(groups)
 
