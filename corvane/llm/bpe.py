@@ -132,7 +132,8 @@ class _Chunks:
                 continue
             cut = np.zeros(n + 1, bool)
             at = np.flatnonzero((data[:-1] == 32) | (data[:-1] == 10)) + 1
-            at = at[at >= ROLL]
+            # the hashed bytes are the document's own, or cuts would depend on what stands before it in the block
+            at = at[at - off[np.searchsorted(off, at, side="right") - 1] >= ROLL]
             at = at[~np.isin(data[at], [32, 9, 10, 11, 12, 13])]
             # one candidate in so many, so that chunks have about MEAN_CHUNK bytes; words have about six
             cut[at[tk.span_hashes(data, at - ROLL, at) % tk.U(MEAN_CHUNK // 6) == 0]] = True
