@@ -1,9 +1,13 @@
 """All queries of the library itself and their SQL counterparts."""
 
+from __future__ import annotations
+
+from corvane.plans import queries as plans
+
 
 def queries() -> dict:
-    return {}
+    return dict(plans.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(plans.SQL)
