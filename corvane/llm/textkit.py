@@ -7,15 +7,14 @@ which bounds the temporary arrays whatever the batch Spark hands over.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+from corvane.runtime import ship  # noqa: F401
+
 BLOCK = 1 << 20
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 mod 8
@@ -212,21 +211,3 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 def to_strings(parts: list[bytes | None]) -> pa.Array:
     return pa.array(parts, pa.binary()).cast(pa.string())
-
-
-def ship(spark) -> None:
-    """Send this package to the executors once a session, so that workers can import it wherever they run."""
-    sc = spark.sparkContext
-    if getattr(sc, "_corvane_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    folder = tempfile.mkdtemp()
-    path = os.path.join(folder, "corvane_pkg.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for top, _, names in os.walk(root):
-            for name in names:
-                if name.endswith(".py"):
-                    full = os.path.join(top, name)
-                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    sc._corvane_shipped = True
