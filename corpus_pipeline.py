@@ -15,11 +15,6 @@ from corvane.llm.storage import table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The documents that texts (doc_id, text) has, with its texts."""
-    return docs.drop("text", "n_chars").join(texts, "doc_id").select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
-
-
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model rejects go; lang becomes the predicted one."""
     found = langid.predict(docs, langid.train(docs), keep=["doc_id", "text", "source", "n_chars"])
@@ -27,21 +22,23 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more the one with the smallest doc_id stays."""
+    """Of documents linked by five-word shingles at a similarity of 0.8 or more the one with the smallest doc_id stays.
+
+    Rows that repeat a doc_id are one document; rows without a doc_id cannot be told apart and go.
+    """
     found = jaccard.jaccard_components(docs, n=5, num=4, den=5)
     return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that an earlier document has are cut; documents of which nothing is left go."""
-    found = suffix.remove_repeats(docs, length=50)
-    return _with_text(docs, found.where("length(kept) > 0").select("doc_id", F.col("kept").alias("text")))
+    found = suffix.remove_repeats(docs, length=50, keep=("lang", "source")).where("length(kept) > 0")
+    return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of ten words of the benchmark go."""
-    clean = decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10, drop="documents")
-    return docs.join(clean.select("doc_id"), "doc_id", "left_semi").select(*COLUMNS)
+    return decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10, drop="documents", keep=COLUMNS[2:])
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

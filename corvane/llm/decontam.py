@@ -21,7 +21,6 @@ from . import textkit as tk
 BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 20
 
-_STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("hits", pa.binary()), ("items", pa.list_(pa.string()))])
 STATE = "doc_id long, text string, n_words long, hits binary, items array<string>"
 
 
@@ -86,10 +85,10 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
         yield block
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, n_words, hits, items) for every row of documents.
 
-    docs: doc_id long, text string; benchmark: item_id, text; other columns are ignored. Words are runs of digits, a-z
+    docs: doc_id long, text string, and the columns named by keep, which are carried along as __0, __1 and so on; benchmark: item_id, text. Words are runs of digits, a-z
     and non-ASCII characters of the lower-cased text; a window is n consecutive words of an item, or all of a shorter
     one. hits: packed bits, one for each word inside an occurring window (null: none); items: the item_ids with
     occurring windows, sorted as strings. Null and empty texts have no words and no hits. Repeated rows are judged
@@ -97,7 +96,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
     """
     spark = docs.sparkSession
     tk.ship(spark)
-    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"))
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)])
+    ddl = STATE + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields[5:])
     for block in itertools.chain(_blocks(benchmark), [[]]) if benchmark.isEmpty() else _blocks(benchmark):
         known = spark.sparkContext.broadcast(WindowSet(block, n))
 
@@ -105,7 +105,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
             for batch in batches:
                 yield _scan(batch, known.value)
 
-        state = state.mapInArrow(run, STATE)
+        state = state.mapInArrow(run, ddl)
     return state
 
 
@@ -126,7 +126,7 @@ def _scan(batch: pa.RecordBatch, known: WindowSet) -> pa.RecordBatch:
             hits[first + d] = np.packbits(bits).tobytes()
             items[first + d] = sorted({*items[first + d], *found})
     n = pa.array(np.concatenate(counts) if counts else [], pa.int64())
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), n, pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string()))], schema=_STATE)
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), n, pa.array(hits, pa.binary()), pa.array(items, pa.list_(pa.string())), *batch.columns[5:]], names=batch.schema.names)
 
 
 def leak_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame:
@@ -137,14 +137,14 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame
     return found.select("doc_id", "n_words", F.when(F.col("hits").isNull(), F.lit(0).cast("long")).otherwise(bits).alias("n_hit"), "items")
 
 
-def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop: str = "spans") -> DataFrame:
-    """(doc_id, text): the documents that hit nothing as they are, and of the others what is left.
+def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop: str = "spans", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, kept columns): the documents that hit nothing as they are, and of the others what is left.
 
     drop: "spans" cuts each run of hit words from its first to its last byte; "documents" leaves the document out.
     """
-    found = find_leaks(docs, benchmark, n)
+    found = find_leaks(docs, benchmark, n, keep)
     if drop == "documents":
-        return found.where("hits is null").select("doc_id", "text")
+        return found.where("hits is null").select("doc_id", "text", *found.columns[5:]).toDF("doc_id", "text", *keep)
 
     def run(batches):
         for batch in batches:
@@ -162,6 +162,6 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop: str =
                     out.append(raw[at : words.start[a]])
                     at = words.end[b - 1]
                 text[d] = b"".join([*out, raw[at:]]).decode()
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string())], names=["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string()), *batch.columns[5:]], names=["doc_id", "text", *batch.schema.names[5:]])
 
-    return found.mapInArrow(run, "doc_id long, text string")
+    return found.mapInArrow(run, "doc_id long, text string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[5:])).toDF("doc_id", "text", *keep)

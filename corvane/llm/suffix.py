@@ -243,12 +243,12 @@ def _sort_part(length: int):
     return run
 
 
-def _apply(length: int, texts: bool):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept", pa.string() if texts else pa.binary())])
+def _apply(length: int, texts: bool, keep: tuple[str, ...]):
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep]
 
     def run(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return schema.empty_table()
+            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string() if texts else pa.binary())] + [table[c].combine_chunks() for c in keep], names=names)
         runs = _Runs(table, length)
         kind = replies["kind"].to_numpy()
         runs.keep(ex.answers(replies.filter(pa.array(kind == 0)), np.uint8))
@@ -277,7 +277,7 @@ def _apply(length: int, texts: bool):
         kept = runs.data[~removed].tobytes()
         parts = [kept[a:b] for a, b in zip(kept_at[:-1], kept_at[1:])]
         out = pa.array([p if v else None for p, v in zip(parts, table["text"].is_valid().to_pylist())], pa.binary()).cast(pa.string()) if texts else pa.array([hashlib.sha256(p).digest() for p in parts], pa.binary())
-        return pa.Table.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(runs.off)), pa.array(np.diff(total[runs.off]), pa.int64()), pa.array(np.diff(spans[runs.off]), pa.int64()), out], schema=schema)
+        return pa.Table.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(runs.off)), pa.array(np.diff(total[runs.off]), pa.int64()), pa.array(np.diff(spans[runs.off]), pa.int64()), out, *(table[c].combine_chunks() for c in keep)], names=names)
 
     return run
 
@@ -291,10 +291,10 @@ def whole_characters(data: np.ndarray, removed: np.ndarray) -> np.ndarray:
     return ~kept[number] if len(number) else removed
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row of documents.
 
-    docs: doc_id long, text string; other columns are ignored. Each byte goes that is covered by a string of ``length``
+    docs: doc_id long, text string; of other columns those named by keep are carried along. Each byte goes that is covered by a string of ``length``
     bytes which also starts in a document of a smaller doc_id, judged on the input; matches never cross documents.
     texts: kept is the text without them, where a character goes only if all its bytes do; else kept is the SHA-256 of
     the bytes left, and any byte can go. A null text is empty (kept null if texts); a null doc_id counts as larger than
@@ -303,11 +303,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True) -> Dat
     if length < K + 8:
         raise ValueError(f"length must be at least {K + 8}")
     tk.ship(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)])
+    carried = tuple(docs.columns[2:])
     grouped, parts, _ = ex.grouped(docs, "doc_id", "text")
+    whole = ex.grouped(docs, *docs.columns)[0] if keep else grouped
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
     sorts = parts * (ex.PART_BYTES // SORT_BYTES)
     shared = ex.merge(grouped.groupBy("g").applyInArrow(_ask(length, parts), ex.ASK), _shared, np.uint8)
     segments = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_segments(length, sorts), "g int, p int, n int, lengths binary, docs binary, bytes binary")
     found = segments.groupBy("p").applyInArrow(_sort_part(length), ex.REPLY)
     replies = shared.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
-    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_apply(length, texts), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if texts else 'binary'}")
+    found = whole.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_apply(length, texts, carried), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if texts else 'binary'}{kept}")
+    return found.toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep)
