@@ -28,7 +28,7 @@ def read_notes(spark: SparkSession, root: str, pattern: str = "*.md", excluded:
 def pipe_table(notes: DataFrame, columns: list[str]) -> DataFrame:
     """(rel, columns...): rows of Markdown tables with that many cells, without header and rule lines."""
     lines = notes.select("rel", F.explode(F.split("content", "\r?\n")).alias("line")).where(F.ltrim("line").startswith("|"))
-    cells = F.transform(F.split(F.regexp_replace("line", "^\\s*\\|\\s*|\\s*\\|\\s*$", ""), "(?<!\\\\)\\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace("line", "^\\s*\\|\\s*|\\s*\\|\\s*$", ""), "(?<!\\\\)\\|"), lambda x: F.trim(x))
     rows = lines.select("rel", cells.alias("c")).where(F.size("c") == len(columns)).where(~F.forall("c", lambda x: x.rlike("^:?-+:?$")))
     named = rows.select("rel", *[F.col("c")[i].alias(c) for i, c in enumerate(columns)])
     return named.where(F.lower(columns[0]) != columns[0].lower())
