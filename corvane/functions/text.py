@@ -21,15 +21,15 @@ def index_tokens(text: Column) -> Column:
     runs = F.regexp_extract_all(low, F.lit(f"({CJK}+)"), 1)
 
     def word(w: Column) -> Column:
-        parts = F.split(w, "[._\\-]+")
-        return F.concat(F.array(w), F.when(F.size(parts) > 1, F.filter(parts, lambda p: (F.length(p) > 1) & (p != w))).otherwise(F.expr(EMPTY)))
+        parts = F.filter(F.split(w, "[._\\-]+"), lambda p: (F.length(p) > 1) & (p != w))
+        return F.when(w.rlike("[._\\-]"), F.concat(F.array(w), parts)).otherwise(F.array(w))  # splitting is dear, and few words have parts
 
     def run(r: Column) -> Column:
         halves = F.array(F.substring(r, 1, 2), F.substring(r, 3, 2))
         middle = F.when(F.length(r) == 4, halves).when(F.length(r) > 2, ngrams(r, 2)).otherwise(F.expr(EMPTY))
         return F.concat(F.array(r), middle, ngrams(r, 1))
 
-    return F.concat(F.flatten(F.transform(words, word)), F.flatten(F.transform(runs, run)))
+    return F.concat(F.flatten(F.transform(words, word)), F.when(low.rlike(CJK), F.flatten(F.transform(runs, run))).otherwise(F.expr(EMPTY)))
 
 
 def count_of(items: Column, item: str | Column) -> Column:
