@@ -20,8 +20,8 @@ from . import exchange as ex
 from . import textkit as tk
 
 ROLL = 16
-MEAN_CHUNK = 1024
-KNOWN_WORDS = 150_000
+MEAN_CHUNK = 2048
+KNOWN_WORDS = 300_000  # of either generation of the memory
 
 _IDS = pa.schema([("g", pa.int32()), ("p", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("data", pa.binary()), ("counts", pa.binary())])
 _IDS_DDL = "g int, p int, n int, keys binary, data binary, counts binary"
