@@ -9,6 +9,7 @@ again together; while that disagrees with the ids on both sides, the stretch gro
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 
 import numpy as np
@@ -49,36 +50,76 @@ class Codec:
         self.pieces = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(size)]
         self.numbers = [b"%d" % i for i in range(size)]
         self.plain = self.tokenizer.decoder is None
+        self.suffix = (getattr(self.tokenizer.model, "end_of_word_suffix", None) or "").encode()
+        self.ends = [bool(self.suffix) and p.endswith(self.suffix) for p in self.pieces]
+        self.marks = {m[0]: self._split_off(m) for m in (b".", b",", b";", b":", b"!", b"?")}
         self.young: dict[bytes, list[int]] = {}
         self.old: dict[bytes, list[int]] = {}
 
     def encode(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _split_off(self, mark: bytes) -> list[int] | None:
+        """The ids of a mark if the tokenizer always takes it for a word of its own after a letter, else None."""
+        split = self.tokenizer.pre_tokenizer and self.tokenizer.pre_tokenizer.pre_tokenize_str(f"ab{mark.decode()}")
+        return self.encode(mark.decode()) if split and [p for p, _ in split] == ["ab", mark.decode()] else None
+
+    def _learn_all(self, words: list[bytes]) -> None:
+        """Learn new words; one that ends in a mark after a letter is put together from the word without it."""
+        young, marks, alone, marked = self.young, self.marks, [], []
+        for w in words:
+            if len(w) > 1 and marks.get(w[-1]) is not None and (97 <= w[-2] <= 122 or 65 <= w[-2] <= 90):
+                marked.append(w)
+                if (stem := w[:-1]) not in young:
+                    if stem in self.old:
+                        young[stem] = self.old[stem]
+                    else:
+                        alone.append(stem)
+            else:
+                alone.append(w)
+        self._learn(list(dict.fromkeys(alone)))
+        for w in marked:
+            young[w] = young[w[:-1]] + marks[w[-1]]
+
     def _learn(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 4096):
-            part = words[i : i + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)):
+        """Encode new words. Those of letters only go together: if their text has as many word ends as words, each has one."""
+        single, letters = [], []
+        for w in words:
+            (letters if self.suffix and w.decode().isalpha() else single).append(w)
+        for i in range(0, len(letters), 256):
+            part, ends = letters[i : i + 256], self.ends
+            ids = self.tokenizer.encode_batch_fast([b" ".join(part).decode()], add_special_tokens=False)[0].ids
+            at = [k + 1 for k, x in enumerate(ids) if ends[x]]
+            if len(at) == len(part) and at[-1] == len(ids):
+                start = 0
+                for w, end in zip(part, at):
+                    self.young[w] = ids[start:end]
+                    start = end
+            else:
+                single += part
+        for i in range(0, len(single), 4096):
+            part = single[i : i + 4096]
+            for word, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)):
                 self.young[word] = e.ids
 
     def chunk(self, raw: bytes) -> list[int]:
         """The ids of a chunk. ASCII white space always separates words for the tokenizer, so a word is encoded once."""
         words = raw.split()
-        young, old, out = self.young, self.old, []
-        missing = [w for w in dict.fromkeys(words) if w not in young]
-        new = []
-        for w in missing:
-            if w in old:
-                young[w] = old[w]
-            else:
-                new.append(w)
-        if new:
-            self._learn(new)
-        for w in words:
-            out += young[w]
+        young, old = self.young, self.old
+        found = [young.get(w) for w in words]
+        if None in found:
+            new = []
+            for w in dict.fromkeys([w for w, x in zip(words, found) if x is None]):
+                if w in old:
+                    young[w] = old[w]
+                else:
+                    new.append(w)
+            if new:
+                self._learn_all(new)
+            found = [young[w] if x is None else x for w, x in zip(words, found)]
         if len(young) > KNOWN_WORDS:
             self.old, self.young = young, {}
-        return out
+        return list(itertools.chain.from_iterable(found))
 
     def join(self, left: bytes, right: bytes, left_ids: list[int], right_ids: list[int]) -> tuple[int, list[int], int]:
         """(n, ids, m): at the join the last n ids of the left and the first m of the right give way to ids.

@@ -109,6 +109,9 @@ def test_bpe_nasty_texts_and_join_repair(spark, nasty):
     assert got == want
     with open(queries.tokenizer_path(), "rb") as f:
         codec = bpe.Codec(f.read())
+    assert codec.marks[ord(".")] is not None
+    for word in ("end.", "end..", "a.b.", "it's.", "Zoë,", "É!", "x?!", "1.", "<|endoftext|>.", "a<|endoftext|", "ﬁ;", "don't:"):
+        assert codec.chunk(word.encode()) == codec.encode(word)
     left, right = b"some word in", b"side it all"  # a cut inside a word: the join has to be encoded again
     a, b = codec.chunk(left), codec.chunk(right)
     n, ids, m = codec.join(left, right, a, b)
