@@ -96,7 +96,7 @@ def streak_badge(days: Column) -> Column:
 def value_score(base: Column, text: Column, keywords: list[str]) -> Column:
     """How much a comment is worth keeping, in [0, 1]: length, keywords, and CJK explanation."""
     n = F.length(text)
-    hits = sum((F.contains(F.lower(text), F.lit(k)).cast("int") for k in keywords), F.lit(0))
+    hits = F.size(F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains(F.lower(text), k)))
     size = choose([(n >= 80, 0.12), (n >= 40, 0.06), (n < 15, -0.10)], 0.0)
     score = base + size + F.least(hits * 0.04, F.lit(0.15)) + F.when(text.rlike("[\\u4e00-\\u9fa5]"), 0.05).otherwise(0.0)
     return F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 2)

@@ -90,3 +90,81 @@ def suspicious_urls(rows: DataFrame) -> DataFrame:
     random = F.length("value").between(16, 64) & (classes >= 3) & (entropy(F.col("value")) >= 3.0) & ~F.col("host").isin(R.TRUSTED_HOSTS)
     reason = F.concat_ws("; ", F.when(named, "credential name"), F.when(random, "high-entropy value"))
     return rows.where(named | random).select("id", "url", F.when(named, F.col("name")).otherwise("<high-entropy-value>").alias("param"), reason.alias("reason"))
+
+
+def name_issues(notes: DataFrame) -> DataFrame:
+    """Issues of file names of notes (rel): illegal characters, spaces, language files, date prefixes, and drafts' forms in formal folders."""
+    name = F.substring_index("rel", "/", -1)
+    under = lambda *dirs: reduce(lambda a, d: a | F.col("rel").startswith(f"{d}/"), dirs, F.lit(False))
+    loose = under("99-Inbox", "10-Daily", "Templates", "11-Agents")
+    lang = F.get(F.split("rel", "/"), F.lit(1))
+    issue = lambda test, level, message: _issue(notes, test, level, "NAMING", message)
+    found = [
+        _issue(notes.select("rel", F.explode(F.split(name, "")).alias("c")), F.col("c").isin(*'<>:"|?*'), "ERROR", "NAMING", F.concat(F.lit("character "), F.col("c"))),
+        issue(name.contains(" ") & ~under("10-Daily", "Templates"), "WARN", "space"),
+        issue(under("99-Inbox") & (name != "README.md") & ~name.rlike("^\\d{4}-\\d{2}-\\d{2}-"), "WARN", "draft without date"),
+        issue(under("10-Daily") & (name != "README.md") & ~name.rlike("^\\d{4}-\\d{2}-\\d{2}"), "WARN", "daily without date"),
+        issue(~loose & name.rlike("^\\d{4}-\\d{2}-\\d{2}"), "ERROR", "dated name"),
+        issue(~loose & name.rlike("[（）]"), "ERROR", "full-width parentheses"),
+    ]
+    for kind in ("STANDARDS", "CHEATSHEET"):
+        wanted = F.concat(F.upper(lang), F.lit(f"-{kind}.md"))
+        off = F.lower(F.regexp_replace(name, "\\.[^.]*$", "")).contains(f"-{kind.lower()}") & (name != wanted) & (name != F.concat(lang, F.lit(f"-{kind}.md")))
+        found.append(issue(under("03-Languages") & (F.size(F.split("rel", "/")) >= 3) & off, "WARN", F.concat(F.lit("expected "), wanted)))
+    return reduce(DataFrame.unionByName, found)
+
+
+def pair_issues(pairs: DataFrame) -> DataFrame:
+    """(key, level, message) of pairs (key, left and right STRUCT<rel, content, numbers, updated, mtime>) of a long and a short form.
+
+    numbers are the section numbers of the second-level headings. One side missing, other counts, other numbers at a
+    place, a long form that changed later while they differ, and references that are missing.
+    """
+    side = lambda s, f: F.col(f"{s}.{f}")
+    stem = lambda s: F.regexp_replace(F.substring_index(side(s, "rel"), "/", -1), "\\.md$", "")
+    both = F.col("left").isNotNull() & F.col("right").isNotNull()
+    shorter = F.least(F.size(side("left", "numbers")), F.size(side("right", "numbers")))
+    differ = F.filter(F.transform(F.arrays_zip(F.slice(side("left", "numbers"), F.lit(1), shorter), F.slice(side("right", "numbers"), F.lit(1), shorter)), lambda z, i: F.struct((i + 1).alias("at"), z["0"].eqNullSafe(z["1"]).alias("same"))), lambda x: ~x["same"])
+    counts = F.size(side("left", "numbers")) != F.size(side("right", "numbers"))
+    later = (F.unix_timestamp(side("left", "mtime")) - F.unix_timestamp(side("right", "mtime")) > 300) | F.coalesce(side("left", "updated") > side("right", "updated"), F.lit(False))
+    entry = lambda test, level, m: F.when(test, F.array(F.struct(F.lit(level).alias("level"), (F.lit(m) if isinstance(m, str) else m).alias("message"))))
+    found = [
+        entry(F.col("right").isNull(), "WARN", "no short form"), entry(F.col("left").isNull(), "WARN", "no long form"),
+        entry(both & counts, "ERROR", "section count"),
+        F.when(both, F.transform(differ, lambda x: F.struct(F.lit("ERROR").alias("level"), F.concat(F.lit("section number at "), x["at"].cast("string")).alias("message")))),
+        entry(both & later & (counts | (F.size(differ) > 0)), "WARN", "drift"),
+        entry(both & ~F.contains(side("right", "content"), stem("left")), "WARN", "short form does not name the long form"),
+        entry(both & ~F.contains(side("left", "content"), stem("right")), "WARN", "long form does not name the short form"),
+    ]
+    none = F.slice(F.array(F.struct(F.lit("").alias("level"), F.lit("").alias("message"))), 2, 1)
+    return pairs.select("key", F.explode(F.concat(*[F.coalesce(f, none) for f in found])).alias("x")).select("key", "x.*")
+
+
+def entry_states(entries: DataFrame, truth: DataFrame) -> DataFrame:
+    """(rel, state) of entries (rel, content BINARY or null, link BOOLEAN) against one true file (content): missing, symlink, copy or mismatch."""
+    one = truth.select(F.sha2("content", 256).alias("digest"))
+    rows = entries.join(one, F.lit(True), "left")  # one row beside each
+    state = R.choose([(F.col("content").isNull(), "missing"), (~F.sha2("content", 256).eqNullSafe(F.col("digest")), "mismatch"), (F.col("link"), "symlink")], "copy")
+    return rows.select("rel", state.alias("state"))
+
+
+def first_with(lines: DataFrame, words: list[str]) -> DataFrame:
+    """(rel, line_no, word): the first line of each note that has one of the words, such as old folder names."""
+    hits = F.filter(F.array(*map(F.lit, words)), lambda w: F.contains("line", w))
+    return lines.where(F.size(hits) > 0).groupBy("rel").agg(F.min(F.struct("line_no", F.get(hits, F.lit(0)).alias("word"))).alias("m")).select("rel", "m.line_no", "m.word")
+
+
+def sizes(notes: DataFrame, most: int = 10240) -> DataFrame:
+    """(rel, bytes, percent, ok) of notes (rel, content) against a limit in bytes."""
+    n = F.octet_length("content")
+    return notes.select("rel", n.cast("long").alias("bytes"), F.round(n * 100.0 / most, 1).alias("percent"), (n <= most).alias("ok"))
+
+
+def unregistered(registry: DataFrame, installed: DataFrame) -> DataFrame:
+    """(name) of a registry that are not installed."""
+    return registry.select("name").distinct().join(installed.select("name").distinct(), "name", "left_anti")
+
+
+def healthy(results: DataFrame, advisory: list[str]) -> DataFrame:
+    """One row (healthy): whether all checks (name, ok) but the advisory ones hold; with none it is true."""
+    return results.where(~F.col("name").isin(advisory)).agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias("healthy"))
