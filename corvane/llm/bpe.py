@@ -313,10 +313,10 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
         content = spark.sparkContext.broadcast(f.read())
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     grouped, parts, _ = ex.grouped(docs, "doc_id", "text")
-    asks = grouped.groupBy("g").applyInArrow(_ask(parts), ex.ASK)
+    asks = grouped.groupBy("g").applyInArrow(tk.tidy(_ask(parts)), ex.ASK)
     codes = ex.merge(asks, _owner)
-    encoded = grouped.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(_encode_owned(parts, path, content), _IDS_DDL)
-    sent = asks.groupBy("p").cogroup(encoded.groupBy("p")).applyInArrow(_deliver, _IDS_DDL)
+    encoded = grouped.groupBy("g").cogroup(codes.groupBy("g")).applyInArrow(tk.tidy(_encode_owned(parts, path, content)), _IDS_DDL)
+    sent = asks.groupBy("p").cogroup(encoded.groupBy("p")).applyInArrow(tk.tidy(_deliver), _IDS_DDL)
     replies = codes.select("g", "p", "data", F.lit(None).cast("binary").alias("counts"), F.lit(0).alias("kind")).unionByName(sent.select("g", "p", "data", "counts", F.lit(1).alias("kind")))
     ddl = "doc_id long, n_tokens long, " + ("ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string")
-    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_assemble(path, content, digests), ddl)
+    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(tk.tidy(_assemble(path, content, digests)), ddl)

@@ -90,7 +90,7 @@ def merge(asks: DataFrame, combine: Callable[[np.ndarray, np.ndarray | None, np.
         at = np.concatenate(([0], np.cumsum(sizes)))
         return reply_table(table, [answer[at[i] : at[i + 1]] for i in range(len(sizes))])
 
-    return asks.groupBy("p").applyInArrow(part, REPLY)
+    return asks.groupBy("p").applyInArrow(tk.tidy(part), REPLY)
 
 
 def answers(replies: pa.Table, dtype) -> np.ndarray:

@@ -74,7 +74,7 @@ def _element_counts(docs: DataFrame, reps: DataFrame, n: int, parts: int) -> Dat
         keys, counts = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
         return ex.ask_table(g, keys, counts.astype(np.uint32), parts)
 
-    asks = docs.groupBy("g").cogroup(reps.groupBy("g")).applyInArrow(ask, ex.ASK)
+    asks = docs.groupBy("g").cogroup(reps.groupBy("g")).applyInArrow(tk.tidy(ask), ex.ASK)
 
     def count(index, pay, _):
         return np.bincount(index, weights=pay).astype(np.uint32)[index]
@@ -113,7 +113,7 @@ def _candidates(docs: DataFrame, reps: DataFrame, replies: DataFrame, n: int, nu
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "n", "elements", "n_first", "scan", "blob"])
 
     right = reps.select("g", F.lit(-1).alias("p"), F.lit(0).alias("n"), F.lit(None).cast("binary").alias("data"), "doc_id").unionByName(replies.withColumn("doc_id", F.lit(None).cast("long")))
-    return docs.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(collect, _SETS)
+    return docs.groupBy("g").cogroup(right.groupBy("g")).applyInArrow(tk.tidy(collect), _SETS)
 
 
 def boundary(sets: DataFrame) -> int:
@@ -196,7 +196,7 @@ def links(docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataF
     dealt = members.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "doc_id")
     tasks = dealt.join(sets.select("doc_id", "blob"), "doc_id")
-    return tasks.groupBy("hub", "lower", "upper").applyInArrow(_verify(num, den), "a long, b long")
+    return tasks.groupBy("hub", "lower", "upper").applyInArrow(tk.tidy(_verify(num, den)), "a long, b long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:

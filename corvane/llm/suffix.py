@@ -309,9 +309,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True, keep:
     whole = ex.grouped(docs, *docs.columns)[0] if keep else grouped
     kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:])
     sorts = parts * (ex.PART_BYTES // SORT_BYTES)
-    shared = ex.merge(grouped.groupBy("g").applyInArrow(_ask(length, parts), ex.ASK), _shared, np.uint8)
-    segments = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(_segments(length, sorts), "g int, p int, n int, lengths binary, docs binary, bytes binary")
-    found = segments.groupBy("p").applyInArrow(_sort_part(length), ex.REPLY)
+    shared = ex.merge(grouped.groupBy("g").applyInArrow(tk.tidy(_ask(length, parts)), ex.ASK), _shared, np.uint8)
+    segments = grouped.groupBy("g").cogroup(shared.groupBy("g")).applyInArrow(tk.tidy(_segments(length, sorts)), "g int, p int, n int, lengths binary, docs binary, bytes binary")
+    found = segments.groupBy("p").applyInArrow(tk.tidy(_sort_part(length)), ex.REPLY)
     replies = shared.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
-    found = whole.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_apply(length, texts, carried), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if texts else 'binary'}{kept}")
+    found = whole.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(tk.tidy(_apply(length, texts, carried)), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if texts else 'binary'}{kept}")
     return found.toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep)

@@ -7,7 +7,8 @@ which bounds the temporary arrays whatever the batch Spark hands over.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +33,32 @@ ALNUM_WORDS = np.zeros(256, dtype=bool)
 ALNUM_WORDS[48:58] = ALNUM_WORDS[97:123] = ALNUM_WORDS[128:] = True
 
 
+def release() -> None:
+    """Give freed memory back to the system; a no-op where the C library has no such call."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def tidy(run: Callable) -> Callable:
+    """The same function of a group, or of two cogrouped ones, that releases memory when it is done.
+
+    Spark's Python workers live on between stages, and what numpy has freed stays with them otherwise, so a job of
+    several stages would need the sum of their peaks.
+    """
+
+    def done(*args):
+        try:
+            return run(*args)
+        finally:
+            release()
+
+    by_count = {1: lambda a: done(a), 2: lambda a, b: done(a, b), 3: lambda a, b, c: done(a, b, c)}
+    return by_count[run.__code__.co_argcount]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (multiply-xorshift), so that hash order is close to random."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
