@@ -50,6 +50,12 @@ def op4_lm_scoring(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
+    """As its SQL has it: common words only."""
+    return quality.judge(_read(spark, sf_dir, "documents"), other_words=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_whole_quality(spark, sf_dir):
+    """With the bin of other words; the SQL does not have it."""
     return quality.judge(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -77,7 +83,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_lm_scoring, op5_quality_rules, op6_substring_dedup, op7_bpe, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_lm_scoring, op5_quality_rules, op5_whole_quality, op6_substring_dedup, op7_bpe, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -225,6 +225,16 @@ def test_quality_base_measures(spark, texts):
         assert r.base_failed == (len(w) < 10 or 100 * len(covered) > 20 * len(w))
 
 
+def test_quality_rejects_texts_without_common_words(spark):
+    rng = random.Random(5)
+    rare = [f"{a}{b}{c}or" for a in "bdfgklmn" for b in "aeiou" for c in "rstvz"]
+    prose = lambda n, share: " ".join(rng.choice(quality.COMMON[:12]) if rng.random() < share else rng.choice(rare) for _ in range(n))
+    good = [(i, prose(1500, 0.2)) for i in range(40)]
+    bad = [(100, prose(300, 0.0)), (101, prose(3000, 0.0)), (102, prose(3000, 0.002))]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in [*good, *bad, (200, prose(60, 0.0))]], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality.judge(docs).collect() if not r.kept} == {100, 101, 102}
+
+
 OPERATORS = {
     "jaccard": jaccard.jaccard_components,
     "langid": lambda d: langid.predict(d, langid.train(d)),
