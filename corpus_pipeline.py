@@ -22,12 +22,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by five-word shingles at a similarity of 0.8 or more the one with the smallest doc_id stays.
+    """Of rows linked by five-word shingles at a similarity of 0.8 or more one stays: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document; rows without a doc_id cannot be told apart and go.
+    Every row counts for itself, by a key of its own: rows without a doc_id come last in that order, and of rows
+    that repeat a doc_id those stay that are linked to nothing before them.
     """
-    found = jaccard.jaccard_components(docs, n=5, num=4, den=5)
-    return docs.join(found.where("doc_id = component_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+    rows = table(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()))
+    found = jaccard.jaccard_components(rows.select(F.col("row").alias("doc_id"), "text"), n=5, num=4, den=5)
+    order = F.struct(F.col("own").isNull().alias("none"), "own", "row")
+    first = found.withColumnRenamed("doc_id", "row").join(rows.select("row", F.col("doc_id").alias("own")), "row").groupBy("component_id").agg(F.min(order).alias("first"))
+    return rows.join(first.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,14 +150,12 @@ def _signatures(sets: DataFrame, last_small: int, num: int, den: int) -> DataFra
 def _verify(num: int, den: int):
     def run(key: tuple, members: pa.Table) -> pa.Table:
         lower, upper = key[1].as_py(), key[2].as_py()
-        ids, first = np.unique(members["doc_id"].to_numpy(), return_index=True)
-        block = members["block"].to_numpy()[first]
-        blobs = members["blob"]
-        sets = [tk.unpack(blobs[int(i)].as_py(), np.uint64, delta=True) for i in first]
+        ids, block = members["doc_id"].to_numpy(), members["block"].to_numpy()
+        sets = [tk.unpack(x, np.uint64, delta=True) for x in members["blob"].to_pylist()]
         size = np.array([len(s) for s in sets])
         at = np.concatenate(([0], np.cumsum(size)))
         _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        comp = np.arange(len(ids))
+        comp = np.unique(ids, return_inverse=True)[1]  # sets of one doc_id belong together
         mark = np.zeros(int(flat.max()) + 1, bool)
         for i in range(len(ids)):
             other = (comp != comp[i]) & (size * den >= num * size[i]) & (size[i] * den >= num * size)
@@ -204,7 +202,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10)
 
     docs: doc_id long, text string; other columns are ignored. Two documents link when den * intersection >= num * union
     of their distinct n-word shingles; component_id is the smallest doc_id reachable by links. Nulls and texts without
-    words have n_shingles 0 and link with nothing. Rows that repeat a doc_id share its component; a null doc_id gets a
+    words have n_shingles 0 and link with nothing. Rows with words that repeat a doc_id share its component; a null doc_id gets a
     null component unless its text equals another's, whose component it then shares. An empty table gives an empty one.
     """
     tk.ship(docs.sparkSession)
@@ -212,6 +210,9 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10)
     prints = table(fingerprints(docs, n))
     classes = prints.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = classes.where(F.col("rep").isNotNull() & (F.col("n_shingles") * (den - num) >= num)).select(F.col("rep").alias("doc_id"))
-    found = components(links(docs, reps, n, num, den))
+    # rows that repeat a doc_id are one node: classes that share one are linked
+    own = prints.join(classes, ["n_shingles", "f1", "f2"]).where("doc_id IS NOT NULL").select("doc_id", "rep").distinct()
+    same = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count("*").alias("m")).where("m > 1"), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    found = components(links(docs, reps, n, num, den).unionByName(same))
     classes = classes.join(found, F.col("rep") == F.col("node"), "left").select("n_shingles", "f1", "f2", F.coalesce("root", "rep").alias("component_id"))
     return prints.join(classes, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

@@ -81,6 +81,27 @@ def test_jaccard_splits_large_hubs(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(texts, 3, 9, 10)
 
 
+def test_jaccard_keeps_all_texts_of_a_doc_id(spark):
+    one, two = ([f"{x}{i}" for i in range(60)] for x in "ab")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(5, " ".join(one)), (5, " ".join(two)), (7, near(one)), (8, near(two)), (9, " ".join(two)), (10, "quite another text")]
+    for docs in (rows, rows[::-1]):
+        found = jaccard.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        assert {(r.doc_id, r.component_id) for r in found} == {(5, 5), (7, 5), (8, 5), (9, 5), (10, 10)}
+
+
+def test_pipeline_keeps_one_row_of_each_group(spark, sf):
+    import corpus_pipeline as p
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(None, one), (None, two), (4, two), (5, three), (5, three), (6, "x " + three), (7, "x " + one + " y"), (7, "only under the same number as another row"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = sorted(((r.doc_id, r.text) for r in p.keep_one_of_each_group(spark, docs, sf).collect()), key=str)
+    assert kept == sorted([(4, two), (5, three), (7, rows[6][1]), (7, rows[7][1]), (None, None)], key=str)
+    alone = docs.where("doc_id IS NULL")
+    assert sorted(r.text for r in p.keep_one_of_each_group(spark, alone, sf).collect() if r.text) == [one, two]
+
+
 def test_language_id_held_out(spark, sf):
     truth = {r.doc_id: r.lang for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = queries.op2_language_id(spark, sf).collect()
