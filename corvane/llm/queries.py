@@ -64,6 +64,12 @@ def op6_substring_dedup(spark, sf_dir):
     return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.concat_ws(",", F.col("removed").cast("array<string>")), 256).alias("removed_sha256"))
 
 
+def op6_whole_passages(spark, sf_dir):
+    """Runs of 50 words too, wherever they begin; the SQL of op6_substring_dedup has whole sentences only."""
+    found = spans.remove_repeated_spans(_read(spark, sf_dir, "documents"), size=3, words=50)
+    return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.concat_ws(",", F.col("removed").cast("array<string>")), 256).alias("removed_sha256"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_bpe(spark, sf_dir):
     return bpe.encode_documents(_read(spark, sf_dir, "documents"), tokenizer_path(), digests=True)
 
@@ -83,7 +89,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_lm_scoring, op5_quality_rules, op5_whole_quality, op6_substring_dedup, op7_bpe, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_lm_scoring, op5_quality_rules, op5_whole_quality, op6_substring_dedup, op6_whole_passages, op7_bpe, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

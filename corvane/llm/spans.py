@@ -1,7 +1,8 @@
 """Substring dedup over sliding sentence spans.
 
 Every run of ``size`` consecutive sentences is hashed, runs are joined over the corpus through a key exchange
-(exchange.py), and sentences covered by a repeated run other than its first occurrence go.
+(exchange.py), and sentences covered by a repeated run other than its first occurrence go. With ``words`` every run of that many words is hashed too,
+wherever its sentences begin and end, and the words of repeated ones go.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ _LAST = np.iinfo(np.int64).max
 class _Sentences:
     """Sentences of a group: bytes where each begins, its document, and hashes of the spans."""
 
-    def __init__(self, table: pa.Table, size: int):
+    def __init__(self, table: pa.Table, size: int, n: int = 0):
         self.ids = table["doc_id"].combine_chunks().fill_null(_LAST).to_numpy()
         starts, docs, hashes = [], [], []
+        word_start, word_end, word_doc, word_sentence, run_at, run_index, runs = ([] for _ in range(7))
+        n_words = n_sentences = 0
         offsets = tk.utf8(table["text"])[1]
         for first, data, off in tk.blocks(table["text"]):
             data = tk.lower(data)
@@ -39,19 +42,34 @@ class _Sentences:
             new[1:] = (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1])
             at = np.flatnonzero(new)
             up, down = tk.powers(len(piece) + 1)
-            total = np.concatenate((np.zeros(1, np.uint64), (tk.span_hashes(data, words.start, words.end) * up[: len(piece)]).cumsum(dtype=np.uint64)))
+            own = tk.span_hashes(data, words.start, words.end)
+            total = np.concatenate((np.zeros(1, np.uint64), (own * up[: len(piece)]).cumsum(dtype=np.uint64)))
             end = np.append(at[1:], len(piece))
             starts.append(words.start[at] + offsets[first])
             docs.append(doc[at] + first)
             hashes.append(tk.mix((total[end] - total[at]) * down[at] + (end - at).astype(np.uint64)))
+            if n:
+                found = tk.ngram_hashes(own, n)
+                place = np.flatnonzero(tk.within(words.doc_off, n)[: len(found)])
+                run_at.append(place + n_words)
+                run_index.append(place - words.doc_off[doc[place]])
+                runs.append(found[place])
+                word_start.append(words.start + offsets[first])
+                word_end.append(words.end + offsets[first])
+                word_doc.append(doc + first)
+                word_sentence.append(np.cumsum(new) - 1 + n_sentences)
+                n_words += len(piece)
+                n_sentences += len(at)
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.start, self.doc = join(starts, np.int64), join(docs, np.int64)
         self.doc_off = np.searchsorted(self.doc, np.arange(len(self.ids) + 1))
         grams = tk.ngram_hashes(join(hashes, np.uint64), size)
         self.at = np.flatnonzero(tk.within(self.doc_off, size)[: len(grams)])
         self.index = self.at - self.doc_off[self.doc[self.at]]
-        self.keys, self.key = np.unique(grams[self.at], return_inverse=True)
-        owner = self.ids[self.doc[self.at]]
+        self.word_start, self.word_end, self.word_doc, self.word_sentence, self.run_at = (join(x, np.int64) for x in (word_start, word_end, word_doc, word_sentence, run_at))
+        self.index = np.concatenate((self.index, join(run_index, np.int64)))
+        self.keys, self.key = np.unique(np.concatenate((grams[self.at], join(runs, np.uint64))), return_inverse=True)
+        owner = self.ids[np.concatenate((self.doc[self.at], self.word_doc[self.run_at]))]
         order = np.lexsort((np.arange(len(owner)), self.index, owner, self.key))
         first = np.searchsorted(self.key[order], np.arange(len(self.keys)))
         self.first = order[first] if len(order) else order
@@ -61,9 +79,9 @@ class _Sentences:
 _FIRST = np.dtype([("doc", "<i8"), ("index", "<i8"), ("many", "<i8")])
 
 
-def _ask(size: int, parts: int):
+def _ask(size: int, n: int, parts: int):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        s = _Sentences(table, size)
+        s = _Sentences(table, size, n)
         pay = np.zeros(len(s.keys), _FIRST)
         pay["doc"], pay["index"] = s.owner[s.first], s.index[s.first]
         pay["many"] = np.bincount(s.key, minlength=len(s.keys)) > 1
@@ -81,25 +99,45 @@ def _repeated(index: np.ndarray, pay: np.ndarray, sender: np.ndarray) -> np.ndar
     return np.where(many[index], 1 + lead, 0).astype(np.uint8)
 
 
-def _apply(size: int):
+def _apply(size: int, n: int):
     schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("removed", pa.list_(pa.int64())), ("kept", pa.string())])
 
     def run(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
             return schema.empty_table()
-        s = _Sentences(table, size)
+        s = _Sentences(table, size, n)
         code = ex.answers(replies, np.uint8)
         gone = code[s.key] > 0 if len(s.key) else np.zeros(0, bool)
         gone[s.first[code == 2]] = False
         sentence = np.zeros(len(s.start) + 1, bool)
-        sentence[tk.ranges(s.at[gone], np.full(int(gone.sum()), size))] = True
+        first_at = s.at[gone[: len(s.at)]]
+        sentence[tk.ranges(first_at, np.full(len(first_at), size))] = True
         data, off = tk.utf8(table["text"])
+        if n:
+            edge = np.zeros(len(s.word_start) + 1, np.int64)
+            np.add.at(edge, s.run_at[gone[len(s.at) :]], 1)
+            np.add.at(edge, s.run_at[gone[len(s.at) :]] + n, -1)
+            word = edge.cumsum()[:-1] > 0
+            sentence[:-1] |= np.bincount(s.word_sentence, weights=~word, minlength=len(s.start)) == 0
+            end = s.word_end.copy()
+            on = np.flatnonzero(word[:-1] & word[1:] & (s.word_doc[:-1] == s.word_doc[1:]))
+            end[on] = s.word_start[on + 1]
+            cut = np.zeros(len(data) + 1, np.int64)
+            np.add.at(cut, s.word_start[word], 1)
+            np.add.at(cut, end[word], -1)
+            stays = cut.cumsum()[:-1] == 0
         raw, texts, removed = data.tobytes(), [], []
         valid = table["text"].is_valid().to_pylist()
         for d in range(len(off) - 1):
             a, b = s.doc_off[d], s.doc_off[d + 1]
             out = np.flatnonzero(sentence[a:b])
             removed.append(out)
+            if n and valid[d]:
+                whole = np.append(s.start[a:b], off[d + 1])
+                for i in out:
+                    stays[whole[i] : whole[i + 1]] = False
+                texts.append(data[off[d] : off[d + 1]][stays[off[d] : off[d + 1]]].tobytes())
+                continue
             if not valid[d] or not len(out):
                 texts.append(raw[off[d] : off[d + 1]] if valid[d] else None)
                 continue
@@ -110,7 +148,7 @@ def _apply(size: int):
     return run
 
 
-def remove_repeated_spans(docs: DataFrame, size: int = 3) -> DataFrame:
+def remove_repeated_spans(docs: DataFrame, size: int = 3, words: int = 0) -> DataFrame:
     """(doc_id, n_sentences, removed, kept) for every row of documents.
 
     docs: doc_id long, text string; other columns are ignored. A sentence is what stands between [.!?] and line feeds
@@ -118,9 +156,11 @@ def remove_repeated_spans(docs: DataFrame, size: int = 3) -> DataFrame:
     that are equal the first is the one with the smallest (doc_id, position); removed has the positions of sentences in
     any other, kept the text without them. Null and empty texts, and those of fewer sentences, stay as they are; a null
     doc_id counts as the largest; rows that repeat a doc_id are ordered by position, ties in any fixed order.
+    With words, the words of every run of so many equal ones but the first go too: a sentence of which all words go is in
+    removed, of any other only those words are cut from kept. What repeats itself without a break keeps one period.
     """
     tk.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     grouped, parts, _ = ex.grouped(docs, "doc_id", "text")
-    replies = ex.merge(grouped.groupBy("g").applyInArrow(_ask(size, parts), ex.ASK), _repeated, _FIRST)
-    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_apply(size), "doc_id long, n_sentences long, removed array<long>, kept string")
+    replies = ex.merge(grouped.groupBy("g").applyInArrow(_ask(size, words, parts), ex.ASK), _repeated, _FIRST)
+    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_apply(size, words), "doc_id long, n_sentences long, removed array<long>, kept string")

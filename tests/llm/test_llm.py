@@ -233,6 +233,15 @@ def test_spans_keep_the_first(spark):
     assert got[1] == ([], " ".join(s[:5])) and got[2] == ([1, 2, 3, 4], "Start here. End here.") and got[3][0] == [] and got[4] == ([], None) and got[None] == ([0, 1, 2], "")
 
 
+def test_spans_cut_passages_of_fifty_words(spark):
+    p = [f"p{i}" for i in range(51)]
+    rows = [(1, "Before one. " + " ".join(p) + ". After one."), (2, "Before two. " + " ".join(p[:25]) + ". " + " ".join(p[25:]) + ". Then two."), (3, "Before three goes on " + " ".join(p[:30]) + ". " + " ".join(p[30:]) + " and so on."), (4, "Some short " + " ".join(p[:49]) + " end."), (5, None), (6, "w " * 300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.removed, (r.kept or "").split()) for r in spans.remove_repeated_spans(docs, words=50).collect()}
+    assert got[1][1] == rows[0][1].split() and got[2] == ([1, 2], "Before two. Then two.".split())
+    assert got[3] == ([], "Before three goes on and so on.".split()) and got[4][1] == rows[3][1].split() and got[5] == ([], []) and got[6][1] == ["w"]
+
+
 def test_quality_base_measures(spark, texts):
     df = spark.createDataFrame([(i, t, "en") for i, t in texts.items()] + [(-1, None, None), (-2, "a b c d e " * 9, "en")], "doc_id long, text string, lang string")
     rows = {r.doc_id: r for r in quality.judge(df).collect()}
