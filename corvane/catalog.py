@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+from corvane.plans import health, vault  # noqa: F401  they register their queries
 from corvane.plans import queries as plans
-from corvane.plans import vault  # noqa: F401  registers its queries
 
 
 def queries() -> dict:
