@@ -41,13 +41,11 @@ class _Sentences:
             new = np.ones(len(piece), bool)
             new[1:] = (piece[1:] != piece[:-1]) | (doc[1:] != doc[:-1])
             at = np.flatnonzero(new)
-            up, down = tk.powers(len(piece) + 1)
             own = tk.span_hashes(data, words.start, words.end)
-            total = np.concatenate((np.zeros(1, np.uint64), (own * up[: len(piece)]).cumsum(dtype=np.uint64)))
-            end = np.append(at[1:], len(piece))
+            size_of = np.diff(np.append(at, len(piece)))
             starts.append(words.start[at] + offsets[first])
             docs.append(doc[at] + first)
-            hashes.append(tk.mix((total[end] - total[at]) * down[at] + (end - at).astype(np.uint64)))
+            hashes.append(tk.mix(tk.fold(own, size_of) + size_of.astype(np.uint64)))
             if n:
                 found = tk.ngram_hashes(own, n)
                 place = np.flatnonzero(tk.within(words.doc_off, n)[: len(found)])

@@ -18,8 +18,6 @@ from corvane.runtime import ship  # noqa: F401
 
 BLOCK = 1 << 20
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C13  # odd, 3 mod 8
-_BASE_INV = pow(_BASE, -1, 1 << 64)
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -42,14 +40,20 @@ def release() -> None:
         pass
 
 
-def tidy(run: Callable) -> Callable:
+#: What a kernel keeps in its worker between groups; a kernel that does not ask for it drops it.
+RESIDENT: dict[str, object] = {}
+
+
+def tidy(run: Callable, keeps: bool = False) -> Callable:
     """The same function of a group, or of two cogrouped ones, that releases memory when it is done.
 
     Spark's Python workers live on between stages, and what numpy has freed stays with them otherwise, so a job of
-    several stages would need the sum of their peaks.
+    several stages would need the sum of their peaks. keeps: what earlier kernels left in RESIDENT stays.
     """
 
     def done(*args):
+        if not keeps:
+            RESIDENT.clear()
         try:
             return run(*args)
         finally:
@@ -59,6 +63,22 @@ def tidy(run: Callable) -> Callable:
     return by_count[run.__code__.co_argcount]
 
 
+def tidy_map(run: Callable) -> Callable:
+    """The same function of an iterator of batches that releases memory after each and when it is done."""
+
+    def done(batches):
+        RESIDENT.clear()
+        try:
+            for out in run(batches):
+                yield out
+                del out
+                release()
+        finally:
+            release()
+
+    return done
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values (multiply-xorshift), so that hash order is close to random."""
     x = (x ^ (x >> U(30))) * U(0xBF58476D1CE4E5B9)
@@ -66,18 +86,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse, at least n of each."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(BLOCK + 64, n)
-        _powers[:] = [np.concatenate(([U(1)], np.full(size - 1, U(b)))).cumprod(dtype=np.uint64) for b in (_BASE, _BASE_INV)]
-    return _powers[0], _powers[1]
-
-
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and its n+1 offsets; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -143,16 +151,55 @@ def find_words(data: np.ndarray, off: np.ndarray, kind: np.ndarray) -> Words:
     return Words(start, end, np.searchsorted(start, off, side="left"))
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range, by differences of one polynomial prefix sum."""
-    n = len(data)
-    up, down = powers(n + 1)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[:n], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+_KEYS = mix(np.arange(101, 165, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F)) | U(1)
+_FANOUT = len(_KEYS)
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_NEAR = 64  # bytes of a span that are hashed one after the other
 
 
-_KEYS = mix(np.arange(101, 165, dtype=np.uint64) * U(0xC2B2AE3D27D4EB4F)) | U(1)
+def fold(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A hash of each of the consecutive runs of ``counts`` values, none of them empty.
+
+    A tree: values are mixed with the key of their place among 64, summed, and the sums are folded again. The mixing is
+    not linear, so no pattern of the input cancels out, as it does in polynomials modulo a power of two.
+    """
+    out, rows = np.zeros(len(counts), np.uint64), np.arange(len(counts))
+    while len(rows):
+        at = np.cumsum(counts) - counts
+        place = np.arange(len(values)) - np.repeat(at, counts)
+        values = mix((values ^ _KEYS[place % _FANOUT]) * U(0x9E3779B97F4A7C15))
+        values = mix(np.add.reduceat(values, np.flatnonzero(place % _FANOUT == 0)))
+        counts = -(-counts // _FANOUT)
+        done = counts == 1  # a run's levels depend on its own length alone
+        out[rows[done]] = values[(np.cumsum(counts) - counts)[done]]
+        values, rows, counts = values[np.repeat(~done, counts)], rows[~done], counts[~done]
+    return out
+
+
+def words8(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes at each position as a little-endian integer, with zeros behind the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    return np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0xD6E8FEB86659FD93) -> np.ndarray:
+    """A 64-bit hash of each byte range: 8 bytes at a time, and what is beyond 64 bytes by a tree. Another seed gives an independent one."""
+    loads, size = words8(data), (end - start).astype(np.int64)
+    total = mix((loads[start] & _MASK[np.minimum(size, 8)]) * U(0x9E3779B97F4A7C15) + (size.astype(np.uint64) + U(1)) * U(seed))
+    rest = np.flatnonzero(size > 8)
+    for j in range(8, _NEAR, 8):
+        if not len(rest):
+            return total
+        left = size[rest] - j
+        total[rest] = mix(total[rest] * U(seed) + (loads[start[rest] + j] & _MASK[np.minimum(left, 8)]))
+        rest = rest[left > 8]
+    if len(rest):
+        counts = -(-(size[rest] - _NEAR) // 8)
+        values = loads[ranges(start[rest] + _NEAR, counts, 8)]
+        last = np.cumsum(counts) - 1
+        values[last] &= _MASK[size[rest] - _NEAR - 8 * (counts - 1)]
+        total[rest] = mix(total[rest] * U(seed) + fold(mix(values + U(seed)), counts))
+    return total
 
 
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
@@ -222,17 +269,17 @@ def unpack(blob: bytes, dtype, delta: bool = False) -> np.ndarray:
     return values.cumsum(dtype=dtype) if delta else values
 
 
-def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """The concatenated indices start[i] .. start[i]+length[i]-1."""
+def ranges(start: np.ndarray, length: np.ndarray, step: int = 1) -> np.ndarray:
+    """The concatenated indices start[i], start[i]+step .. start[i]+step*(length[i]-1)."""
     total = int(length.sum())
-    out = np.ones(total, np.int64)
+    out = np.full(total, step, np.int64)
     if not total:
         return out
     keep = length > 0
     start, length = start[keep], length[keep]
     at = np.concatenate(([0], np.cumsum(length)[:-1]))
     out[at] = start
-    out[at[1:]] -= start[:-1] + length[:-1] - 1
+    out[at[1:]] -= start[:-1] + step * (length[:-1] - 1)
     return out.cumsum()
 
 

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corvane.llm import bpe, chat, decontam, jaccard, langid, lm, quality, queries, spans, suffix, urlfilter
@@ -130,6 +131,7 @@ def test_bpe_nasty_texts_and_join_repair(spark, nasty):
     assert got == want
     with open(queries.tokenizer_path(), "rb") as f:
         codec = bpe.Codec(f.read())
+    assert codec.separates()
     assert codec.marks[ord(".")] is not None
     for word in ("end.", "end..", "a.b.", "it's.", "Zoë,", "É!", "x?!", "1.", "<|endoftext|>.", "a<|endoftext|", "ﬁ;", "don't:"):
         assert codec.chunk(word.encode()) == codec.encode(word)
@@ -139,6 +141,47 @@ def test_bpe_nasty_texts_and_join_repair(spark, nasty):
     assert a[: len(a) - n] + ids + b[m:] == codec.encode((left + right).decode())
 
 
+def test_bpe_tells_texts_of_one_pattern_apart(spark):
+    """Thue-Morse strings, which collide in polynomial hashes modulo a power of two, as one word and as words."""
+    from tokenizers import Tokenizer
+
+    tok, line = Tokenizer.from_file(queries.tokenizer_path()), "a"
+    while len(line) < 4096:
+        line += line.translate({97: 98, 98: 97})
+    other = line.translate({97: 98, 98: 97})
+    texts = {i: t for i, t in enumerate((line, other, " ".join(line), " ".join(other), f"one {line} two", f"one {other} two", "x " + line[:2048] + " " + other[:2048]))}
+    for r in bpe.encode_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), queries.tokenizer_path()).collect():
+        want = tok.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert (r.ids, r.decoded) == (want, tok.decode(want, skip_special_tokens=False))
+
+
+def test_bpe_refuses_tokenizers_that_see_blanks(spark):
+    docs = spark.createDataFrame([(1, "a  b")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="white space"):
+        bpe.encode_documents(docs, queries.tokenizer_path("byte_bpe_50k.json"))
+
+
+def test_bpe_keeps_chunks_of_one_key_apart(spark, monkeypatch):
+    """With a first hash that says the same of all chunks and words, the second one and the bytes decide."""
+    from tokenizers import Tokenizer
+
+    from corvane.llm import textkit as tk
+
+    rng, tok, real = random.Random(3), Tokenizer.from_file(queries.tokenizer_path()), tk.span_hashes
+    texts = [" ".join("".join(rng.choices("abcde", k=rng.randrange(1, 7))) for _ in range(3000)) for _ in range(3)]
+    table = pa.table({"doc_id": [1, 2, 3, 4], "text": [*texts, texts[0]]})
+    calls = lambda data, start, end, seed=0: real(data, start, end, seed or 1) if seed == bpe._SECOND else real(data, start, end) % tk.U(7)
+    monkeypatch.setattr(tk, "span_hashes", calls)
+    with open(queries.tokenizer_path(), "rb") as f:
+        codec = bpe.Codec(f.read())
+    chunks = bpe._Chunks(table)
+    ids, counts = chunks.encode(codec, np.arange(len(chunks.keys)))
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for d, text in enumerate(table["text"].to_pylist()):
+        got = [i for k in chunks.key[chunks.doc_off[d] : chunks.doc_off[d + 1]] for i in ids[at[k] : at[k + 1]].tolist()]
+        assert got == tok.encode(text, add_special_tokens=False).ids
+
+
 def brute_repeats(texts, length=50):
     seen, out = {}, {}
     for i in sorted(texts):
