@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "[\\u4e00-\\u9fff]"
+_RUN = "(?<![a-z0-9])[a-z0-9]{2,}(?![a-z0-9])"  # a part of a word with separators, where one of them is beside it
 EMPTY = "cast(array() as array<string>)"
 
 
@@ -32,6 +35,30 @@ def index_tokens(text: Column) -> Column:
     return F.concat(F.flatten(F.transform(words, word)), F.when(low.rlike(CJK), F.flatten(F.transform(runs, run))).otherwise(F.expr(EMPTY)))
 
 
+def index_terms(text: Column) -> Column:
+    """The distinct index tokens. Words are made distinct first, so that only distinct ones with parts are taken apart."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    words = F.array_distinct(F.regexp_extract_all(low, F.lit("([a-z0-9_.\\-]+)"), 1))
+    parts = F.array_distinct(F.regexp_extract_all(low, F.lit(f"{_RUN}(?=[._\\-])|(?<=[._\\-]){_RUN}"), 0))
+    latin = F.array_distinct(F.concat(words, parts))
+    return F.when(low.rlike(CJK), F.array_distinct(index_tokens(text))).otherwise(latin)
+
+
+def token_count(text: Column) -> Column:
+    """How many index tokens a text has, by counting matches: words, and runs of two and more alphanumerics that are no whole words."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    of = lambda pattern: F.regexp_count(low, F.lit(pattern))
+    latin = of("[a-z0-9_.\\-]+") + of(f"{_RUN}(?=[._\\-])|(?<=[._\\-]){_RUN}")
+    return F.when(low.rlike(CJK), F.size(index_tokens(text))).otherwise(latin)
+
+
+def term_count(text: Column, term: str) -> Column:
+    """How often a text has an index token. Alphanumeric terms are counted where they stand alone or between separators."""
+    if not re.fullmatch("[a-z0-9]{2,}", term):
+        return count_of(index_tokens(text), term)
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))
+
+
 def count_of(items: Column, item: str | Column) -> Column:
     """How often an array holds an item."""
     return F.size(items) - F.size(F.array_remove(items, item))

@@ -15,24 +15,45 @@ def _issue(notes: DataFrame, test: Column, level: str, category: str, message: C
     return notes.where(test).select("rel", F.lit(level).alias("level"), F.lit(category).alias("category"), message.alias("message"))
 
 
+def _entry(level: str, category: str, message: Column | str) -> Column:
+    message = F.lit(message) if isinstance(message, str) else message
+    return F.struct(F.lit(level).alias("level"), F.lit(category).alias("category"), message.alias("message"))
+
+
+def _when(test: Column, level: str, category: str, message: Column | str) -> Column:
+    """An array of one issue if the test holds, else null."""
+    return F.when(test, F.array(_entry(level, category, message)))
+
+
+def _each(items: Column, test, level: str, category: str, message) -> Column:
+    """An issue for each item that a test holds for."""
+    return F.transform(F.filter(items, test), lambda x: _entry(level, category, message(x)))
+
+
+def _all(notes: DataFrame, found: list[Column]) -> DataFrame:
+    """The issues of every note in one pass over them; each rule is an array, and one without issues may be null."""
+    none = F.slice(F.array(_entry("", "", "")), 2, 1)
+    return notes.select("rel", F.explode(F.concat(*[F.coalesce(f, none) for f in found])).alias("x")).select("rel", "x.*")
+
+
 def note_issues(notes: DataFrame) -> DataFrame:
     """Issues of notes (rel, fields MAP, tags ARRAY, audience ARRAY): missing fields, illegal values, tag form, dates, names."""
     value = lambda f: F.element_at("fields", f)
     blank = lambda c: c.isNull() | (F.trim(c) == "")
     name = F.substring_index("rel", "/", -1)
-    wild = lambda a: notes.select("rel", F.explode(a).alias("x"))
-    found = [_issue(notes, blank(value(f)), "ERROR", "FRONTMATTER", f"missing {f}") for f in R.REQUIRED_FIELDS]
-    found += [
-        _issue(notes, ~blank(value("status")) & ~value("status").isin(R.STATUSES), "ERROR", "FRONTMATTER", F.concat(F.lit("status "), value("status"))),
-        _issue(notes, ~blank(value("type")) & ~value("type").isin(R.TYPES), "WARN", "FRONTMATTER", F.concat(F.lit("type "), value("type"))),
-        _issue(wild("audience"), ~F.col("x").isin(R.AUDIENCES), "WARN", "FRONTMATTER", F.concat(F.lit("audience "), F.col("x"))),
-        _issue(wild("tags"), ~F.contains("x", F.lit("/")), "WARN", "TAG", F.concat(F.lit("tag form "), F.col("x"))),
-        _issue(wild("tags"), F.contains("x", F.lit("/")) & ~F.substring_index("x", "/", 1).isin(R.TAG_NAMESPACES), "WARN", "TAG", F.concat(F.lit("tag space "), F.col("x"))),
-        *[_issue(notes, ~blank(value(f)) & ~value(f).rlike("^\\d{4}-\\d{2}-\\d{2}$"), "WARN", "FRONTMATTER", F.concat(F.lit(f"{f} "), value(f))) for f in ("created", "updated")],
-        _issue(notes, name.rlike('[<>:"\\\\|?*]'), "ERROR", "NAMING", "illegal character"),
-        _issue(notes, name.contains(" "), "WARN", "NAMING", "space"),
-    ]
-    return reduce(DataFrame.unionByName, found)
+    after = lambda text: lambda x: F.concat(F.lit(text), x)
+    slash = lambda x: F.contains(x, F.lit("/"))
+    return _all(notes, [
+        *[_when(blank(value(f)), "ERROR", "FRONTMATTER", f"missing {f}") for f in R.REQUIRED_FIELDS],
+        _when(~blank(value("status")) & ~value("status").isin(R.STATUSES), "ERROR", "FRONTMATTER", F.concat(F.lit("status "), value("status"))),
+        _when(~blank(value("type")) & ~value("type").isin(R.TYPES), "WARN", "FRONTMATTER", F.concat(F.lit("type "), value("type"))),
+        _each(F.col("audience"), lambda x: ~x.isin(R.AUDIENCES), "WARN", "FRONTMATTER", after("audience ")),
+        _each(F.col("tags"), lambda x: ~slash(x), "WARN", "TAG", after("tag form ")),
+        _each(F.col("tags"), lambda x: slash(x) & ~F.substring_index(x, "/", 1).isin(R.TAG_NAMESPACES), "WARN", "TAG", after("tag space ")),
+        *[_when(~blank(value(f)) & ~value(f).rlike("^\\d{4}-\\d{2}-\\d{2}$"), "WARN", "FRONTMATTER", F.concat(F.lit(f"{f} "), value(f))) for f in ("created", "updated")],
+        _when(name.rlike('[<>:"\\\\|?*]'), "ERROR", "NAMING", "illegal character"),
+        _when(name.contains(" "), "WARN", "NAMING", "space"),
+    ])
 
 
 def stale(notes: DataFrame, grace: int = 2) -> DataFrame:
@@ -98,20 +119,20 @@ def name_issues(notes: DataFrame) -> DataFrame:
     under = lambda *dirs: reduce(lambda a, d: a | F.col("rel").startswith(f"{d}/"), dirs, F.lit(False))
     loose = under("99-Inbox", "10-Daily", "Templates", "11-Agents")
     lang = F.get(F.split("rel", "/"), F.lit(1))
-    issue = lambda test, level, message: _issue(notes, test, level, "NAMING", message)
+    dated = name.rlike("^\\d{4}-\\d{2}-\\d{2}")
+    issue = lambda test, level, message: _when(test, level, "NAMING", message)
     found = [
-        _issue(notes.select("rel", F.explode(F.split(name, "")).alias("c")), F.col("c").isin(*'<>:"|?*'), "ERROR", "NAMING", F.concat(F.lit("character "), F.col("c"))),
+        _each(F.split(name, ""), lambda c: c.isin(*'<>:"|?*'), "ERROR", "NAMING", lambda c: F.concat(F.lit("character "), c)),
         issue(name.contains(" ") & ~under("10-Daily", "Templates"), "WARN", "space"),
         issue(under("99-Inbox") & (name != "README.md") & ~name.rlike("^\\d{4}-\\d{2}-\\d{2}-"), "WARN", "draft without date"),
-        issue(under("10-Daily") & (name != "README.md") & ~name.rlike("^\\d{4}-\\d{2}-\\d{2}"), "WARN", "daily without date"),
-        issue(~loose & name.rlike("^\\d{4}-\\d{2}-\\d{2}"), "ERROR", "dated name"),
-        issue(~loose & name.rlike("[（）]"), "ERROR", "full-width parentheses"),
-    ]
+        issue(under("10-Daily") & (name != "README.md") & ~dated, "WARN", "daily without date"),
+        issue(~loose & dated, "ERROR", "dated name"), issue(~loose & name.rlike("[（）]"), "ERROR", "full-width parentheses"),
+    ]
     for kind in ("STANDARDS", "CHEATSHEET"):
         wanted = F.concat(F.upper(lang), F.lit(f"-{kind}.md"))
         off = F.lower(F.regexp_replace(name, "\\.[^.]*$", "")).contains(f"-{kind.lower()}") & (name != wanted) & (name != F.concat(lang, F.lit(f"-{kind}.md")))
         found.append(issue(under("03-Languages") & (F.size(F.split("rel", "/")) >= 3) & off, "WARN", F.concat(F.lit("expected "), wanted)))
-    return reduce(DataFrame.unionByName, found)
+    return _all(notes, found)
 
 
 def pair_issues(pairs: DataFrame) -> DataFrame:

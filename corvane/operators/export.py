@@ -28,11 +28,12 @@ def neutralise_links(notes: DataFrame, known: DataFrame) -> DataFrame:
     target = F.trim(F.regexp_extract("link", LINK, 2))
     rows = rows.withColumn("target", target).withColumn("name", F.substring_index("target", "/", -1))
     once = known.select("target").distinct().withColumn("k", F.lit(True))
+    plain = rows.where("link IS NULL").select("rel", "pos", F.col("text").alias("w"), F.lit(False).alias("lost"))  # these have no target to look up
+    rows = rows.where("link IS NOT NULL")
     rows = rows.join(once.withColumnRenamed("k", "k1"), "target", "left").join(once.select(F.col("target").alias("name"), F.col("k").alias("k2")), "name", "left")
     shown = F.trim(F.coalesce(F.nullif(F.regexp_extract("link", LINK, 4), F.lit("")), "name"))
-    lost = F.col("link").isNotNull() & F.col("k1").isNull() & F.col("k2").isNull()
-    whole = F.concat("text", F.when(F.col("link").isNull(), "").when(lost, shown).otherwise(F.col("link")))
-    put = rows.select("rel", "pos", whole.alias("w"), lost.alias("lost"))
+    lost = F.col("k1").isNull() & F.col("k2").isNull()
+    put = plain.unionByName(rows.select("rel", "pos", F.concat("text", F.when(lost, shown).otherwise(F.col("link"))).alias("w"), lost.alias("lost")))
     out = put.groupBy("rel").agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("x"), F.count_if("lost").alias("n_repaired"), F.count("w").alias("n"))
     return out.select("rel", F.when(F.col("n") > 0, F.array_join(F.transform("x", lambda x: x["w"]), "")).alias("content"), "n_repaired")
 

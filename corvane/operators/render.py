@@ -36,7 +36,7 @@ def hits_json(hits: DataFrame) -> DataFrame:
 
 def hits_compact(hits: DataFrame) -> DataFrame:
     """(rank, text) of ranked hits (rank, title, score, rel, line, section, tags, snippet): title, place, and at most 140 characters of the snippet."""
-    lines = F.filter(F.transform(F.split("snippet", "\n"), F.trim), lambda x: (x != "") & ~F.startswith(x, F.lit("---")))
+    lines = F.filter(F.transform(F.split("snippet", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("---")))
     joined = F.array_join(F.slice(lines, 1, 2), " ")
     short = F.when(F.length(joined) > 140, F.concat(F.substring(joined, 1, 137), F.lit("..."))).otherwise(joined)
     place = F.concat_ws(" | ", F.concat("rel", F.lit(":"), "line"), F.nullif(F.coalesce("section", F.lit("")), F.lit("")), F.nullif(F.array_join(F.coalesce("tags", F.expr("cast(array() as array<string>)")), ", "), F.lit("")))

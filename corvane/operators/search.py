@@ -1,7 +1,8 @@
 """Ranked search: BM25 over sections with heading, title, tag, phrase, coverage and language boosts.
 
 A query has a handful of terms, so document frequencies come from one aggregation with a column for each
-term, and scoring is one pass over the notes; nothing is exploded and only the top-k rows are sorted.
+term, and scoring is one pass over the notes. Terms and tokens are counted by matching, without arrays of tokens;
+nothing is exploded and only the top-k rows are sorted.
 """
 
 from __future__ import annotations
@@ -37,9 +38,15 @@ def expand(query: str, terms: list[Term], clusters: list[tuple[list[str], list[s
 
 def statistics(notes: DataFrame, terms: list[Term]) -> dict:
     """N, the mean number of tokens, and the document frequency of each term: one row."""
-    tokens = notes.select(T.index_tokens(F.col("content")).alias("t"))
-    columns = [F.sum(F.array_contains("t", t.text).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)]
-    return tokens.agg(F.count("*").alias("n"), F.avg(F.size("t")).alias("mean"), *columns).first().asDict()
+    columns = [F.sum((T.term_count(F.col("content"), t.text) > 0).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)]
+    return notes.agg(F.count("*").alias("n"), F.avg(T.token_count(F.col("content"))).alias("mean"), *columns).first().asDict()
+
+
+def term_statistics(notes: DataFrame) -> DataFrame:
+    """(term, df, idf) of all index tokens of notes (content): idf = ln(1 + (N - df + 0.5) / (df + 0.5))."""
+    n = notes.agg(F.count("*").alias("n")).first()["n"]
+    counts = notes.select(F.explode(T.index_terms(F.col("content"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    return counts.select("term", "df", F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
 def _idf(stats: dict, i: int) -> float:
@@ -64,11 +71,11 @@ def search(notes: DataFrame, query: str, terms: list[Term], language: str | None
     plus = lambda test, x: F.when(test, F.lit(float(x))).otherwise(zero)
 
     def section_score(s: Column) -> Column:
-        tokens, head, body = s["tokens"], F.lower(F.coalesce(s["heading"], F.lit(""))), F.lower(F.coalesce(s["body"], F.lit("")))
+        head, body = F.lower(F.coalesce(s["heading"], F.lit(""))), F.lower(F.coalesce(s["body"], F.lit("")))
         total = zero
         for t, w in zip(terms, idf):
-            tf = T.count_of(tokens, t.text).cast("double")
-            total = total + F.when(tf > 0, F.lit(t.weight * w) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.size(tokens) / F.lit(mean)))).otherwise(zero)
+            tf = F.get(s["tf"], F.lit(terms.index(t))).cast("double")
+            total = total + F.when(tf > 0, F.lit(t.weight * w) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * s["n"] / F.lit(mean)))).otherwise(zero)
             total = total + plus(has(head, t.text), w * t.weight * 3.0)
         if len(q) > 1:
             total = total + plus(has(head, q), 15) + plus(has(body, q), 8)
@@ -82,8 +89,9 @@ def search(notes: DataFrame, query: str, terms: list[Term], language: str | None
     tags = F.coalesce(F.col("tags"), F.expr(T.EMPTY))
     raw = F.lower(F.concat_ws(" ", "title", F.array_join(tags, " "), "content"))
     rows = kept.select("rel", "title", "kind", F.lower(F.coalesce("title", F.lit(""))).alias("low"), tags.alias("tags"), raw.alias("raw"), "sections")
-    tokenised = F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body"), T.index_tokens(F.concat_ws("\n", s["heading"], s["body"])).alias("tokens")))
-    rows = rows.withColumn("sections", tokenised)
+    whole = lambda s: F.concat_ws("\n", s["heading"], s["body"])
+    counted = F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body"), T.token_count(whole(s)).alias("n"), F.array(*[T.term_count(whole(s), t.text) for t in terms]).alias("tf")))
+    rows = rows.withColumn("sections", counted)
     scored = rows.withColumn("scores", F.transform("sections", lambda s: section_score(s)))
     best = F.greatest(F.coalesce(F.array_max("scores"), zero), zero)
     place = F.when(best > 0, F.array_position("scores", F.array_max("scores"))).otherwise(F.lit(1)) - 1  # the first of equally good sections

@@ -59,10 +59,8 @@ def tok1_index_tokens(spark, sf_dir):
   SELECT w AS term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5) / (count(*) + 0.5)), 6) AS idf
   FROM (SELECT doc_id, unnest(list_distinct(t)) AS w FROM t), n GROUP BY w""")
 def agg1_term_statistics(spark, sf_dir):
-    t = documents(spark, sf_dir).select(F.array_distinct(T.index_tokens(F.col("text"))).alias("t"))
-    n = t.count()
-    idf = F.log(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    return t.select(F.explode("t").alias("term")).groupBy("term").agg(F.count("*").alias("df")).select("term", "df", F.round(idf, 6).alias("idf"))
+    found = search.term_statistics(documents(spark, sf_dir).select(F.col("text").alias("content")))
+    return found.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 SEARCH = [search.Term("the", 1.0), search.Term("and", 1.0), search.Term("that", 1.5), search.Term("with", 1.8), search.Term("thing", 0.9, False)]
@@ -185,18 +183,24 @@ _EDGES = f"""WITH l AS ({_HREF}), k AS (SELECT target, min(page_id) AS node FROM
   e AS (SELECT DISTINCT page_id::VARCHAR AS src, node::VARCHAR AS dst FROM l JOIN k USING (target) WHERE node <> page_id)"""
 
 
-@query(f"WITH l AS ({_HREF}), k AS (SELECT target, min(page_id) AS node FROM l WHERE page_id % 2 = 0 GROUP BY target) SELECT page_id::VARCHAR AS rel, target, node::VARCHAR AS found FROM l LEFT JOIN k USING (target)")
+_TITLE_KEYS = "SELECT '/' || w AS target, min(page_id) AS node FROM (SELECT page_id, unnest(string_split(regexp_extract(html, '<title>([^<]*)</title>', 1), ' ')) AS w FROM pages) GROUP BY 1"
+
+
+def _title_keys(spark, sf_dir):
+    """The words of all pages' titles; a word that several have leads to the first page."""
+    word = F.explode(F.split(F.regexp_extract("html", "<title>([^<]*)</title>", 1), " "))
+    keys = read(spark, sf_dir, "pages").select("page_id", word.alias("word")).groupBy("word").agg(F.min("page_id").alias("node"))
+    return keys.select(F.lit(0).alias("priority"), F.concat(F.lit("/"), "word").alias("key"), F.col("node").cast("string").alias("node"))
+
+
+@query(f"WITH l AS ({_HREF}), k AS ({_TITLE_KEYS}) SELECT page_id::VARCHAR AS rel, target, node::VARCHAR AS found FROM l LEFT JOIN k USING (target)")
 def join1_link_resolution(spark, sf_dir):
-    links = _page_links(spark, sf_dir)
-    even = links.where(F.col("rel").cast("long") % 2 == 0).groupBy("target").agg(F.min(F.col("rel").cast("long")).cast("string").alias("node"))
-    return graph.resolve(links, even.select(F.lit(0).alias("priority"), F.col("target").alias("key"), "node"))
+    return graph.resolve(_page_links(spark, sf_dir), _title_keys(spark, sf_dir))
 
 
-@query(f"WITH l AS ({_HREF}), k AS (SELECT DISTINCT target FROM l WHERE page_id % 2 = 0) SELECT page_id::VARCHAR AS rel, target FROM l ANTI JOIN k USING (target)")
+@query(f"WITH l AS ({_HREF}), k AS ({_TITLE_KEYS}) SELECT page_id::VARCHAR AS rel, target FROM l ANTI JOIN k USING (target)")
 def join2_broken_links(spark, sf_dir):
-    links = _page_links(spark, sf_dir)
-    even = links.where(F.col("rel").cast("long") % 2 == 0).select(F.lit(0).alias("priority"), F.col("target").alias("key"), F.lit("x").alias("node"))
-    return graph.broken(graph.resolve(links, even))
+    return graph.broken(graph.resolve(_page_links(spark, sf_dir), _title_keys(spark, sf_dir)))
 
 
 @query(_EDGES + """, n AS (SELECT page_id::VARCHAR AS node FROM pages), i AS (SELECT dst AS node, count(*) AS i FROM e GROUP BY dst), o AS (SELECT src AS node, count(*) AS o FROM e GROUP BY src),
@@ -235,7 +239,7 @@ _NORM_BENCH = "SELECT item_id, length(lower(regexp_replace(regexp_replace(regexp
 
 @query(f"WITH t AS ({_NORM_BENCH}) SELECT x.item_id AS a, y.item_id AS b FROM t x JOIN t y ON x.item_id < y.item_id AND x.n > 80 AND y.n > 80 AND 2 * least(x.n, y.n) >= 0.9 * (x.n + y.n)")
 def join4_length_bound_pairs(spark, sf_dir):
-    return similarity.candidates(_benchmark_notes(spark, sf_dir), least=0.9).select("a", "b")
+    return similarity.candidates(_benchmark_notes(spark, sf_dir), least=0.9, by_characters=False)
 
 
 @query()
@@ -243,16 +247,16 @@ def dedup1_sequence_ratio(spark, sf_dir):
     return similarity.duplicates(_benchmark_notes(spark, sf_dir), least=0.40)  # the items are distinct: a low threshold, so that there are rows
 
 
-@query("""WITH c AS (SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'positive' ELSE 'negative' END AS p, item_id % 4 // 2 AS tag, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{6,}'))) AS w FROM benchmark),
-  s AS (SELECT a.item_id AS rel_a, b.item_id AS rel_b, min(a.w) AS keyword, count(*) AS score, min(a.tag) AS tag FROM c a JOIN c b ON a.w = b.w AND a.item_id < b.item_id AND a.p <> b.p AND a.tag = b.tag GROUP BY ALL)
-  SELECT rel_a, rel_b, keyword, 'topic/' || tag AS tag, 0 AS idx_a, 0 AS idx_b, score FROM s""")
+@query("""WITH c AS (SELECT d.doc_id, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS p, 'lang/' || lang AS tag, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{13,}'))) AS w FROM documents d JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
+  s AS (SELECT a.doc_id AS rel_a, b.doc_id AS rel_b, min(a.w) AS keyword, count(*) AS score, min(a.tag) AS tag FROM c a JOIN c b ON a.w = b.w AND a.doc_id < b.doc_id AND a.p <> b.p AND a.tag = b.tag GROUP BY ALL)
+  SELECT rel_a, rel_b, keyword, tag, 0 AS idx_a, 0 AS idx_b, score FROM s""")
 def conf1_conflicts(spark, sf_dir):
-    """The join on real tokens; polarity and tag come from item_id, since the texts have no modal words."""
-    i = F.col("item_id")
-    tag = F.concat(F.lit("topic/"), F.floor(i % 4 / 2).cast("string"))
-    clauses = read(spark, sf_dir, "benchmark").select(
-        i.alias("rel"), F.lit(0).alias("idx"), F.when(i % 2 == 0, "positive").otherwise("negative").alias("polarity"), F.array(tag).alias("tags"),
-        F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{6,})"), 1).alias("tokens"),
+    """Labelled documents: the quality label is the polarity, the language the tag, long words the tokens."""
+    polarity = F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative")
+    labels = read(spark, sf_dir, "labels").select("doc_id", polarity.alias("polarity"))
+    clauses = documents(spark, sf_dir).join(labels, "doc_id").select(
+        F.col("doc_id").alias("rel"), F.lit(0).alias("idx"), "polarity", F.array(F.concat(F.lit("lang/"), "lang")).alias("tags"),
+        F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{13,})"), 1).alias("tokens"),
     )
     return conflicts.candidates(clauses)
 
@@ -292,14 +296,14 @@ def cls1_trust(spark, sf_dir):
 
 
 def _quality_notes(spark, sf_dir):
-    pairs = [("title", F.substring("text", 1, 20)), ("created", F.lit("2024-01-01")), ("updated", F.when(F.col("n_chars") % 5 == 0, "soon").otherwise("2024-01-02")), ("type", F.col("source")), ("tags", F.col("lang")), ("status", F.when(F.col("lang") == "en", "stable").otherwise("odd")), ("audience", F.lit("both"))]
+    pairs = [("title", F.substring_index("text", "\n", 1)), ("created", F.lit("2024-01-01")), ("updated", F.when(F.col("n_chars") % 5 == 0, "soon").otherwise("2024-01-02")), ("type", F.col("source")), ("tags", F.col("lang")), ("status", F.when(F.col("lang") == "en", "stable").otherwise("odd")), ("audience", F.lit("both"))]
     fields = F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
     tags = F.array(F.concat(F.lit("lang/"), "lang"), F.col("source"))
     return documents(spark, sf_dir).select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel"), fields.alias("fields"), tags.alias("tags"), F.array(F.lit("both"), F.col("lang")).alias("audience"))
 
 
 _ISSUES = """SELECT 'notes/' || doc_id || '.md' AS rel, unnest([
-    {l: CASE WHEN trim(substr(text, 1, 20)) = '' THEN 'ERROR' END, c: 'FRONTMATTER', m: 'missing title'}, {l: CASE WHEN lang <> 'en' THEN 'ERROR' END, c: 'FRONTMATTER', m: 'status odd'},
+    {l: CASE WHEN trim(split_part(text, chr(10), 1)) = '' THEN 'ERROR' END, c: 'FRONTMATTER', m: 'missing title'}, {l: CASE WHEN lang <> 'en' THEN 'ERROR' END, c: 'FRONTMATTER', m: 'status odd'},
     {l: 'WARN', c: 'FRONTMATTER', m: 'type ' || source}, {l: 'WARN', c: 'FRONTMATTER', m: 'audience ' || lang}, {l: 'WARN', c: 'TAG', m: 'tag form ' || source},
     {l: CASE WHEN n_chars % 5 = 0 THEN 'WARN' END, c: 'FRONTMATTER', m: 'updated soon'}]) AS x FROM documents"""
 
@@ -334,11 +338,12 @@ def join6_misaligned(spark, sf_dir):
     return found.select("key", "pos", F.md5("left_title").alias("left_digest"), F.md5("right_title").alias("right_digest"))
 
 
-@query("""WITH a AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 0), b AS (SELECT DISTINCT user_id, event_type FROM events WHERE event_id % 3 = 1)
-  SELECT 'first' AS side, user_id, event_type FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'second', user_id, event_type FROM (FROM b EXCEPT FROM a)""")
+@query("""WITH a AS (SELECT DISTINCT user_id, event_type, hour(ts)::INT AS hour FROM events WHERE day(ts) <= 15), b AS (SELECT DISTINCT user_id, event_type, hour(ts)::INT FROM events WHERE day(ts) > 15)
+  SELECT 'first' AS side, * FROM (FROM a EXCEPT FROM b) UNION ALL SELECT 'second', * FROM (FROM b EXCEPT FROM a)""")
 def join12_drift(spark, sf_dir):
-    part = lambda k: read(spark, sf_dir, "events").where(F.col("event_id") % 3 == k).select("user_id", "event_type")
-    return checks.drift(part(0), part(1))
+    early = F.dayofmonth("ts") <= 15
+    rows = events(spark, sf_dir).select("user_id", "event_type", F.hour("ts").alias("hour"), early.alias("early"))
+    return checks.drift(rows.where("early").drop("early"), rows.where("NOT early").drop("early"))
 
 
 @query("SELECT lang, source, n_chars, count(*) AS count FROM documents GROUP BY ALL HAVING count(*) > 1")

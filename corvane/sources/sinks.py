@@ -1,8 +1,8 @@
 """Sinks: month-sharded audit logs, drafts with free names, and snapshots that are swapped in whole.
 
 A table of many files cannot be replaced file by file under a lock on a cluster. Publishing writes a new snapshot
-folder and then one small pointer file; readers follow the pointer, so that they see the old or the new snapshot and
-a job that is lost midway leaves the old one in place.
+folder and then one small numbered pointer file; readers follow the last pointer, so that they see the old or the new
+snapshot and a job that is lost midway leaves the old one in place.
 """
 
 from __future__ import annotations
@@ -21,7 +21,8 @@ def append_audit(events: DataFrame, path: str) -> None:
     """Append events (ts, agent, op, paths, summary) below month folders; pipes in texts are escaped."""
     safe = lambda c: F.replace(F.col(c), F.lit("|"), F.lit("\\|")).alias(c)
     rows = events.select("ts", "agent", "op", safe("paths"), safe("summary"), F.date_format("ts", "yyyy-MM").alias("month"))
-    rows.repartition("month").write.partitionBy("month").mode("append").parquet(path)
+    spread = F.pmod(F.xxhash64("ts", "agent", "op"), F.lit(8))  # a month with most rows is not one task's
+    rows.repartition("month", spread).write.partitionBy("month").mode("append").parquet(path)
 
 
 def free_names(drafts: DataFrame, taken: DataFrame) -> DataFrame:
@@ -42,16 +43,49 @@ def free_names(drafts: DataFrame, taken: DataFrame) -> DataFrame:
     return rows.select("id", F.concat(F.lit("99-Inbox/"), "name", F.lit(".md")).alias("rel"))
 
 
-def _file(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return jvm, p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+def stale_changes(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """(rel, expected, found) of changes whose precondition fails: the SHA-256 of the present content is not the expected one.
+
+    files: (rel, content); changes: (rel, content or null to delete, expected: hex digest, null for a file that must not be there).
+    """
+    now = files.select("rel", F.sha2("content", 256).alias("found"))
+    return changes.select("rel", "expected").join(now, "rel", "left").where(~F.col("expected").eqNullSafe(F.col("found")))
+
+
+def changed(files: DataFrame, changes: DataFrame) -> DataFrame:
+    """(rel, content): files after staged changes and deletions. Nothing is written; publish() makes it current as a whole."""
+    new = changes.select("rel", F.col("content").alias("new"), F.lit(True).alias("touched"))
+    rows = files.select("rel", "content").join(new, "rel", "full_outer")
+    return rows.select("rel", F.when(F.col("touched"), F.col("new")).otherwise(F.col("content")).alias("content")).where("content IS NOT NULL")
+
+
+def commit(files: DataFrame, changes: DataFrame, root: str, expected: str | None) -> str:
+    """Publish the files after the changes, all or none; refused if a precondition fails. A former snapshot is restored by point_to()."""
+    refused = stale_changes(files, changes).orderBy("rel").limit(5).collect()
+    if refused:
+        raise StaleSnapshot(f"changed meanwhile: {', '.join(r['rel'] for r in refused)}")
+    return publish(changed(files, changes), root, expected)
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, snapshot) of all pointers in order; an empty one is that of a publisher that died, or is about to write it."""
+    fs, folder = _fs(spark, root)
+    if not fs.exists(folder):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(folder)]
+    numbers = sorted(int(n.split("-")[1]) for n in names if n.startswith("POINTER-"))
+    read = lambda n: next(iter(r[0] for r in spark.read.text(f"{root}/POINTER-{n:09d}").take(1)), "")
+    return [(n, read(n)) for n in numbers[-3:]]
 
 
 def current(spark: SparkSession, root: str) -> str | None:
     """The name of the published snapshot, or None before the first."""
-    _, p, fs = _file(spark, f"{root}/CURRENT")
-    return spark.read.text(f"{root}/CURRENT").first()[0] if fs.exists(p) else None
+    return next((name for _, name in reversed(_pointers(spark, root)) if name), None)
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
@@ -59,30 +93,32 @@ def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
     return None if name is None else spark.read.parquet(f"{root}/{name}")
 
 
-def publish(rows: DataFrame, root: str, expected: str | None) -> str:
-    """Write rows as a new snapshot and point to it; refused if the published one is not the expected one.
+def point_to(spark: SparkSession, root: str, name: str, expected: str | None) -> None:
+    """Make a written snapshot the current one; refused if the current one is not the expected one.
 
-    The pointer is made beside and renamed. A lock file, created if absent, keeps out a second publisher.
+    Pointers are numbered and only added, so a reader always finds the last whole one. Creating the next number
+    fails if another publisher has it, which decides between two of them; one that dies leaves no lock behind.
     """
+    before = _pointers(spark, root)
+    found = next((n for _, n in reversed(before) if n), None)
+    if found != expected:
+        raise StaleSnapshot(f"expected {expected}, found {found}")
+    number = before[-1][0] + 1 if before else 1
+    fs, pointer = _fs(spark, f"{root}/POINTER-{number:09d}")
+    try:
+        out = fs.create(pointer, False)
+    except Exception as e:
+        raise StaleSnapshot(f"another publisher made pointer {number}") from e
+    out.write(bytearray(name.encode()))
+    out.close()
+
+
+def publish(rows: DataFrame, root: str, expected: str | None) -> str:
+    """Write rows as a new snapshot and point to it; refused if the published one is not the expected one."""
     spark = rows.sparkSession
-    _, lock, fs = _file(spark, f"{root}/LOCK")
+    if current(spark, root) != expected:
+        raise StaleSnapshot(f"expected {expected}, found {current(spark, root)}")
     name = f"s-{uuid.uuid4().hex}"
-    fs.mkdirs(lock.getParent())
-    if not fs.createNewFile(lock):
-        raise StaleSnapshot("another publisher holds the lock")
-    try:
-        if current(spark, root) != expected:
-            raise StaleSnapshot(f"expected {expected}, found {current(spark, root)}")
-        rows.write.parquet(f"{root}/{name}")
-        jvm, fresh, _ = _file(spark, f"{root}/CURRENT.{name}")
-        out = fs.create(fresh, True)
-        out.write(bytearray(name.encode()))
-        out.close()
-        _, pointer, _ = _file(spark, f"{root}/CURRENT")
-        if fs.exists(pointer):
-            fs.delete(pointer, False)
-        if not fs.rename(fresh, pointer):
-            raise StaleSnapshot("the pointer could not be renamed")
-        return name
-    finally:
-        fs.delete(lock, False)
+    rows.write.parquet(f"{root}/{name}")
+    point_to(spark, root, name, expected)
+    return name
