@@ -1,6 +1,6 @@
 """Quality rules in DataFrame functions only: repetition and length, then divergence from the language's references.
 
-Each document has a histogram over character classes and one over common words. The reference of a language is the
+Each document has a histogram over character classes and one over common words, with a bin for all other words. The reference of a language is the
 sum of the histograms of its documents that pass the base rules; a document goes if its Jensen-Shannon distance from
 its language's reference is over a limit, and the text is long enough for the distance to mean anything.
 """
@@ -22,13 +22,9 @@ COMMON = (
 CLASSES = {"vowels": "aeiou", "consonants": "b-df-hj-np-tv-z", "capitals": "A-Z", "digits": "0-9", "points": ".,;:!?'\"()-", "symbols": "#*$%&|<>"}
 
 LEAST_CHARS = 300
-LEAST_COMMON = 60
-MOST_CLASS_DISTANCE = 0.3
-MOST_WORD_DISTANCE = 0.65
-
-# With a bin for all other words: what a text without common words has is about 0.3 if a sixth of its language's words are common.
 LEAST_WORDS = 100
-MOST_OTHER_DISTANCE = 0.25
+MOST_CLASS_DISTANCE = 0.3
+MOST_WORD_DISTANCE = 0.25  # a text without common words has about 0.3 if a sixth of its language's words are common
 
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
@@ -74,12 +70,13 @@ def features(docs: DataFrame) -> DataFrame:
         F.length("text").cast("double").alias("n_chars"), F.array(*counts).alias("classes"),
         F.transform(common, lambda w: F.array_position(F.array(*map(F.lit, COMMON)), w).cast("int")).alias("common"),
     )
-    rest = F.col("n_chars") - F.aggregate("classes", F.lit(0.0), lambda a, x: a + x)
+    rest = F.col("n_chars") - _sum(F.col("classes"))
+    counts = F.array(*[(F.size("common") - F.size(F.array_remove("common", F.lit(k + 1)))).cast("double") for k in range(len(COMMON))])
     return rows.select(
         "doc_id", "lang", "n_words", "word_chars", F.get("classes", list(CLASSES).index("symbols")).cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         F.concat("classes", F.array(rest)).alias("class_counts"),
-        F.array(*[(F.size("common") - F.size(F.array_remove("common", F.lit(k + 1)))).cast("double") for k in range(len(COMMON))]).alias("word_counts"),
+        F.concat(counts, F.array((F.col("n_words") - F.size("common")).cast("double"))).alias("word_counts"),
     )
 
 
@@ -101,28 +98,23 @@ def divergence(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(value, F.lit(0.0)))
 
 
-def references(measured: DataFrame, n_words: int = len(COMMON)) -> DataFrame:
+def references(measured: DataFrame) -> DataFrame:
     """(lang, ref_classes, ref_words): sums over the documents of a language that pass the base rules."""
-    sums = [F.array(*[F.sum(F.get(c, k)) for k in range(n)]).alias(a) for c, a, n in (("class_counts", "ref_classes", len(CLASSES) + 1), ("word_counts", "ref_words", n_words))]
+    sums = [F.array(*[F.sum(F.get(c, k)) for k in range(n)]).alias(a) for c, a, n in (("class_counts", "ref_classes", len(CLASSES) + 1), ("word_counts", "ref_words", len(COMMON) + 1))]
     return measured.where(~F.col("base_failed") & F.col("lang").isNotNull()).groupBy("lang").agg(*sums)
 
 
-def judge(docs: DataFrame, other_words: bool = True) -> DataFrame:
+def judge(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, class_distance, word_distance).
 
     docs: doc_id, text, lang; other columns are ignored. A null text counts as empty and fails the base rules. Distances
     are null where the language is null, has no reference, or the counts are all zero; a null distance, or a text
-    of fewer than LEAST_CHARS characters (LEAST_WORDS words), never rejects. The word histogram has one bin for all words
-    that are not common, so texts without common words have a distance too; with other_words=False it has none, and the
-    guard counts common words (LEAST_COMMON). Every row is judged, repeated ones alike; an empty table gives an empty one.
+    of fewer than LEAST_CHARS characters (LEAST_WORDS words for the word histogram), never rejects. Every row is judged,
+    repeated ones alike; an empty table gives an empty one.
     """
     measured = table(features(docs))
-    most, least = MOST_WORD_DISTANCE, LEAST_COMMON
-    if other_words:
-        measured = measured.withColumn("word_counts", F.concat("word_counts", F.array(F.col("n_words") - _sum(F.col("word_counts")))))
-        most, least = MOST_OTHER_DISTANCE, LEAST_WORDS
-    joined = measured.join(references(measured, len(COMMON) + other_words), "lang", "left")
+    joined = measured.join(references(measured), "lang", "left")
     judged = joined.select("*", divergence(F.col("class_counts"), F.col("ref_classes")).alias("class_distance"), divergence(F.col("word_counts"), F.col("ref_words")).alias("word_distance"))
     far = lambda d, over, n, at: F.coalesce((F.col(d) > over) & (_sum(F.col(n)) >= at), F.lit(False))
-    kept = ~F.col("base_failed") & ~far("class_distance", MOST_CLASS_DISTANCE, "class_counts", LEAST_CHARS) & ~far("word_distance", most, "word_counts", least)
+    kept = ~F.col("base_failed") & ~far("class_distance", MOST_CLASS_DISTANCE, "class_counts", LEAST_CHARS) & ~far("word_distance", MOST_WORD_DISTANCE, "word_counts", LEAST_WORDS)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "class_distance", "word_distance")

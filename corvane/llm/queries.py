@@ -50,24 +50,13 @@ def op4_lm_scoring(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    """As its SQL has it: common words only."""
-    return quality.judge(_read(spark, sf_dir, "documents"), other_words=False).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-
-
-def op5_whole_quality(spark, sf_dir):
-    """With the bin of other words; the SQL does not have it."""
     return quality.judge(_read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op6_substring_dedup(spark, sf_dir):
-    found = spans.remove_repeated_spans(_read(spark, sf_dir, "documents"), size=3)
-    return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.concat_ws(",", F.col("removed").cast("array<string>")), 256).alias("removed_sha256"))
-
-
-def op6_whole_passages(spark, sf_dir):
-    """Runs of 50 words too, wherever they begin; the SQL of op6_substring_dedup has whole sentences only."""
+    """Spans of three sentences, and runs of 50 words wherever they begin."""
     found = spans.remove_repeated_spans(_read(spark, sf_dir, "documents"), size=3, words=50)
-    return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.concat_ws(",", F.col("removed").cast("array<string>")), 256).alias("removed_sha256"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_sentences", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.concat_ws(",", F.col("removed").cast("array<string>")), 256).alias("removed_sha256"), "n_words_removed")
 
 
 def op7_bpe(spark, sf_dir):
@@ -89,7 +78,7 @@ def op10_suffix_array_dedup(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_lm_scoring, op5_quality_rules, op5_whole_quality, op6_substring_dedup, op6_whole_passages, op7_bpe, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_lm_scoring, op5_quality_rules, op6_substring_dedup, op7_bpe, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -153,7 +142,8 @@ def _sql_quality() -> str:
       FROM (SELECT doc_id, unnest(range(1, len(ws) - 3)) AS i, unnest(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) AS w FROM base WHERE len(ws) >= 5)),
     rep AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM win, range(5) r(k) WHERE n > 1 GROUP BY doc_id),
     cls AS (SELECT doc_id, [{", ".join(classes)}] AS c, length(t)::DOUBLE AS n FROM base),
-    word AS (SELECT doc_id, list_transform({common}, lambda x: len(list_filter(ws, lambda y: y = x))::DOUBLE) AS wc FROM base),
+    word AS (
+      SELECT doc_id, list_append(wc, len(ws) - list_sum(wc)) AS wc FROM (SELECT doc_id, ws, list_transform({common}, lambda x: len(list_filter(ws, lambda y: y = x))::DOUBLE) AS wc FROM base)),
     m AS (
       SELECT doc_id, lang, len(ws) AS n_words, length(array_to_string(ws, '')) AS word_chars, c[{symbols}]::BIGINT AS n_symbols,
         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(rep.n, 0) AS n_repeat_words,
@@ -166,7 +156,7 @@ def _sql_quality() -> str:
     d AS (SELECT m.*, {js.format(p="p", q="q")} AS cd, {js.format(p="wc", q="wq")} AS wd FROM m LEFT JOIN sums USING (lang) LEFT JOIN wsums USING (lang))
     SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
       NOT base_failed AND NOT coalesce(cd > {quality.MOST_CLASS_DISTANCE} AND list_sum(p) >= {quality.LEAST_CHARS}, false)
-        AND NOT coalesce(wd > {quality.MOST_WORD_DISTANCE} AND list_sum(wc) >= {quality.LEAST_COMMON}, false) AS kept
+        AND NOT coalesce(wd > {quality.MOST_WORD_DISTANCE} AND list_sum(wc) >= {quality.LEAST_WORDS}, false) AS kept
     FROM d"""
 
 
@@ -179,8 +169,17 @@ def _sql_spans() -> str:
       SELECT doc_id, unnest(range(len(ss) - 2)) AS i, unnest(list_transform(range(len(ss) - 2), lambda i: array_to_string(ss[i + 1:i + 3], chr(10)))) AS t FROM s WHERE len(ss) >= 3),
     later AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r FROM span) WHERE r > 1),
     gone AS (SELECT DISTINCT doc_id, i + k AS i FROM later, range(3) r(k)),
-    g AS (SELECT doc_id, count(*) AS n, string_agg(i::VARCHAR, ',' ORDER BY i) AS x FROM gone GROUP BY doc_id)
-    SELECT s.doc_id, len(coalesce(ss, [])) AS n_sentences, coalesce(n, 0) AS n_removed, sha256(coalesce(x, '')) AS removed_sha256 FROM s LEFT JOIN g USING (doc_id)"""
+    w AS (
+      SELECT doc_id, flatten(list_transform(ss, lambda x: string_split(x, ' '))) AS ws,
+        flatten(list_transform(range(len(ss)), lambda i: list_transform(string_split(ss[i + 1], ' '), lambda x: i))) AS si FROM s WHERE len(ss) > 0),
+    run AS (
+      SELECT doc_id, unnest(range(len(ws) - 49)) AS i, unnest(list_transform(range(len(ws) - 49), lambda i: md5(array_to_string(ws[i + 1:i + 50], ' ')))) AS t FROM w WHERE len(ws) >= 50),
+    later_run AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS r FROM run) WHERE r > 1),
+    word AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(si) AS si FROM w),
+    cut AS (SELECT DISTINCT doc_id, i + k AS i FROM later_run, range(50) r(k)),
+    lost AS (SELECT doc_id, word.i, si FROM word SEMI JOIN cut USING (doc_id, i) UNION SELECT word.doc_id, word.i, si FROM word JOIN gone ON word.doc_id = gone.doc_id AND word.si = gone.i),
+    g AS (SELECT doc_id, count(*) AS n, string_agg(i::VARCHAR, ',' ORDER BY i) AS x, sum(words)::BIGINT AS words FROM (SELECT doc_id, si AS i, count(*) AS words FROM lost GROUP BY doc_id, si) GROUP BY doc_id)
+    SELECT s.doc_id, len(coalesce(ss, [])) AS n_sentences, coalesce(n, 0) AS n_removed, sha256(coalesce(x, '')) AS removed_sha256, coalesce(words, 0) AS n_words_removed FROM s LEFT JOIN g USING (doc_id)"""
 
 
 def _sql_urls() -> str:

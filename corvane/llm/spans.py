@@ -52,12 +52,12 @@ class _Sentences:
                 run_at.append(place + n_words)
                 run_index.append(place - words.doc_off[doc[place]])
                 runs.append(found[place])
-                word_start.append(words.start + offsets[first])
-                word_end.append(words.end + offsets[first])
-                word_doc.append(doc + first)
-                word_sentence.append(np.cumsum(new) - 1 + n_sentences)
-                n_words += len(piece)
-                n_sentences += len(at)
+            word_start.append(words.start + offsets[first])
+            word_end.append(words.end + offsets[first])
+            word_doc.append(doc + first)
+            word_sentence.append(np.cumsum(new) - 1 + n_sentences)
+            n_words += len(piece)
+            n_sentences += len(at)
         join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
         self.start, self.doc = join(starts, np.int64), join(docs, np.int64)
         self.doc_off = np.searchsorted(self.doc, np.arange(len(self.ids) + 1))
@@ -98,7 +98,7 @@ def _repeated(index: np.ndarray, pay: np.ndarray, sender: np.ndarray) -> np.ndar
 
 
 def _apply(size: int, n: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("removed", pa.list_(pa.int64())), ("kept", pa.string())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_sentences", pa.int64()), ("removed", pa.list_(pa.int64())), ("n_words_removed", pa.int64()), ("kept", pa.string())])
 
     def run(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -107,58 +107,52 @@ def _apply(size: int, n: int):
         code = ex.answers(replies, np.uint8)
         gone = code[s.key] > 0 if len(s.key) else np.zeros(0, bool)
         gone[s.first[code == 2]] = False
-        sentence = np.zeros(len(s.start) + 1, bool)
         first_at = s.at[gone[: len(s.at)]]
+        sentence = np.zeros(len(s.start), bool)
         sentence[tk.ranges(first_at, np.full(len(first_at), size))] = True
-        data, off = tk.utf8(table["text"])
+        lost = sentence[s.word_sentence]
         if n:
-            edge = np.zeros(len(s.word_start) + 1, np.int64)
-            np.add.at(edge, s.run_at[gone[len(s.at) :]], 1)
-            np.add.at(edge, s.run_at[gone[len(s.at) :]] + n, -1)
-            word = edge.cumsum()[:-1] > 0
-            sentence[:-1] |= np.bincount(s.word_sentence, weights=~word, minlength=len(s.start)) == 0
-            end = s.word_end.copy()
-            on = np.flatnonzero(word[:-1] & word[1:] & (s.word_doc[:-1] == s.word_doc[1:]))
-            end[on] = s.word_start[on + 1]
-            cut = np.zeros(len(data) + 1, np.int64)
-            np.add.at(cut, s.word_start[word], 1)
-            np.add.at(cut, end[word], -1)
-            stays = cut.cumsum()[:-1] == 0
-        raw, texts, removed = data.tobytes(), [], []
+            run_at = s.run_at[gone[len(s.at) :]]
+            edge = np.bincount(run_at, minlength=len(lost) + 1) - np.bincount(run_at + n, minlength=len(lost) + 1)
+            lost |= edge.cumsum()[: len(lost)] > 0
+        n_lost = np.bincount(s.word_sentence, weights=lost, minlength=len(s.start))
+        whole = n_lost == np.bincount(s.word_sentence, minlength=len(s.start))
+        # bytes that go: whole sentences up to the next one, and runs of words up to the last of them
+        data, off = tk.utf8(table["text"])
+        word = lost & ~whole[s.word_sentence]
+        word_end, on = s.word_end.copy(), np.flatnonzero(word[:-1] & word[1:] & (s.word_doc[:-1] == s.word_doc[1:]))
+        word_end[on] = s.word_start[on + 1]
+        end = np.append(s.start[1:], 0)
+        last = s.doc_off[1:][np.diff(s.doc_off) > 0] - 1
+        end[last] = off[1:][np.diff(s.doc_off) > 0]
+        cut = np.zeros(len(data) + 1, np.int64)
+        for at, by in ((s.start[whole], 1), (end[whole], -1), (s.word_start[word], 1), (word_end[word], -1)):
+            np.add.at(cut, at, by)
+        stays = cut.cumsum()[:-1] == 0
+        kept_at = np.concatenate(([0], np.cumsum(stays)))[off]
+        kept = data[stays].tobytes()
         valid = table["text"].is_valid().to_pylist()
-        for d in range(len(off) - 1):
-            a, b = s.doc_off[d], s.doc_off[d + 1]
-            out = np.flatnonzero(sentence[a:b])
-            removed.append(out)
-            if n and valid[d]:
-                whole = np.append(s.start[a:b], off[d + 1])
-                for i in out:
-                    stays[whole[i] : whole[i + 1]] = False
-                texts.append(data[off[d] : off[d + 1]][stays[off[d] : off[d + 1]]].tobytes())
-                continue
-            if not valid[d] or not len(out):
-                texts.append(raw[off[d] : off[d + 1]] if valid[d] else None)
-                continue
-            edge = np.append(s.start[a:b], off[d + 1])
-            texts.append(raw[off[d] : edge[0]] + b"".join(raw[edge[i] : edge[i + 1]] for i in np.flatnonzero(~sentence[a:b])))
-        return pa.Table.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(s.doc_off)), pa.array(removed, pa.list_(pa.int64())), tk.to_strings(texts)], schema=schema)
+        texts = [kept[kept_at[d] : kept_at[d + 1]] if valid[d] else None for d in range(len(valid))]
+        removed = [np.flatnonzero(n_lost[a:b]) for a, b in zip(s.doc_off[:-1], s.doc_off[1:])]
+        words = np.bincount(s.word_doc, weights=lost, minlength=len(valid)).astype(np.int64)
+        return pa.Table.from_arrays([table["doc_id"].combine_chunks(), pa.array(np.diff(s.doc_off)), pa.array(removed, pa.list_(pa.int64())), pa.array(words), tk.to_strings(texts)], schema=schema)
 
     return run
 
 
 def remove_repeated_spans(docs: DataFrame, size: int = 3, words: int = 0) -> DataFrame:
-    """(doc_id, n_sentences, removed, kept) for every row of documents.
+    """(doc_id, n_sentences, removed, n_words_removed, kept) for every row of documents.
 
     docs: doc_id long, text string; other columns are ignored. A sentence is what stands between [.!?] and line feeds
     and has a word; sentences are equal if their words are, with A-Z in lower case. Of the runs of ``size`` sentences
-    that are equal the first is the one with the smallest (doc_id, position); removed has the positions of sentences in
-    any other, kept the text without them. Null and empty texts, and those of fewer sentences, stay as they are; a null
+    that are equal the first is the one with the smallest (doc_id, position); the sentences of any other go. removed has the
+    positions of sentences that lose words, n_words_removed counts these, kept is the text without them. Null and empty texts, and those of fewer sentences, stay as they are; a null
     doc_id counts as the largest; rows that repeat a doc_id are ordered by position, ties in any fixed order.
-    With words, the words of every run of so many equal ones but the first go too: a sentence of which all words go is in
-    removed, of any other only those words are cut from kept. What repeats itself without a break keeps one period.
+    With words, the words of every run of so many equal ones but the first go too, and what is left of their sentences stays.
+    What repeats itself without a break keeps one period.
     """
     tk.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     grouped, parts, _ = ex.grouped(docs, "doc_id", "text")
-    replies = ex.merge(grouped.groupBy("g").applyInArrow(_ask(size, words, parts), ex.ASK), _repeated, _FIRST)
-    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_apply(size, words), "doc_id long, n_sentences long, removed array<long>, kept string")
+    replies = ex.merge(grouped.groupBy("g").applyInArrow(tk.tidy(_ask(size, words, parts)), ex.ASK), _repeated, _FIRST)
+    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(tk.tidy(_apply(size, words)), "doc_id long, n_sentences long, removed array<long>, n_words_removed long, kept string")
