@@ -10,7 +10,7 @@ the order of its keys. The group then derives the same keys again and lines the
   for each group.
 * A part holds the distinct keys of a range of the hash space; the number of parts follows the input, and no part
   depends on how often a key occurs.
-* Groups and parts are pure functions of doc_id and key: a lost task is simply run again.
+* Groups and parts are pure functions of the row and the key: a lost task is simply run again.
 """
 
 from __future__ import annotations
@@ -32,19 +32,22 @@ _ASK = pa.schema([("g", pa.int32()), ("p", pa.int32()), ("n", pa.int32()), ("key
 GROUP_BYTES = 4 << 20
 PART_BYTES = 16 << 20
 LEAST = 256
+SCALE_FROM = 1 << 40  # bytes of text from which groups and parts grow, with the square root of the input,
+MOST_SCALE = 4  # up to so many times these sizes: what a kernel holds at a time is a multiple of its group
 
 
 def grouped(docs: DataFrame, *columns: str, part_bytes: int = PART_BYTES, group_bytes: int = GROUP_BYTES, least: int = LEAST) -> tuple[DataFrame, int, int]:
     """(g, columns...), and the numbers of hash parts and of groups for this many bytes of text. Reads the text column once."""
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    groups = max(least, total // group_bytes)
-    parts = max(8, total // part_bytes)
-    return docs.select(group_of(groups), *columns), int(parts), int(groups)
+    scale = min(MOST_SCALE, max(1.0, (total / SCALE_FROM) ** 0.5))
+    groups = max(least, int(total / (group_bytes * scale)))
+    parts = max(8, int(total / (part_bytes * scale)))
+    return docs.select(group_of(groups), *columns), parts, groups
 
 
 def group_of(groups: int) -> F.Column:
-    """The group of a doc_id."""
-    return F.pmod(F.xxhash64("doc_id"), F.lit(groups)).cast("int").alias("g")
+    """The group of a row, by doc_id and text, so that rows without a doc_id or under one doc_id are spread too."""
+    return F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int").alias("g")
 
 
 def cuts(keys: np.ndarray, parts: int) -> np.ndarray:

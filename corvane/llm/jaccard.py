@@ -12,10 +12,11 @@ of similarity t share the first c of their common elements within the first n -
 The boundary minimises the subsets that small sets put out plus the list entries that large sets scan; both are summed
 by size, in geometric steps of size, over all sets.
 
-Sets that share a subset or list meet at the list's smallest document. Its members are dealt into blocks, and
-each pair of blocks is one task that counts exact overlaps, leaving out pairs that are already connected, and
-returns a spanning forest rather than pairs. Nothing is capped: a block has at most ``BLOCK_ROWS`` rows
-whatever the size of the group.
+Sets that share a subset or list meet at the list's smallest document, the hub. Its members are dealt into blocks of
+about ``BLOCK_ROWS`` rows. First each block is a task of its own, with the hub added: exact overlaps are counted, pairs
+that are already connected are left out, and what is returned is a spanning forest. Members connected to the hub are
+one component from then on, so a family of near copies is done after work in proportion to its size. Only the others
+are compared across blocks, with each other and with the hub's component, a pair of blocks at a time. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -33,7 +34,9 @@ from .storage import table
 BLOCK_ROWS = 128
 STEP = 1.05  # of the size histogram
 
-_FP = "doc_id long, n_shingles long, f1 long, f2 long"
+_FP = "g int, doc_id long, n_shingles long, f1 long, f2 long"
+_PRINT = ["n_shingles", "f1", "f2"]
+HOT_SHARE = 1000  # a class with one row in so many is hot; there are at most so many of them
 _SETS = "doc_id long, n long, elements array<long>, n_first int, scan double, blob binary"
 
 
@@ -48,7 +51,7 @@ def _sets_of(table_: pa.Table, n: int, rows: np.ndarray | None = None):
 
 
 def fingerprints(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, f1, f2): the size and a 128-bit fingerprint of every document's shingle set."""
+    """(g, doc_id, n_shingles, f1, f2) of (g, doc_id, text): the size and a 128-bit fingerprint of every shingle set."""
 
     def run(batches):
         for batch in batches:
@@ -59,9 +62,9 @@ def fingerprints(docs: DataFrame, n: int) -> DataFrame:
                     total = np.concatenate((np.zeros(1, np.uint64), tk.mix(values ^ tk.U(key)).cumsum(dtype=np.uint64)))
                     to.append(total[at[1:]] - total[at[:-1]])
             if size:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(size), pa.int64()), *(pa.array(np.concatenate(x).view(np.int64)) for x in (f1, f2))], names=["doc_id", "n_shingles", "f1", "f2"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(size), pa.int64()), *(pa.array(np.concatenate(x).view(np.int64)) for x in (f1, f2))], names=["g", "doc_id", "n_shingles", "f1", "f2"])
 
-    return docs.mapInArrow(run, _FP)
+    return docs.mapInArrow(tk.tidy_map(run), _FP)
 
 
 def _element_counts(docs: DataFrame, reps: DataFrame, n: int, parts: int) -> DataFrame:
@@ -147,54 +150,87 @@ def _signatures(sets: DataFrame, last_small: int, num: int, den: int) -> DataFra
     return pairs.unionByName(lists)
 
 
-def _verify(num: int, den: int):
+def _connect(members: pa.Table, comp: np.ndarray, num: int, den: int, across: np.ndarray | None = None) -> np.ndarray:
+    """The components of the members after all links between them, beginning with comp; across: only pairs that differ in it."""
+    sets = [tk.unpack(x, np.uint64, delta=True) for x in members["blob"].to_pylist()]
+    size = np.array([len(s) for s in sets])
+    at = np.concatenate(([0], np.cumsum(size)))
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    mark = np.zeros(int(flat.max()) + 1, bool)
+    for i in range(len(sets)):
+        other = (comp != comp[i]) & (size * den >= num * size[i]) & (size[i] * den >= num * size)
+        if across is not None:
+            other &= across != across[i]
+        todo = np.flatnonzero(other)
+        if not len(todo):
+            continue
+        own = flat[at[i] : at[i + 1]]
+        mark[own] = True
+        hit = mark[flat[tk.ranges(at[todo], size[todo])]]
+        mark[own] = False
+        overlap = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(size[todo])[:-1])), dtype=np.int64)
+        linked = todo[overlap * den >= num * (size[todo] + size[i] - overlap)]
+        if len(linked):
+            comp[np.isin(comp, comp[linked])] = comp[i]
+    return comp
+
+
+def _roots(ids: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Of each member the smallest doc_id of its component."""
+    _, comp = np.unique(comp, return_inverse=True)
+    root = np.full(len(ids), np.iinfo(np.int64).max)
+    np.minimum.at(root, comp, ids)
+    return root[comp]
+
+
+def _within_block(num: int, den: int):
     def run(key: tuple, members: pa.Table) -> pa.Table:
-        lower, upper = key[1].as_py(), key[2].as_py()
-        ids, block = members["doc_id"].to_numpy(), members["block"].to_numpy()
-        sets = [tk.unpack(x, np.uint64, delta=True) for x in members["blob"].to_pylist()]
-        size = np.array([len(s) for s in sets])
-        at = np.concatenate(([0], np.cumsum(size)))
-        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        comp = np.unique(ids, return_inverse=True)[1]  # sets of one doc_id belong together
-        mark = np.zeros(int(flat.max()) + 1, bool)
-        for i in range(len(ids)):
-            other = (comp != comp[i]) & (size * den >= num * size[i]) & (size[i] * den >= num * size)
-            if lower != upper:
-                other &= block != block[i]
-            todo = np.flatnonzero(other)
-            if not len(todo):
-                continue
-            own = flat[at[i] : at[i + 1]]
-            mark[own] = True
-            hit = mark[flat[tk.ranges(at[todo], size[todo])]]
-            mark[own] = False
-            overlap = np.add.reduceat(hit, np.concatenate(([0], np.cumsum(size[todo])[:-1])), dtype=np.int64)
-            linked = todo[overlap * den >= num * (size[todo] + size[i] - overlap)]
-            if len(linked):
-                comp[np.isin(comp, comp[linked])] = comp[i]
-        root = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(root, comp, ids)
-        root = root[comp]
-        keep = root != ids
-        return pa.table({"a": pa.array(ids[keep], pa.int64()), "b": pa.array(root[keep], pa.int64())})
+        ids = members["doc_id"].to_numpy()
+        root = _roots(ids, _connect(members, np.unique(ids, return_inverse=True)[1], num, den))  # sets of one doc_id belong together
+        return pa.table({"hub": members["hub"].combine_chunks(), "doc_id": pa.array(ids, pa.int64()), "root": pa.array(root, pa.int64())})
 
     return run
 
 
-def links(docs: DataFrame, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """A spanning forest (a, b) of the links between class representatives."""
-    grouped, parts, groups = ex.grouped(docs, "doc_id", "text")
-    reps = reps.select(ex.group_of(groups), "doc_id")
-    replies = _element_counts(grouped, reps, n, parts)
-    sets = table(_candidates(grouped, reps, replies, n, num, den))
+def _across_blocks(num: int, den: int):
+    def run(key: tuple, members: pa.Table) -> pa.Table:
+        ids, root = members["doc_id"].to_numpy(), members["root"].to_numpy()
+        across = None if key[1].as_py() == key[2].as_py() else members["block"].to_numpy()
+        found = _roots(ids, _connect(members, np.unique(root, return_inverse=True)[1], num, den, across))
+        keep = found != ids
+        return pa.table({"a": pa.array(ids[keep], pa.int64()), "b": pa.array(found[keep], pa.int64())})
+
+    return run
+
+
+def links(docs: DataFrame, parts: int, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
+    """A spanning forest (a, b) of the links between class representatives. docs: (g, doc_id, text); reps: (g, doc_id)."""
+    replies = _element_counts(docs, reps, n, parts)
+    sets = table(_candidates(docs, reps, replies, n, num, den))
     signatures = _signatures(sets, boundary(sets), num, den)
     lists = signatures.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m")).where("m > 1").select("sig", "hub")
     members = table(signatures.join(lists, "sig").select("hub", "doc_id").distinct())
-    blocks = members.groupBy("hub").agg(F.count("*").alias("m")).where("m > 1").select("hub", F.ceil(F.col("m") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = members.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hub", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"), "block", "doc_id")
-    tasks = dealt.join(sets.select("doc_id", "blob"), "doc_id")
-    return tasks.groupBy("hub", "lower", "upper").applyInArrow(tk.tidy(_verify(num, den)), "a long, b long")
+    count_blocks = F.ceil(F.count("*") / BLOCK_ROWS).cast("int")
+    dealt = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
+    hubs = members.groupBy("hub").agg(F.count("*").alias("m"), count_blocks.alias("blocks")).where("m > 1")
+    own = members.where("doc_id <> hub").join(hubs.select("hub", "blocks"), "hub").select("hub", dealt, "doc_id")
+    with_hub = own.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("doc_id"))
+    blobs = sets.select("doc_id", "blob")
+    local = table(own.unionByName(with_hub).join(blobs, "doc_id").groupBy("hub", "block").applyInArrow(tk.tidy(_within_block(num, den)), "hub long, doc_id long, root long"))
+    edges = local.where("root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+
+    # what is not connected to its hub yet, against itself and against what is
+    left = local.join(hubs.where("blocks > 1").select("hub"), "hub").where("doc_id <> hub")
+    alone, joined = left.where("root <> hub"), left.where("root = hub")
+    sizes = alone.groupBy("hub").agg(count_blocks.alias("blocks"))
+    dealt_to = lambda rows, sizes: rows.join(sizes, "hub").select("hub", "doc_id", "root", dealt)
+    one = dealt_to(alone, sizes)
+    other = dealt_to(joined.join(sizes.select("hub"), "hub", "left_semi"), joined.groupBy("hub").agg(count_blocks.alias("blocks"))).withColumn("block", -1 - F.col("block"))
+    many = sizes.select("hub", F.col("blocks").alias("n_alone")).join(joined.groupBy("hub").agg(count_blocks.alias("n_joined")), "hub", "left")
+    everyone = one.unionByName(other).join(many, "hub")
+    partners = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("n_alone") - 1)).otherwise(F.sequence(-F.coalesce("n_joined", F.lit(0)), F.col("n_alone") - 1))
+    pairs = everyone.select("hub", "doc_id", "root", "block", F.explode(partners).alias("other")).select("hub", "doc_id", "root", "block", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"))
+    return edges.unionByName(pairs.join(blobs, "doc_id").groupBy("hub", "lower", "upper").applyInArrow(tk.tidy(_across_blocks(num, den)), "a long, b long"))
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -207,12 +243,22 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10)
     """
     tk.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = table(fingerprints(docs, n))
-    classes = prints.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
-    reps = classes.where(F.col("rep").isNotNull() & (F.col("n_shingles") * (den - num) >= num)).select(F.col("rep").alias("doc_id"))
+    grouped, parts, _ = ex.grouped(docs, "doc_id", "text")
+    prints = table(fingerprints(grouped, n))
+    worded, total = prints.where("n_shingles > 0"), prints.count()
+    known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "g"))
+    classes = table(worded.groupBy(*_PRINT).agg(F.min(known).alias("rep"), F.count("*").alias("m")).select(*_PRINT, "m", F.col("rep.doc_id").alias("rep"), F.col("rep.g").alias("g")))
+    reps = classes.where(F.col("rep").isNotNull() & (F.col("n_shingles") * (den - num) >= num)).select("g", F.col("rep").alias("doc_id"))
     # rows that repeat a doc_id are one node: classes that share one are linked
-    own = prints.join(classes, ["n_shingles", "f1", "f2"]).where("doc_id IS NOT NULL").select("doc_id", "rep").distinct()
-    same = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("low"), F.count("*").alias("m")).where("m > 1"), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    found = components(links(docs, reps, n, num, den).unionByName(same))
-    classes = classes.join(found, F.col("rep") == F.col("node"), "left").select("n_shingles", "f1", "f2", F.coalesce("root", "rep").alias("component_id"))
-    return prints.join(classes, ["n_shingles", "f1", "f2"], "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    own_print = F.struct(*_PRINT)
+    several = worded.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own_print).alias("low"), F.max(own_print).alias("high")).where("low <> high").select("doc_id")
+    own = worded.join(several, "doc_id").join(classes, _PRINT).select("doc_id", "rep").distinct()
+    same = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    found = components(links(grouped, parts, reps, n, num, den).unionByName(same))
+    classes = classes.join(found, F.col("rep") == F.col("node"), "left").select(*_PRINT, "m", F.coalesce("root", "rep").alias("component_id"))
+    # a class with very many rows is sent to them: at most HOT_SHARE classes are that large
+    is_hot = F.col("m") * HOT_SHARE >= F.lit(total)
+    hot, rare = F.broadcast(classes.where(is_hot).drop("m")), classes.where(~is_hot).drop("m")
+    rows = [worded.join(hot, _PRINT), worded.join(hot.drop("component_id"), _PRINT, "left_anti").join(rare, _PRINT), prints.where("n_shingles = 0").withColumn("component_id", F.lit(None).cast("long"))]
+    out = [r.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")) for r in rows]
+    return out[0].unionByName(out[1]).unionByName(out[2])

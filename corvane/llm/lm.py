@@ -134,9 +134,9 @@ def backoff_scores(docs: DataFrame, order: int = 3, least: int = 2) -> DataFrame
     n_words = docs.agg(F.sum(n_words_of("text")).alias("n")).first()["n"] or 0
     replies = docs.sparkSession.createDataFrame([], "g int, p int, n int, data binary, round int")
     for done in range(len(_rounds(order))):
-        asks = grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_ask(order, done, least, parts), ex.ASK)
+        asks = grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(tk.tidy(_ask(order, done, least, parts)), ex.ASK)
         replies = replies.unionByName(ex.merge(asks, _total, np.uint32).withColumn("round", F.lit(done)))
-    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(_score(order, least, int(n_words)), "doc_id long, n_words long, n_backoff long, log_score double")
+    return grouped.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(tk.tidy(_score(order, least, int(n_words))), "doc_id long, n_words long, n_backoff long, log_score double")
 
 
 def n_words_of(column: str) -> F.Column:

@@ -4,25 +4,53 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; in a session that names none (tests), a new temporary one."""
+    """The folder named by spark.checkpoint.dir; in a local session that names none (tests), a new temporary one.
+
+    On a cluster without that setting there is no folder that all executors are known to share: ValueError.
+    """
     folder = spark.sparkContext._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         named = "file://" + tempfile.mkdtemp()
     spark.sparkContext.setCheckpointDir(named)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+def _place(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
 def table(df: DataFrame) -> DataFrame:
-    """Write a DataFrame to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
+    """Write a DataFrame to the shared folder and read it back: lineage ends there and lost executors cost nothing.
+
+    The files go when the session ends, or earlier by drop().
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files of a table() that nothing reads any more."""
+    path = _paths.pop(df, None)
+    if path:
+        fs, where = _place(df.sparkSession, path)
+        fs.delete(where, True)
