@@ -1,8 +1,11 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
 A document's vector is the mean of the embeddings of its byte 2- and 3-grams, taken inside words with a blank on each side and hashed
-into ``BUCKETS``. Training uses a bounded sample of labelled rows (``SAMPLE`` for each label in expectation, by a hash of doc_id); a
-fifth of it sets the softmax temperature and the confidence under which a prediction is rejected.
+into ``BUCKETS``. Training uses a bounded sample of labelled rows (``SAMPLE`` for each label in expectation, by a hash of doc_id, fewer where
+that makes more than ``MOST_ROWS`` for all labels), and to every other row of it a disguised copy: its letters are
+exchanged by a random permutation, so it has words and lengths of prose but no learned language. Disguised rows are a class of
+their own, which is never predicted but takes probability from the others. A fifth of the sample sets the softmax temperature
+and the confidence under which a prediction is rejected: the one that rejects ``LOST`` of the right predictions there.
 Because the mean and the softmax layer are linear, prediction needs one score for each bucket and label,
 which has a fixed size and is broadcast.
 """
@@ -20,7 +23,8 @@ from . import textkit as tk
 
 BUCKETS = 1 << 14
 SAMPLE = 800
-MOST_LABELS = 500
+MOST_ROWS = 20_000
+LOST = 0.002
 UNKNOWN = "und"
 
 _LETTER = np.full(256, 32, np.uint8)
@@ -54,23 +58,35 @@ def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return found
 
 
+def disguised(data: np.ndarray, off: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The same texts with a permutation of the letters a-z in each, and one of the bytes of other characters."""
+    out = data.copy()
+    for a, b in zip(off[:-1], off[1:]):
+        table = np.arange(256, dtype=np.uint8)
+        letters = rng.permutation(26)
+        table[97:123], table[65:91], table[128:] = 97 + letters, 65 + letters, 128 + rng.permutation(128)
+        out[a:b] = table[data[a:b]]
+    return out
+
+
 @dataclass
 class LanguageModel:
     labels: list[str]
-    scores: np.ndarray  # a row for each bucket, a column for each label, in units of the calibrated softmax
+    scores: np.ndarray  # a row for each bucket, a column for each label and one for no language, in units of the calibrated softmax
     bias: np.ndarray
     threshold: float
 
     def probabilities(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
+        """Of each text the probability of each label; what is missing to 1 is that of no learned language."""
         buckets, at = subwords(data, off)
-        total = np.empty((len(off) - 1, len(self.labels)))
+        total = np.empty((len(off) - 1, len(self.bias)))
         doc = np.repeat(np.arange(len(off) - 1), np.diff(at))
-        for k in range(len(self.labels)):
+        for k in range(len(self.bias)):
             total[:, k] = np.bincount(doc, weights=self.scores[:, k][buckets], minlength=len(total))
         logits = total / np.maximum(1, np.diff(at))[:, None] + self.bias
         logits -= logits.max(axis=1, keepdims=True, initial=-np.inf)
         p = np.exp(logits)
-        return p / p.sum(axis=1, keepdims=True)
+        return (p / p.sum(axis=1, keepdims=True))[:, : len(self.labels)]
 
 
 def is_held_out(doc_id: str = "doc_id") -> F.Column:
@@ -79,43 +95,61 @@ def is_held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """About SAMPLE rows for each label: those whose hash is under the label's share, or all of a rarer label."""
+    """About SAMPLE rows for each label, or fewer to stay within MOST_ROWS: those whose hash is under the label's share, or all of a rarer label."""
     rows = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LABELS)
+    counts = rows.groupBy("lang").count()
+    labels = counts.count()
+    if labels > MOST_ROWS:
+        raise ValueError(f"{labels} labels are more than the {MOST_ROWS} rows that are learned from")
     place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    return rows.join(F.broadcast(counts), "lang").where(place * F.col("count") < SAMPLE).select("doc_id", "text", "lang")
+    return rows.join(F.broadcast(counts), "lang").where(place * F.col("count") < min(SAMPLE, MOST_ROWS // max(1, labels))).select("doc_id", "text", "lang")
 
 
 def _features(docs: DataFrame) -> list:
-    """(doc_id, lang, buckets, weights) of the sample: at most BUCKETS numbers for each row, whatever its length."""
+    """(lang, buckets, weights) of the sample, and of the disguised copies with a null lang.
+
+    At most BUCKETS numbers for each row, whatever its length, and 1.5 * MOST_ROWS rows in expectation reach the driver.
+    """
+
+    def counted(data, off):
+        buckets, at = subwords(data, off)
+        for a, b in zip(at[:-1], at[1:]):
+            ids, counts = np.unique(buckets[a:b], return_counts=True)
+            yield ids, (counts / max(1, b - a)).astype(np.float32)
 
     def run(batches):
         for batch in batches:
+            ids, lang = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
             out = []
-            for _, data, off in tk.blocks(batch.column("text")):
-                buckets, at = subwords(data, off)
-                for a, b in zip(at[:-1], at[1:]):
-                    ids, counts = np.unique(buckets[a:b], return_counts=True)
-                    out.append((ids, (counts / max(1, b - a)).astype(np.float32)))
-            ids, weights = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array(ids, pa.list_(pa.int32())), pa.array(weights, pa.list_(pa.float32()))], names=["doc_id", "lang", "ids", "weights"])
-
-    rows = docs.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, lang string, ids array<int>, weights array<float>").toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["doc_id"][i].as_py(), rows["lang"][i].as_py()))
+            for first, data, off in tk.blocks(batch.column("text")):
+                for i, (buckets, weights) in enumerate(counted(data, off)):
+                    out.append((ids[first + i], lang[first + i], buckets, weights))
+                for i in range(len(off) - 1):
+                    if ids[first + i] % 2:
+                        text = data[off[i] : off[i + 1]]
+                        rng = np.random.default_rng(abs(ids[first + i]))
+                        out += [(ids[first + i], None, *x) for x in counted(disguised(text, np.array([0, len(text)]), rng), np.array([0, len(text)]))]
+            columns = list(zip(*out)) or [()] * 4
+            kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "lang", "ids", "weights"])
+
+    rows = docs.select("doc_id", "text", "lang").mapInArrow(tk.tidy_map(run), "doc_id long, lang string, ids array<int>, weights array<float>").toArrow()
+    order = sorted(range(rows.num_rows), key=lambda i: (rows["doc_id"][i].as_py(), rows["lang"][i].as_py() or "", rows["lang"][i].as_py() is None))
     return [(rows["lang"][i].as_py(), rows["ids"][i].values.to_numpy(), rows["weights"][i].values.to_numpy()) for i in order if len(rows["ids"][i].values)]
 
 
 def fit(rows: list, dim: int = 16, epochs: int = 6, rate: float = 4.0, seed: int = 7) -> LanguageModel | None:
-    """Plain SGD over (label, buckets, weights) rows in a seeded order; None without rows."""
-    if not rows:
+    """Plain SGD over (label, buckets, weights) rows in a seeded order, label None for no language; None without labelled rows."""
+    labels = sorted({r[0] for r in rows if r[0] is not None})
+    if not labels:
         return None
-    labels = sorted({r[0] for r in rows})
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(rows))
     check, train = order[: len(rows) // 5], order[len(rows) // 5 :]
     embed = rng.uniform(-1 / dim, 1 / dim, (BUCKETS, dim)).astype(np.float32)
-    out, bias = np.zeros((dim, len(labels)), np.float32), np.zeros(len(labels), np.float32)
-    target = np.array([labels.index(r[0]) for r in rows])
+    out, bias = np.zeros((dim, len(labels) + 1), np.float32), np.zeros(len(labels) + 1, np.float32)
+    number = {x: i for i, x in enumerate([*labels, None])}
+    target = np.array([number[r[0]] for r in rows])
     done, steps = 0, epochs * len(train)
     for _ in range(epochs):
         for i in rng.permutation(train):
@@ -143,8 +177,9 @@ def fit(rows: list, dim: int = 16, epochs: int = 6, rate: float = 4.0, seed: int
     loss = {t: -np.log(np.maximum(soft(t)[np.arange(len(truth)), truth], 1e-12)).mean() for t in np.geomspace(0.25, 8, 41)}
     best = min(loss, key=loss.get)
     p = soft(best)
-    right = p.max(axis=1)[p.argmax(axis=1) == truth]
-    threshold = float(min(0.5, np.quantile(right, 0.001))) if len(right) else 0.0
+    best_label = p[:, :-1].argmax(axis=1)
+    right = p[np.arange(len(truth)), best_label][best_label == truth]
+    threshold = float(min(0.5, np.quantile(right, LOST))) if len(right) else 0.0
     return LanguageModel(labels, scores / best, bias / best, threshold)
 
 
@@ -158,8 +193,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
     """(kept columns, lang_pred, score, rejected) for every row of documents.
 
     lang_pred: the most probable label, of equal ones the first by name; "und" with score 0 where the text is null or
-    has no letter, and for all rows if the model has learned from none. rejected: "und", or a calibrated probability under the model's
-    threshold. Each row is judged by its whole text alone; keep names the columns carried along (doc_id).
+    has no letter, and for all rows if the model has learned from none. score: its calibrated probability, next to the other
+    labels and to no learned language. rejected: "und", or a score under the model's threshold. Each row is judged by its whole text alone; keep names the columns carried along (doc_id).
     """
     spark = docs.sparkSession
     tk.ship(spark)
@@ -181,4 +216,4 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
 
     rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{ddl}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tk.tidy_map(run), f"{ddl}, lang_pred string, score double, rejected boolean")
