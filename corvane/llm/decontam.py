@@ -1,7 +1,8 @@
 """Benchmark decontamination with a broadcast hash set of normalised test n-grams.
 
-The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, so what is broadcast at a time has a fixed bound
-however large the benchmark is; every block scans all documents. Windows whose hash is in the set are verified against
+The benchmark is read in blocks of about ``BLOCK_BYTES`` of text (a longer item is a block of its own), and what is
+broadcast is some six times its block. Where there are several, each scans all documents, and what it found is written
+to the shared folder before the next one, so a task and the cluster never hold more than one. Windows whose hash is in the set are verified against
 the benchmark's words before they count.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit as tk
+from .storage import drop, table
 
 BLOCK_BYTES = 16 << 20
 _FILTER_BITS = 20
@@ -24,63 +26,61 @@ _FILTER_BITS = 20
 STATE = "doc_id long, text string, n_words long, hits binary, items array<string>"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    data, off = tk.utf8(pa.array([text or ""]))
-    data = tk.lower(data)
-    words = tk.find_words(data, off, tk.ALNUM_WORDS)
-    raw = data.tobytes()
-    return [raw[a:b] for a, b in zip(words.start, words.end)]
-
-
 class WindowSet:
-    """Windows of a block of benchmark items by their length, with the items that have them."""
+    """Windows of a block of benchmark items, by their length: sorted hashes, and where each stands in the items' words.
+
+    About 28 bytes for each word and the words themselves once.
+    """
 
     def __init__(self, items: list[tuple[str, str]], n: int):
-        found: dict[int, dict[tuple[bytes, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
-        for item, text in items:
-            words = words_of(text)
-            size = min(n, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                found[size][tuple(words[i : i + size])].add(item)
+        self.names = [i for i, _ in items]
+        data, off = tk.utf8(pa.array([t for _, t in items], pa.large_string()))
+        data = tk.lower(data)
+        words = tk.find_words(data, off, tk.ALNUM_WORDS)
+        hashes, size = tk.span_hashes(data, words.start, words.end), words.end - words.start
+        start = np.cumsum(size + 1) - size - 1
+        text = np.full(int((size + 1).sum()), 32, np.uint8)
+        text[tk.ranges(start, size)] = data[tk.ranges(words.start, size)]
+        self.text = text.tobytes()
+        counts = words.counts
         self.by_size = {}
-        for size, windows in found.items():
-            keys = list(windows)
-            joined = [w for k in keys for w in k]
-            ends = np.cumsum([len(w) for w in joined])
-            hashes = tk.span_hashes(np.frombuffer(b"".join(joined), np.uint8), np.concatenate(([0], ends[:-1])), ends)
-            hashes = tk.ngram_hashes(hashes, size)[::size]
-            by_hash = defaultdict(list)
-            for h, k in zip(hashes.tolist(), keys):
-                by_hash[h].append((b" ".join(k), sorted(windows[k])))
+        for k in sorted(set(np.minimum(counts[counts > 0], n).tolist())):
+            rows = np.flatnonzero(counts >= n if k == n else counts == k)
+            at = tk.ranges(words.doc_off[rows], counts[rows] - k + 1)
+            grams = tk.ngram_hashes(hashes, k)[at]
+            order = np.argsort(grams, kind="stable")
+            at, owner = at[order], np.repeat(rows, counts[rows] - k + 1)[order]
             member = np.zeros(1 << _FILTER_BITS, bool)
-            member[hashes >> tk.U(64 - _FILTER_BITS)] = True
-            self.by_size[size] = (np.unique(hashes), member, dict(by_hash))
+            member[grams >> tk.U(64 - _FILTER_BITS)] = True
+            self.by_size[k] = (grams[order], member, start[at], start[at + k - 1] + size[at + k - 1], owner.astype(np.int32))
 
     def scan(self, data: np.ndarray, words: tk.Words):
         """(first word, size, items) of each verified window of a lower-cased block."""
         hashes = tk.span_hashes(data, words.start, words.end)
         raw = data.tobytes()
-        for size, (known, member, by_hash) in self.by_size.items():
+        for size, (known, member, begin, end, owner) in self.by_size.items():
             grams = tk.ngram_hashes(hashes, size)
             at = np.flatnonzero(member[grams >> tk.U(64 - _FILTER_BITS)] & tk.within(words.doc_off, size)[: len(grams)]) if len(grams) else []
             if not len(at):
                 continue
-            place = np.minimum(np.searchsorted(known, grams[at]), len(known) - 1)
-            for i in at[known[place] == grams[at]].tolist():
-                window = b" ".join(raw[words.start[i + j] : words.end[i + j]] for j in range(size))
-                for text, items in by_hash[int(grams[i])]:
-                    if text == window:
-                        yield i, size, items
+            low, high = np.searchsorted(known, grams[at]), np.searchsorted(known, grams[at], side="right")
+            for j in np.flatnonzero(low < high).tolist():
+                i = int(at[j])
+                window = b" ".join(raw[words.start[i + k] : words.end[i + k]] for k in range(size))
+                items = {self.names[owner[x]] for x in range(low[j], high[j]) if self.text[begin[x] : end[x]] == window}
+                if items:
+                    yield i, size, items
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
     block, size = [], 0
     for row in benchmark.select(F.col("item_id").cast("string").alias("i"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t")).toLocalIterator():
-        block.append((row["i"] or "", row["t"]))
-        size += len(row["t"])
-        if size >= BLOCK_BYTES:
+        more = len(row["t"].encode())
+        if block and size + more > BLOCK_BYTES:
             yield block
             block, size = [], 0
+        block.append((row["i"] or "", row["t"]))
+        size += more
     if block:
         yield block
 
@@ -98,14 +98,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, keep: tuple[s
     tk.ship(spark)
     state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hits"), F.expr("cast(array() as array<string>)").alias("items"), *[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)])
     ddl = STATE + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in state.schema.fields[5:])
-    for block in itertools.chain(_blocks(benchmark), [[]]) if benchmark.isEmpty() else _blocks(benchmark):
-        known = spark.sparkContext.broadcast(WindowSet(block, n))
-
-        def run(batches, known=known):
+    last = None
+    for block in itertools.chain(_blocks(benchmark), [[]] if benchmark.isEmpty() else []):
+        if last is not None:  # another block follows: what the last one found is written before this one is sent out
+            written = table(state)
+            last.destroy()
+            drop(before)
+            state = written
+        before, last = state, spark.sparkContext.broadcast(WindowSet(block, n))
+
+        def run(batches, known=last):
             for batch in batches:
                 yield _scan(batch, known.value)
 
-        state = state.mapInArrow(run, ddl)
+        state = state.mapInArrow(tk.tidy_map(run), ddl)
     return state
 
 
@@ -140,7 +146,8 @@ def leak_report(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFrame
 def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop: str = "spans", keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, text, kept columns): the documents that hit nothing as they are, and of the others what is left.
 
-    drop: "spans" cuts each run of hit words from its first to its last byte; "documents" leaves the document out.
+    drop: "spans" cuts each run of hit words from its first to its last byte; "documents" leaves the document out. A null
+    text stays null, an empty one empty; each repeated row is treated alike; kept columns may have any names.
     """
     found = find_leaks(docs, benchmark, n, keep)
     if drop == "documents":
@@ -164,4 +171,4 @@ def remove_leaks(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop: str =
                 text[d] = b"".join([*out, raw[at:]]).decode()
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(text, pa.string()), *batch.columns[5:]], names=["doc_id", "text", *batch.schema.names[5:]])
 
-    return found.mapInArrow(run, "doc_id long, text string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[5:])).toDF("doc_id", "text", *keep)
+    return found.mapInArrow(tk.tidy_map(run), "doc_id long, text string" + "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in found.schema.fields[5:])).toDF("doc_id", "text", *keep)
