@@ -112,6 +112,62 @@ def test_language_id_held_out(spark, sf):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def brute_language(model, text):
+    """(lang_pred, score, rejected) gram by gram, in plain Python."""
+    import math
+
+    if not any(c.isalpha() for c in text or ""):
+        return "und", 0.0, True
+    grams, letters = [], bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in text.encode())
+    padded = b" " + letters + b"  "
+    for i, b in enumerate(letters):
+        if b != 32:
+            grams += [padded[i] | b << 8 | 1 << 24, padded[i] | b << 8 | padded[i + 2] << 16]
+    buckets = [g * 0x9E3779B97F4A7C15 % 2**64 >> 50 for g in grams]
+    z = [sum(float(model.scores[b, k]) for b in buckets) / len(buckets) + float(model.bias[k]) for k in range(len(model.bias))]
+    p = [math.exp(x - max(z)) for x in z]
+    p = [x / sum(p) for x in p]
+    best = max(range(len(model.labels)), key=lambda k: (p[k], -k))
+    return model.labels[best], p[best], p[best] < model.threshold
+
+
+def test_language_id_against_brute_force(spark, sf, texts):
+    model = langid.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    more = {-1: "ÀÉ déjà", -2: "a", -3: "1 ª", -4: "", -5: None, -6: "x" * 5000}
+    df = spark.createDataFrame(list({**texts, **more}.items()), "doc_id long, text string")
+    for r in langid.predict(df, model).collect():
+        label, score, rejected = brute_language(model, texts.get(r.doc_id, more.get(r.doc_id)))
+        assert r.lang_pred == label and abs(r.score - score) < 1e-6 and (r.rejected == rejected or abs(score - model.threshold) < 1e-6), r
+
+
+def test_language_id_rejects_other_languages_only(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    other = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto.", "Όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα.",
+        "すべての人間は、生まれながらにして自由であり、かつ、尊厳と権利とについて平等である。", "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw.", "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler.",
+        "Все люди рождаются свободными и равными в своем достоинстве и правах.", "Minden emberi lény szabadon születik és egyenlő méltósága és joga van.", "Zxqv kwrtp gfdh jklq mnbvc xzqw.",
+    ]
+    rng = np.random.default_rng(11)
+    plain = [r.text for r in docs.where("doc_id % 5 = 0 AND length(text) > 200").collect()][:40]
+    hidden = [bytes(langid.disguised(d := np.frombuffer(t.encode(), np.uint8), np.array([0, len(d)]), rng)).decode(errors="replace") for t in plain]
+    rows = [(i, t) for i, t in enumerate(other)] + [(100 + i, t) for i, t in enumerate(hidden)]
+    gone = {r.doc_id: r.rejected for r in langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert sum(gone[i] for i in range(len(other))) >= 7 and np.mean([gone[100 + i] for i in range(len(hidden))]) > 0.9, gone
+    found = langid.predict(docs, model).collect()
+    assert np.mean([r.rejected for r in found if r.lang_pred != "und"]) < 0.02
+
+
+def test_language_id_learns_all_labels_or_refuses(spark, monkeypatch):
+    rows = [(i, f"word{i % 40} " * 30, f"l{i % 40:02}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(langid.train(docs).labels) == 40
+    monkeypatch.setattr(langid, "MOST_ROWS", 39)
+    with pytest.raises(ValueError, match="40 labels"):
+        langid.train(docs)
+    assert langid.train(docs.where("lang IS NULL")) is None
+
+
 def test_bpe_equals_the_library(spark, sf, texts):
     from tokenizers import Tokenizer
 
@@ -224,12 +280,17 @@ def test_leaks_remove(spark):
     report = [r for r in decontam.leak_report(docs, bench).collect() if r.n_hit]
     assert [(r.doc_id, r.n_hit, r["items"]) for r in report] == [(2, 12, ["5", "6"])]
     assert decontam.remove_leaks(docs, bench, drop="documents").count() == 3
+    more = docs.selectExpr("*", "'k' AS items", "7 AS hits", "'t' AS __0")
+    for drop, n in (("spans", 4), ("documents", 3)):
+        kept = decontam.remove_leaks(more, bench, drop=drop, keep=("items", "hits", "__0")).collect()
+        assert len(kept) == n and {(r["items"], r.hits, r["__0"]) for r in kept} == {("k", 7, "t")}
+    assert decontam.remove_leaks(docs.limit(0), bench).collect() == []
     assert {r.n_hit for r in decontam.leak_report(docs, bench.limit(0)).collect()} == {0}
 
 
 def test_benchmark_blocks_give_the_same(spark, sf, monkeypatch):
     want = sorted(map(str, queries.op9_benchmark_decontamination(spark, sf).collect()))
-    monkeypatch.setattr(decontam, "BLOCK_BYTES", 2000)
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 6000)
     assert sorted(map(str, queries.op9_benchmark_decontamination(spark, sf).collect())) == want
 
 
@@ -269,6 +330,38 @@ def test_url_rules_and_words(spark):
     assert (rows[0].host, rows[0].path, rows[7].host, rows[8].path) == ("a.example.com", "/en/7x", "", "")
 
 
+def test_url_rules_of_equal_length(spark):
+    rules = (urlfilter.Rule("block", "a.com", "/x"), urlfilter.Rule("allow", "a.com", "/x"), urlfilter.Rule("block", "b.a.com", ""), urlfilter.Rule("allow", "a.com", "/y"))
+    df = spark.createDataFrame([(1, "http://b.a.com/x"), (2, "http://b.a.com/y"), (None, None), (2, "http://b.a.com/y")], "page_id long, url string")
+    judged = lambda rules: sorted({(r.page_id, r.rule, r.verdict) for r in urlfilter.judge_urls(df, rules).collect()}, key=str)
+    assert judged(rules) == [(1, "a.com/x", "block"), (2, "b.a.com", "block"), (None, None, "allow")]
+    assert judged(rules[::-1]) == [(1, "b.a.com", "block"), (2, "a.com/y", "allow"), (None, None, "allow")]
+    assert urlfilter.judge_urls(df, rules).count() == 4 and urlfilter.judge_urls(df.limit(0), rules).collect() == []
+
+
+def test_no_shared_folder_on_a_cluster():
+    from corvane.llm import storage
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+            class _jsc:
+                class _sc:
+                    class getCheckpointDir:
+                        isDefined = staticmethod(lambda: False)
+
+                    getCheckpointDir = staticmethod(lambda: type("none", (), {"isDefined": staticmethod(lambda: False)}))
+
+                sc = staticmethod(lambda: Session.sparkContext._jsc._sc)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        storage.shared_folder(Session)
+
+
 def test_spans_keep_the_first(spark):
     s = [f"Sentence number {i} has its own words." for i in range(9)]
     docs = spark.createDataFrame([(1, " ".join(s[:5])), (2, "Start here. " + " ".join(s[1:5]) + " End here."), (3, " ".join(s[:2])), (4, None), (None, " ".join(s[:3]))], "doc_id long, text string")
@@ -352,6 +445,38 @@ def test_pipeline_stages(spark, sf, texts):
     assert p.run(spark, sf).columns == ["doc_id", "n_tokens", "ids"]
 
 
+def test_pipeline_against_brute_force(spark, sf, texts):
+    import corpus_pipeline as p
+    from tokenizers import Tokenizer
+
+    model = langid.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    left = {i: t for i, t in texts.items() if not brute_language(model, t)[2]}
+    one_each = brute_components(left, 5, 4, 5)
+    left = {i: t for i, t in left.items() if one_each[i][1] == i}
+    seen, cut = {}, {}
+    for i in sorted(left):
+        b = left[i].encode()
+        gone = np.zeros(len(b), bool)
+        for j in range(len(b) - 49):
+            if seen.setdefault(b[j : j + 50], i) < i:
+                gone[j : j + 50] = True
+        at, kept = 0, []
+        for c in left[i]:
+            size = len(c.encode())
+            kept.append("" if gone[at : at + size].all() else c)
+            at += size
+        if "".join(kept):
+            cut[i] = "".join(kept)
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    windows = {tuple(w[k : k + n]) for w in (words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()) if w for n in [min(10, len(w))] for k in range(len(w) - n + 1)}
+    sizes = {len(w) for w in windows}
+    leaks = lambda t: any(tuple(w[k : k + n]) in windows for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))
+    tok = Tokenizer.from_file(queries.tokenizer_path())
+    want = {i: tok.encode(t, add_special_tokens=False).ids for i, t in cut.items() if not leaks(t)}
+    got = p.run(spark, sf).collect()
+    assert {r.doc_id: r.ids for r in got} == want and len(got) == len(want) and all(r.n_tokens == len(r.ids) for r in got)
+
+
 def test_pipeline_nasty_rows(spark, sf, nasty):
     import corpus_pipeline as p
 
