@@ -47,7 +47,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left."""
-    return bpe.encode_documents(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids")
+    return bpe.encode_documents(docs, tokenizer_path(), decoded=False).select("doc_id", "n_tokens", "ids")
 
 
 STAGES = [
