@@ -52,6 +52,6 @@ def forbidden_tokens(patterns: DataFrame) -> DataFrame:
 
 
 def lint(lines: DataFrame, tokens: list[str]) -> DataFrame:
-    """(rel, line_no, token) of lines (rel, line_no, line) that hold a forbidden token; the list is a manifest's, a parameter."""
-    hits = F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains("line", t))
+    """(rel, line_no, token) of lines (rel, line_no, line) that hold a forbidden token in any case; the list is a manifest's, a parameter."""
+    hits = F.filter(F.array(*map(F.lit, tokens)), lambda t: F.contains(F.lower("line"), F.lower(t)))
     return lines.select("rel", "line_no", F.explode(hits).alias("token")) if tokens else lines.select("rel", "line_no", F.lit("").alias("token")).limit(0)

@@ -37,6 +37,60 @@ def fields(notes: DataFrame) -> DataFrame:
     return notes.select("rel", F.map_from_arrays(keys, last).alias("fields"))
 
 
+def fields_of_search(notes: DataFrame) -> DataFrame:
+    """(rel, fields MAP<STRING, ARRAY<STRING>>) as search reads them: inline lists, empty and block values as empty lists, tags in lower case without #.
+
+    A block that is not closed takes the whole note.
+    """
+    opened = F.col("content").rlike("\\A---[ \\t]*(\\r?\\n|\\z)")
+    block = F.regexp_replace(F.regexp_replace("content", "\\A---[ \\t]*\\r?\\n", ""), "(?s)(\\A|\\n)---[ \\t]*(\\r?\\n.*)?\\z", "")
+    pairs = F.filter(F.split(F.when(opened, block).otherwise(""), "\r?\n"), lambda x: x.rlike("^[A-Za-z_-]+\\s*:"))
+
+    def entry(x: Column) -> Column:
+        key, value = F.lower(F.trim(F.substring_index(x, ":", 1))), F.trim(F.regexp_replace(x, "^[^:]*:", ""))
+        items = F.when(value.isin("", "|"), F.expr(T.EMPTY)).otherwise(listed(value))
+        return F.struct(key.alias("k"), F.when(key == "tags", F.transform(items, lambda t: F.lower(t))).otherwise(items).alias("v"))
+
+    entries = F.transform(pairs, entry)
+    keys = F.array_distinct(F.transform(entries, lambda e: e["k"]))
+    last = F.transform(keys, lambda k: F.element_at(F.filter(entries, lambda e: e["k"] == k), -1)["v"])
+    return notes.select("rel", F.map_from_arrays(keys, last).alias("fields"))
+
+
+def fields_of_drafts(notes: DataFrame) -> DataFrame:
+    """(rel, fields, body) as triage and consolidation read them: what stands between the first two ---, wherever those are."""
+    parts = F.split("content", "---", 3)
+    whole = F.startswith("content", F.lit("---")) & (F.size(parts) == 3)
+    as_note = F.concat(F.lit("---\n"), F.trim(F.regexp_replace(F.get(parts, F.lit(1)), "^\\s+|\\s+$", "")), F.lit("\n---\n"))
+    read = fields(notes.select("rel", F.when(whole, as_note).otherwise("").alias("content")))
+    body = F.when(whole, F.regexp_replace(F.get(parts, F.lit(2)), "^\\s+|\\s+$", "")).otherwise(F.col("content"))
+    return notes.select("rel", body.alias("body")).join(read, "rel").select("rel", "fields", "body")
+
+
+def tags_of_block(notes: DataFrame) -> DataFrame:
+    """(rel, tags) as the compactor reads them: every ``- `` line of the leading block is a tag."""
+    block = F.regexp_extract("content", "(?s)\\A---[ \\t]*\\r?\\n(.*?)\\r?\\n---", 1)
+    items = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("- ")))
+    return notes.select("rel", F.transform(items, lambda x: F.regexp_replace(F.trim(F.substring(x, 3, 1 << 20)), "^['\"]+|['\"]+$", "")).alias("tags"))
+
+
+def with_placeholders(content: Column) -> Column:
+    """Template marks {{x}} as plain words placeholder_x, so that a leading block with them can be read."""
+    return F.regexp_replace(content, "\\{\\{\\s*([^{}]*?)\\s*\\}\\}", "placeholder_$1")
+
+
+def without_fences(content: Column) -> Column:
+    """The text without what stands between pairs of three backticks, wherever they are in a line."""
+    return F.regexp_replace(content, "(?s)```.*?```", "")
+
+
+def link_forms(notes: DataFrame) -> DataFrame:
+    """(rel, target, name): distinct targets of all links of a note, its leading block and fences included, with their last part."""
+    raw = F.explode(F.array_distinct(F.transform(F.regexp_extract_all("content", F.lit("\\[\\[([^\\]]+)\\]\\]"), 1), T.link_target)))
+    rows = notes.select("rel", raw.alias("target")).where("target <> ''")
+    return rows.select("rel", "target", F.substring_index("target", "/", -1).alias("name"))
+
+
 def listed(value: Column) -> Column:
     """The items of an inline list ``[a, b]`` or of one bare value."""
     inner = F.regexp_replace(value, "^\\[|\\]$", "")

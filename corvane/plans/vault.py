@@ -72,10 +72,10 @@ def misc15_neutralised_links(spark, sf_dir):
     return export.neutralise_links(notes, spark.range(4).selectExpr("concat('k/', id) AS target"))
 
 
-@query("SELECT doc_id AS rel, i AS line_no, token FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM documents), (VALUES ('ing'), ('license'), ('th')) t(token) WHERE contains(line, token)")
+@query("SELECT doc_id AS rel, i AS line_no, token FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS i FROM documents), (VALUES ('ing'), ('License'), ('th')) t(token) WHERE contains(lower(line), lower(token))")
 def lint1_forbidden(spark, sf_dir):
     lines = rows(spark, sf_dir, "documents", "doc_id AS rel", "posexplode(split(text, '\n')) AS (i, line)").selectExpr("rel", "i + 1 AS line_no", "line")
-    return export.lint(lines, ["ing", "license", "th"])
+    return export.lint(lines, ["ing", "License", "th"])
 
 
 _NAMED = "CASE {0} % 6 WHEN 0 THEN '99-Inbox/x' WHEN 1 THEN '10-Daily/x' WHEN 2 THEN '01-Rules/2024-01-01-' WHEN 3 THEN '03-Languages/go/x-standards-' WHEN 4 THEN 'a?b|' ELSE '01-Rules/(s p' END"

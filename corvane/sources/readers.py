@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,13 +47,21 @@ _READ = re.compile(r"^\s*(?:select|with|show|describe|explain)\b", re.IGNORECASE
 
 
 def guarded_sql(spark: SparkSession, query: str, limit: int = 20) -> DataFrame:
-    """At most ``limit`` rows of one reading statement; anything else is refused."""
+    """At most ``limit`` rows of one reading statement; anything else is refused. PRAGMA table_info(t) describes a table."""
     body = query.strip().rstrip(";")
+    body = re.sub(r"(?i)^pragma\s+table_info\s*\(\s*['\"`]?(\w+)['\"`]?\s*\)$", r"DESCRIBE TABLE \1", body)
     if ";" in body or not _READ.match(body):
         raise ValueError("only a single SELECT, WITH, SHOW, DESCRIBE or EXPLAIN statement is allowed")
     return spark.sql(body).limit(limit)
 
 
+def table_counts(spark: SparkSession, names: list[str] | None = None) -> DataFrame:
+    """(table, n) of catalog tables and views, all by default: one union of counts, each of which reads no column."""
+    names = sorted({t.name for t in spark.catalog.listTables()}) if names is None else names
+    counts = [spark.table(n).agg(F.count("*").alias("n")).select(F.lit(n).alias("table"), "n") for n in names]
+    return reduce(DataFrame.unionByName, counts) if counts else spark.createDataFrame([], "table string, n bigint")
+
+
 def describe_tables(spark: SparkSession, names: list[str]) -> DataFrame:
     """(table, position, column, type) of catalog tables or views."""
     rows = [(n, i, c.name, c.dataType) for n in names for i, c in enumerate(spark.catalog.listColumns(n))]
