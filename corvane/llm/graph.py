@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from .storage import drop, table
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     """(node, root) for every node of (a, b) edges; root: the smallest node that it reaches.
 
     Alternating large and small stars (Kiveris et al. 2014): each round is two groupings and two equi-joins over the edges, and
     rounds grow with the logarithm of the longest chain. Each round's edges are written to the
-    shared folder, and those of the round before are deleted.
+    shared folder, in so many files at most, and those of the round before are deleted.
     """
-    edges = table(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct())
+    edges = table(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), files)
     state = None
     while True:
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
-        before, edges = edges, table(small.where("u <> v").distinct())
+        before, edges = edges, table(small.where("u <> v").distinct(), files)
         drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:

@@ -29,9 +29,10 @@ from pyspark.sql import functions as F
 from . import exchange as ex
 from . import textkit as tk
 from .graph import components
-from .storage import table
+from .storage import drop, table
 
 BLOCK_ROWS = 128
+LEAST_FILES = 24  # of an intermediate table; larger inputs have one for 8 groups of documents
 STEP = 1.05  # of the size histogram
 
 _FP = "g int, doc_id long, n_shingles long, f1 long, f2 long"
@@ -203,20 +204,20 @@ def _across_blocks(num: int, den: int):
     return run
 
 
-def links(docs: DataFrame, parts: int, reps: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """A spanning forest (a, b) of the links between class representatives. docs: (g, doc_id, text); reps: (g, doc_id)."""
+def links(docs: DataFrame, parts: int, files: int, reps: DataFrame, n: int, num: int, den: int) -> tuple[DataFrame, list[DataFrame]]:
+    """A spanning forest (a, b) of the links between class representatives, and the tables that it is read from. docs: (g, doc_id, text); reps: (g, doc_id)."""
     replies = _element_counts(docs, reps, n, parts)
-    sets = table(_candidates(docs, reps, replies, n, num, den))
+    sets = table(_candidates(docs, reps, replies, n, num, den), files)
     signatures = _signatures(sets, boundary(sets), num, den)
     lists = signatures.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m")).where("m > 1").select("sig", "hub")
-    members = table(signatures.join(lists, "sig").select("hub", "doc_id").distinct())
+    members = table(signatures.join(lists, "sig").select("hub", "doc_id").distinct(), files)
     count_blocks = F.ceil(F.count("*") / BLOCK_ROWS).cast("int")
     dealt = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
     hubs = members.groupBy("hub").agg(F.count("*").alias("m"), count_blocks.alias("blocks")).where("m > 1")
     own = members.where("doc_id <> hub").join(hubs.select("hub", "blocks"), "hub").select("hub", dealt, "doc_id")
     with_hub = own.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("doc_id"))
     blobs = sets.select("doc_id", "blob")
-    local = table(own.unionByName(with_hub).join(blobs, "doc_id").groupBy("hub", "block").applyInArrow(tk.tidy(_within_block(num, den)), "hub long, doc_id long, root long"))
+    local = table(own.unionByName(with_hub).join(blobs, "doc_id").groupBy("hub", "block").applyInArrow(tk.tidy(_within_block(num, den)), "hub long, doc_id long, root long"), files)
     edges = local.where("root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
 
     # what is not connected to its hub yet, against itself and against what is
@@ -230,7 +231,7 @@ def links(docs: DataFrame, parts: int, reps: DataFrame, n: int, num: int, den: i
     everyone = one.unionByName(other).join(many, "hub")
     partners = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("n_alone") - 1)).otherwise(F.sequence(-F.coalesce("n_joined", F.lit(0)), F.col("n_alone") - 1))
     pairs = everyone.select("hub", "doc_id", "root", "block", F.explode(partners).alias("other")).select("hub", "doc_id", "root", "block", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"))
-    return edges.unionByName(pairs.join(blobs, "doc_id").groupBy("hub", "lower", "upper").applyInArrow(tk.tidy(_across_blocks(num, den)), "a long, b long"))
+    return edges.unionByName(pairs.join(blobs, "doc_id").groupBy("hub", "lower", "upper").applyInArrow(tk.tidy(_across_blocks(num, den)), "a long, b long")), [sets, members, local]
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -243,18 +244,21 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10)
     """
     tk.ship(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    grouped, parts, _ = ex.grouped(docs, "doc_id", "text")
-    prints = table(fingerprints(grouped, n))
+    grouped, parts, groups = ex.grouped(docs, "doc_id", "text")
+    files = max(LEAST_FILES, groups // 8)
+    prints = table(fingerprints(grouped, n), files)
     worded, total = prints.where("n_shingles > 0"), prints.count()
     known = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "g"))
-    classes = table(worded.groupBy(*_PRINT).agg(F.min(known).alias("rep"), F.count("*").alias("m")).select(*_PRINT, "m", F.col("rep.doc_id").alias("rep"), F.col("rep.g").alias("g")))
+    classes = table(worded.groupBy(*_PRINT).agg(F.min(known).alias("rep"), F.count("*").alias("m")).select(*_PRINT, "m", F.col("rep.doc_id").alias("rep"), F.col("rep.g").alias("g")), files)
     reps = classes.where(F.col("rep").isNotNull() & (F.col("n_shingles") * (den - num) >= num)).select("g", F.col("rep").alias("doc_id"))
     # rows that repeat a doc_id are one node: classes that share one are linked
     own_print = F.struct(*_PRINT)
     several = worded.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own_print).alias("low"), F.max(own_print).alias("high")).where("low <> high").select("doc_id")
     own = worded.join(several, "doc_id").join(classes, _PRINT).select("doc_id", "rep").distinct()
     same = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
-    found = components(links(grouped, parts, reps, n, num, den).unionByName(same))
+    linked, used = links(grouped, parts, files, reps, n, num, den)
+    found = components(linked.unionByName(same), files)
+    drop(*used)
     classes = classes.join(found, F.col("rep") == F.col("node"), "left").select(*_PRINT, "m", F.coalesce("root", "rep").alias("component_id"))
     # a class with very many rows is sent to them: at most HOT_SHARE classes are that large
     is_hot = F.col("m") * HOT_SHARE >= F.lit(total)

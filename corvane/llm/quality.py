@@ -7,6 +7,8 @@ its language's reference is over a limit, and the text is long enough for the di
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,22 @@ MOST_WORD_DISTANCE = 0.25  # a text without common words has about 0.3 if a sixt
 _SPACE = "[ \\t\\n\\x0B\\f\\r]"
 
 
-def _count_in(text: Column, kind: str) -> Column:
-    return F.length(F.regexp_replace(text, f"[^{kind}]+", ""))
+def _kinds(text: Column) -> Column:
+    """The text with every character of a class as that class's letter, and white space as a letter of its own.
+
+    Letters themselves are all in a class, so a class's letter stands for nothing else: one pass over the text for all classes.
+    """
+    members = [*map(_members, CLASSES.values()), " \t\n\x0b\f\r"]
+    return F.translate(text, "".join(members), "".join(chr(97 + i) * len(m) for i, m in enumerate(members)))
+
+
+def _members(kind: str) -> str:
+    """The characters of a class written with ranges, as in a pattern."""
+    return "".join(c for c in map(chr, range(33, 127)) if re.fullmatch(f"[{kind}]", c))
+
+
+def _count(kinds: Column, i: int) -> Column:
+    return F.length(kinds) - F.length(F.replace(kinds, F.lit(chr(97 + i)), F.lit("")))
 
 
 def _repeat_words(words: Column, n: int) -> Column:
@@ -58,11 +74,11 @@ def features(docs: DataFrame) -> DataFrame:
     """One pass over the texts: base measures and both histograms of every row."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), text.alias("text"))
-    rows = rows.select("*", F.array_remove(F.split("text", f"{_SPACE}+"), "").alias("words"))
+    rows = rows.select("*", F.array_remove(F.split("text", f"{_SPACE}+"), "").alias("words"), _kinds(F.col("text")).alias("kinds"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{_SPACE[1:-1]}]"))
     common = F.filter(F.col("words"), lambda w: w.isin(*COMMON))
-    counts = [_count_in(F.col("text"), kind).cast("double") for kind in CLASSES.values()]
-    word_chars = F.length(F.regexp_replace("text", f"{_SPACE}+", ""))
+    counts = [_count(F.col("kinds"), i).cast("double") for i in range(len(CLASSES))]
+    word_chars = F.length("text") - _count(F.col("kinds"), len(CLASSES))
     rows = rows.select(
         "doc_id", "lang", F.size("words").cast("long").alias("n_words"), word_chars.cast("long").alias("word_chars"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),

@@ -9,6 +9,7 @@ import weakref
 from pyspark.sql import DataFrame, SparkSession
 
 _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+_made: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,24 +34,41 @@ def _place(spark: SparkSession, path: str):
     return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
 
 
-def table(df: DataFrame) -> DataFrame:
+def table(df: DataFrame, files: int | None = None) -> DataFrame:
     """Write a DataFrame to the shared folder and read it back: lineage ends there and lost executors cost nothing.
 
-    The files go when the session ends, or earlier by drop().
+    files: at most so many, for tables that are small beside the number of partitions that they come from. They go when
+    the session ends, or earlier by drop().
     """
     spark = df.sparkSession
+    df = df if files is None else df.coalesce(files)
     path = f"{shared_folder(spark)}/t-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     fs, where = _place(spark, path)
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
+    _made.append(path)
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete the files of a table() that nothing reads any more."""
-    path = _paths.pop(df, None)
-    if path:
-        fs, where = _place(df.sparkSession, path)
-        fs.delete(where, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete the files of tables that nothing reads any more; what is no table() is left alone."""
+    for df in tables:
+        path = _paths.pop(df, None)
+        if path:
+            delete(df.sparkSession, [path])
+
+
+def made() -> list[str]:
+    """The folders of all tables made so far and not deleted."""
+    return list(_made)
+
+
+def delete(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables by their folders."""
+    for path in paths:
+        if path in _made:
+            _made.remove(path)
+            fs, where = _place(spark, path)
+            fs.delete(where, True)
