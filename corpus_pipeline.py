@@ -1,26 +1,47 @@
 """The corpus pipeline: language ID, near-duplicate join, suffix-array dedup, decontamination, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written to the shared folder and read again as the next stage's docs.
+The intermediate tables of a stage go when the next one begins, as what it returned has been written by then.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, decontam, jaccard, langid, suffix
+from corvane.llm import bpe, decontam, jaccard, langid, storage, suffix
 from corvane.llm.queries import tokenizer_path
-from corvane.llm.storage import table
+from corvane.llm.storage import drop, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+_left: list[str] = []
+
+
+def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The same function, which deletes first the intermediate tables of the stage before it."""
+
+    @wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        storage.delete(spark, _left)
+        before = storage.made()
+        out = function(spark, docs, sf_dir)
+        _left[:] = [p for p in storage.made() if p not in before]
+        return out
+
+    return run
 
 
+@stage
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language the model rejects go; lang becomes the predicted one."""
     found = langid.predict(docs, langid.train(docs), keep=["doc_id", "text", "source", "n_chars"])
     return found.where(~F.col("rejected")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
 
+@stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of rows linked by five-word shingles at a similarity of 0.8 or more one stays: the one with the smallest doc_id.
 
@@ -34,17 +55,20 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return rows.join(first.select("first.row"), "row", "left_semi").select(*COLUMNS)
 
 
+@stage
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Strings of 50 bytes that an earlier document has are cut; documents of which nothing is left go."""
     found = suffix.remove_repeats(docs, length=50, keep=("lang", "source")).where("length(kept) > 0")
     return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
+@stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a window of ten words of the benchmark go."""
     return decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10, drop="documents", keep=COLUMNS[2:])
 
 
+@stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left."""
     return bpe.encode_documents(docs, tokenizer_path(), decoded=False).select("doc_id", "n_tokens", "ids")
@@ -64,6 +88,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = table(stage(spark, docs, sf_dir))
+    for _, function in STAGES:
+        before, docs = docs, table(function(spark, docs, sf_dir))
+        drop(before)
     return docs
