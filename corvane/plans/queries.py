@@ -285,14 +285,19 @@ def agg6_source_rollup(spark, sf_dir):
     return ledger.sources(_records(spark, sf_dir)).withColumn("dirs", F.array_join("dirs", ","))
 
 
-@query("""SELECT CASE WHEN doc_id % 7 = 0 THEN '06-Sources/Books/' WHEN doc_id % 7 = 1 THEN '01-Rules/' WHEN doc_id % 7 = 2 THEN '10-Daily/' ELSE 'other/' END || doc_id AS rel,
-  CASE WHEN doc_id % 7 = 0 THEN 'primary medium' WHEN doc_id % 7 = 1 THEN 'synthetic high' ELSE 'unknown none' END AS trust FROM documents""")
+_TRUSTED = """concat(CASE p_size % 14 WHEN 0 THEN '06-Sources/Books/' WHEN 1 THEN '06-Sources/Papers/' WHEN 2 THEN '06-Sources/Articles/' WHEN 3 THEN '03-Languages/go/' WHEN 4 THEN '01-Rules/' WHEN 5 THEN '00-MOC/' WHEN 6 THEN '08-Projects/' WHEN 7 THEN '09-Career/'
+  WHEN 8 THEN '04-Systems/' WHEN 9 THEN '05-Tools/' WHEN 10 THEN '10-Daily/' WHEN 11 THEN '99-Inbox/' WHEN 12 THEN '03-Languages/c/' ELSE 'other/' END, CASE p_partkey % 5 WHEN 0 THEN 'README.md' WHEN 1 THEN concat(p_name, '-STANDARDS.md') WHEN 2 THEN concat(p_name, '-CHEATSHEET.md') ELSE concat(p_name, '.md') END)"""
+_TRUST_FIELDS = "CASE WHEN p_partkey % 11 = 0 THEN 'moc' ELSE 'notes' END AS type, CASE WHEN p_partkey % 7 = 0 THEN concat(p_name, ' 索引') ELSE p_name END AS title, CASE WHEN p_partkey % 13 = 0 THEN 'article' END AS source_type, CASE WHEN p_partkey % 2 = 0 THEN 'A' ELSE '' END AS source_author"
+
+
+@query(f"""WITH n AS (SELECT p_partkey AS id, {_TRUSTED} AS rel, {_TRUST_FIELDS} FROM part), t AS (SELECT *, split_part(rel, '/', 1) AS top, regexp_replace(rel, '^.*/', '') AS name FROM n)
+  SELECT id, CASE WHEN source_type = 'article' AND source_author <> '' THEN 'community low' WHEN rel LIKE '06-Sources/Books/%' OR rel LIKE '06-Sources/Papers/%' THEN 'primary medium'
+    WHEN rel LIKE '06-Sources/Articles/%' THEN CASE WHEN contains(title, '索引') THEN 'secondary low' ELSE 'secondary medium' END WHEN top = '03-Languages' AND name LIKE '%-CHEATSHEET.md' THEN 'synthetic low' WHEN top = '03-Languages' AND name LIKE '%-STANDARDS.md' THEN 'synthetic high'
+    WHEN top = '01-Rules' THEN 'synthetic high' WHEN top = '00-MOC' OR name = 'README.md' OR type = 'moc' THEN 'synthetic none' WHEN top IN ('08-Projects', '09-Career', '04-Systems', '05-Tools') THEN 'synthetic medium' ELSE 'unknown none' END AS trust FROM t""")
 def cls1_trust(spark, sf_dir):
-    i = F.col("doc_id") % 7
-    rel = F.concat(F.when(i == 0, "06-Sources/Books/").when(i == 1, "01-Rules/").when(i == 2, "10-Daily/").otherwise("other/"), F.col("doc_id").cast("string"))
-    none = F.lit(None).cast("string")
-    pair = R.trust(F.col("rel"), none, none, F.lit(None).cast("array<string>"), none, none)
-    return documents(spark, sf_dir).select(rel.alias("rel")).select("rel", F.concat_ws(" ", pair["authority"], pair["claim_risk"]).alias("trust"))
+    notes = read(spark, sf_dir, "part").selectExpr("p_partkey AS id", f"{_TRUSTED} AS rel", *[f"CASE{x}" for x in f", {_TRUST_FIELDS}".split(", CASE")[1:]], "CAST(NULL AS ARRAY<STRING>) AS tags")
+    pair = R.trust(*[F.col(c) for c in ("rel", "type", "title", "tags", "source_type", "source_author")])
+    return notes.select("id", F.concat_ws(" ", pair["authority"], pair["claim_risk"]).alias("trust"))
 
 
 def _quality_notes(spark, sf_dir):

@@ -13,32 +13,51 @@ def rows(spark, sf_dir, name, *columns):
     return read(spark, sf_dir, name).selectExpr(*columns)
 
 
-_LINE = "CASE p_size % 5 WHEN 0 THEN '// TODO: ' || p_name || ' because of it' WHEN 1 THEN '# HACK: ' || p_name WHEN 2 THEN 'workaround: ' || p_name WHEN 3 THEN 'Pattern: ' || p_name ELSE 'plain ' || p_name END"
+_LINE = """CASE p_size % 12 WHEN 0 THEN concat('  // TODO: ', p_name, ' because of the lock') WHEN 1 THEN concat('# HACK: ', p_name) WHEN 2 THEN concat('x = 1; workaround: ', p_name) WHEN 3 THEN concat('Pattern: ', p_name)
+  WHEN 4 THEN '/* NOTE: short */' WHEN 5 THEN concat('-- Note: ', p_type, ' and then some more of it') WHEN 6 THEN concat('# Code generated by x. TODO: ', p_type) WHEN 7 THEN concat('; ', p_type, ' has an edge-case') WHEN 8 THEN 'BUG:' WHEN 9 THEN repeat('HACK: y ', 200)
+  WHEN 10 THEN concat('todolist: ', p_name) ELSE concat('plain ', p_type) END"""
+
+
+@query(rf"""WITH l AS (SELECT p_partkey AS rel, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 40 END AS line_no, trim({_LINE}) AS s FROM part),
+  w AS (SELECT *, '(?i)(?:^|[\s/#*;-]+)\b(workaround|work-around|trap|override|gotcha|bypass|edge[- ]case|monkey[- ]patch|deadlock|race condition|silent drift)\b[:：\s]*(.+)?' AS w, '(?i)(?:^|[\s/#*;-]+)\b(HACK|BUG|FIXME|COMPATIBILITY)\b[:：\s]+(.+)' AS c,
+    '(?i)(?:^|[\s/#*;-]+)\b(TODO|NOTE|XXX|OPTIMIZE|WARN)\b[:：\s]+(.+)' AS i FROM l WHERE length(s) BETWEEN 1 AND 1000 AND NOT contains(s, 'Code generated by')),
+  k AS (SELECT *, CASE WHEN regexp_matches(s, w) THEN w WHEN regexp_matches(s, c) THEN c WHEN regexp_matches(s, i) THEN i END AS p, line_no <= 25 AND contains(lower(s), 'pattern:') AS design FROM w),
+  m AS (SELECT *, upper(regexp_extract(s, p, 1)) AS mark, trim(regexp_extract(s, p, 2)) AS detail FROM k WHERE p IS NOT NULL OR design)
+  SELECT rel, line_no, CASE WHEN p = w THEN 'WORKAROUND_TRAP' WHEN p IS NULL THEN 'ARCHITECTURE_COMMENT' ELSE 'ANNOTATION_' || mark END AS category, coalesce(mark, 'architecture-header') AS pattern, substr(CASE WHEN p IS NULL OR detail = '' THEN s ELSE mark || ': ' || detail END, 1, 140) AS excerpt
+  FROM m WHERE NOT (coalesce(p = i, false) AND length(detail) < 15)""")
+def cls5_code_comments(spark, sf_dir):
+    return code.comments(rows(spark, sf_dir, "part", "p_partkey AS rel", "IF(p_partkey % 2 = 0, 1, 40) AS line_no", f"{_LINE} AS line")).drop("score")
 
 
-@query("""SELECT p_partkey AS rel, 1 AS line_no, CASE p_size % 5 WHEN 0 THEN 'ANNOTATION_TODO' WHEN 1 THEN 'ANNOTATION_HACK' WHEN 2 THEN 'WORKAROUND_TRAP' ELSE 'ARCHITECTURE_COMMENT' END AS category,
-  CASE p_size % 5 WHEN 0 THEN 'TODO' WHEN 1 THEN 'HACK' WHEN 2 THEN 'WORKAROUND' ELSE 'architecture-header' END AS pattern,
-  CASE p_size % 5 WHEN 0 THEN 'TODO: ' || p_name || ' because of it' WHEN 1 THEN 'HACK: ' || p_name WHEN 2 THEN 'WORKAROUND: ' || p_name ELSE 'Pattern: ' || p_name END AS excerpt FROM part WHERE p_size % 5 < 4""")
-def cls5_code_comments(spark, sf_dir):
-    return code.comments(rows(spark, sf_dir, "part", "p_partkey AS rel", "1 AS line_no", f"{_LINE} AS line")).drop("score")
+_DESIGN = "concat('d/', CASE p_size % 5 WHEN 0 THEN 'My-Design-' WHEN 1 THEN 'rules' WHEN 2 THEN 'desig-' WHEN 3 THEN 'design/x' ELSE 'STANDARDS-' END, p_partkey, CASE WHEN p_size % 3 = 0 THEN '.txt' ELSE '.md' END)"
 
 
-@query("""SELECT 'd/design-' || p_partkey || '.md' AS rel, 1 AS line_no, 'ARCHITECTURE_DOC' AS category, 'architecture-filename' AS pattern, 'Architecture / Design document: design-' || p_partkey AS excerpt,
-  CASE WHEN p_size > 20 THEN 0.85 ELSE 0.75 END::DOUBLE AS score FROM part WHERE p_size % 2 = 0""")
+@query(f"""WITH f AS (SELECT {_DESIGN} AS rel, repeat('x' || chr(10), p_size) AS content FROM part), n AS (SELECT *, regexp_replace(rel, '^.*/', '') AS name FROM f)
+  SELECT rel, 1 AS line_no, 'ARCHITECTURE_DOC' AS category, 'architecture-filename' AS pattern, 'Architecture / Design document: ' || regexp_replace(name, '[.]md$', '') AS excerpt, (CASE WHEN len(string_split(rtrim(content, chr(10)), chr(10))) > 20 THEN 0.85 ELSE 0.75 END)::DOUBLE AS score
+  FROM n WHERE ends_with(name, '.md') AND regexp_matches(lower(name), 'convention|architecture|design|rule|pattern|guideline|standard')""")
 def cls6_design_documents(spark, sf_dir):
-    return code.design_documents(rows(spark, sf_dir, "part", "concat('d/', IF(p_size % 2 = 0, 'design-', 'other-'), p_partkey, '.md') AS rel", "repeat('x\n', p_size) AS content"))
+    return code.design_documents(rows(spark, sf_dir, "part", f"{_DESIGN} AS rel", "repeat('x\n', p_size) AS content"))
 
 
-@query("""SELECT p_partkey AS rel, CASE WHEN p_size % 3 = 0 THEN 'go' WHEN contains(lower(p_type), 'steel') THEN 'steel' ELSE 'rest' END AS destination FROM part""")
+@query("""WITH f AS (SELECT p_partkey AS rel, p_name || CASE WHEN p_size % 3 = 0 THEN '.GO' WHEN p_size % 3 = 1 THEN '' ELSE '.txt' END AS name, p_type FROM part)
+  SELECT rel, CASE WHEN regexp_matches(name, '(?i)[.]go$') THEN 'go' WHEN regexp_matches(lower(p_type || ' ' || name), 'steel|tin') THEN 'metal' WHEN contains(lower(p_type || ' ' || name), 'part_1') THEN 'one' ELSE 'rest' END AS destination FROM f""")
 def cls8_destination(spark, sf_dir):
-    found = rows(spark, sf_dir, "part", "p_partkey", "concat('f', p_partkey, IF(p_size % 3 = 0, '.go', '.txt')) AS rel", "p_type")
-    return found.select(F.col("p_partkey").alias("rel"), code.destination(F.col("rel"), F.col("p_type"), {".go": "go"}, [(["steel"], "steel")], "rest").alias("destination"))
+    found = rows(spark, sf_dir, "part", "p_partkey", "concat('d/', p_name, CASE p_size % 3 WHEN 0 THEN '.GO' WHEN 1 THEN '' ELSE '.txt' END) AS rel", "p_type")
+    return found.select(F.col("p_partkey").alias("rel"), code.destination(F.col("rel"), F.col("p_type"), {".go": "go"}, [(["steel", "tin"], "metal"), (["part_1"], "one")], "rest").alias("destination"))
+
+
+_TAGS = "CASE p_size % 9 WHEN 0 THEN NULL WHEN 1 THEN {0}'topic/git', 'lang/GO'{1} WHEN 2 THEN {0}'topic/mutex', 'category/tools'{1} WHEN 3 THEN {0}'category/my-Tool'{1} WHEN 4 THEN {0}'topic/powertools', 'source/web'{1} WHEN 5 THEN {0}'category/project:x'{1} WHEN 6 THEN {0}'source/book'{1} WHEN 7 THEN {0}'lang/python', 'lang/go'{1} ELSE {0}'topic/other'{1} END"
+_TO = "CASE p_size % 7 WHEN 0 THEN '[[01-Rules\\\\A]]' WHEN 1 THEN '[[03-Languages/x]]' WHEN 2 THEN 'elsewhere' END"
 
 
-@query("""SELECT p_partkey AS rel, CASE p_size % 6 WHEN 0 THEN '01-Rules/' WHEN 1 THEN '03-Languages/Go/' WHEN 2 THEN '01-Rules/' WHEN 3 THEN '05-Tools/' WHEN 4 THEN '06-Sources/' ELSE '08-Projects/x/' END AS destination FROM part""")
+@query(f"""WITH d AS (SELECT p_partkey AS rel, CASE WHEN p_size % 4 = 0 THEN 'source-notes' ELSE 'notes' END AS type, coalesce({_TAGS.format("[", "]")}, []) AS tags, replace(regexp_replace(coalesce({_TO.replace(chr(92) * 2, chr(92))}, ''), '[\\[\\]]', '', 'g'), chr(92), '/') AS dest FROM part),
+  g AS (SELECT *, list_filter(tags, lambda t: starts_with(t, 'lang/')) AS lang, list_filter(tags, lambda t: starts_with(t, 'category/project:')) AS project FROM d)
+  SELECT rel, CASE WHEN starts_with(dest, '01-Rules/') THEN '01-Rules/' WHEN starts_with(dest, '03-Languages/') THEN '03-Languages/' WHEN len(lang) > 0 THEN '03-Languages/' || upper(lang[1][6:6]) || lower(lang[1][7:]) || '/'
+    WHEN list_has_any(tags, ['topic/git', 'topic/symlink', 'topic/windows', 'topic/concurrency', 'topic/channel', 'topic/mutex', 'topic/errgroup', 'topic/error', 'topic/error-handling', 'topic/panic']) THEN '01-Rules/'
+    WHEN len(list_filter(tags, lambda t: regexp_matches(t, '(?i)^(category|topic)/.*tool'))) > 0 THEN '05-Tools/' WHEN type = 'source-notes' OR len(list_filter(tags, lambda t: starts_with(t, 'source/'))) > 0 THEN '06-Sources/'
+    WHEN len(project) > 0 THEN '08-Projects/' || split_part(project[1], ':', 2) || '/' ELSE '01-Rules/' END AS destination FROM g""")
 def tri1_destinations(spark, sf_dir):
-    tags = "CASE p_size % 6 WHEN 1 THEN array('topic/git', 'lang/GO') WHEN 2 THEN array('topic/mutex', 'category/tools') WHEN 3 THEN array('category/my-Tool') WHEN 5 THEN array('category/project:x') END AS tags"
-    return inbox.destinations(rows(spark, sf_dir, "part", "p_partkey AS rel", "IF(p_size % 6 = 4, 'source-notes', 'notes') AS type", tags, "IF(p_size % 6 = 0, '[[01-Rules/A]]', NULL) AS promoted_to"))
+    return inbox.destinations(rows(spark, sf_dir, "part", "p_partkey AS rel", "IF(p_size % 4 = 0, 'source-notes', 'notes') AS type", f"{_TAGS.format('array(', ')')} AS tags", f"{_TO} AS promoted_to"))
 
 
 @query("SELECT CASE WHEN lang = 'en' THEN 'general' ELSE 'Language: ' || upper(lang) END AS cluster, count(*) AS n, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1")
@@ -52,9 +71,13 @@ def misc3_field_upsert(spark, sf_dir):
     return docs.select("rel", F.md5(inbox.upsert_field(F.col("content"), "status", "stable")).alias("digest"))
 
 
-@query("SELECT doc_id AS rel, 0::BIGINT AS n_headings, 0::BIGINT AS n_code_blocks, (length(text) - length(replace(text, chr(10), '')) + (text <> '' AND NOT ends_with(text, chr(10)))::INT)::BIGINT AS n_lines FROM documents")
+_BODY = "concat(CASE WHEN n_chars % 3 = 0 THEN concat('# A', chr(10), '##   B c', chr(10), '#no', chr(10), '#### deep', chr(10)) ELSE '' END, text, CASE WHEN n_chars % 4 = 0 THEN concat(chr(10), '```go', chr(10), '# In', chr(10), '```', chr(10), '```x```', chr(10), '``` open') ELSE '' END)"
+
+
+@query(rf"""WITH n AS (SELECT doc_id AS rel, {_BODY} AS c FROM documents)
+  SELECT rel, len(list_filter(string_split(c, chr(10)), lambda x: regexp_matches(x, '^#{{1,3}}\s+\S')))::BIGINT AS n_headings, (len(string_split(c, '```')) - 1) // 2 AS n_code_blocks, (len(string_split(c, chr(10))) - (c = '' OR ends_with(c, chr(10)))::INT)::BIGINT AS n_lines FROM n""")
 def misc5_body_statistics(spark, sf_dir):
-    return inbox.body_statistics(rows(spark, sf_dir, "documents", "doc_id AS rel", "text AS content"))
+    return inbox.body_statistics(rows(spark, sf_dir, "documents", "doc_id AS rel", f"{_BODY} AS content"))
 
 
 _FILES = "'d' || (p_partkey % 7) || '/n' || (p_partkey // 3)"
@@ -81,9 +104,12 @@ def lint1_forbidden(spark, sf_dir):
 _NAMED = "CASE {0} % 6 WHEN 0 THEN '99-Inbox/x' WHEN 1 THEN '10-Daily/x' WHEN 2 THEN '01-Rules/2024-01-01-' WHEN 3 THEN '03-Languages/go/x-standards-' WHEN 4 THEN 'a?b|' ELSE '01-Rules/(s p' END"
 
 
-@query(f"""WITH n AS (SELECT doc_id AS i, {_NAMED.format('doc_id')} || doc_id || '.md' AS rel FROM documents)
-  SELECT rel, CASE i % 6 WHEN 2 THEN 'ERROR' WHEN 4 THEN 'ERROR' ELSE 'WARN' END AS level, 'NAMING' AS category, unnest(CASE i % 6 WHEN 0 THEN ['draft without date'] WHEN 1 THEN ['daily without date'] WHEN 2 THEN ['dated name']
-    WHEN 3 THEN ['expected GO-STANDARDS.md'] WHEN 4 THEN ['character ?', 'character |'] ELSE ['space'] END) AS message FROM n""")
+@query(f"""WITH n AS (SELECT {_NAMED.format('doc_id')} || doc_id || '.md' AS rel FROM documents), f AS (SELECT *, regexp_replace(rel, '^.*/', '') AS name, NOT regexp_matches(rel, '^(99-Inbox|10-Daily|Templates|11-Agents)/') AS formal FROM n)
+  SELECT rel, 'ERROR' AS level, 'NAMING' AS category, 'character ' || unnest(regexp_extract_all(name, '[<>:"|?*]')) AS message FROM f
+  UNION ALL SELECT rel, 'WARN', 'NAMING', 'space' FROM f WHERE contains(name, ' ') AND NOT regexp_matches(rel, '^(10-Daily|Templates)/')
+  UNION ALL SELECT rel, 'WARN', 'NAMING', CASE WHEN starts_with(rel, '99') THEN 'draft' ELSE 'daily' END || ' without date' FROM f WHERE regexp_matches(rel, '^(99-Inbox|10-Daily)/') AND NOT regexp_matches(name, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
+  UNION ALL SELECT rel, 'ERROR', 'NAMING', 'dated name' FROM f WHERE formal AND regexp_matches(name, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
+  UNION ALL SELECT rel, 'WARN', 'NAMING', 'expected ' || upper(split_part(rel, '/', 2)) || '-STANDARDS.md' FROM f WHERE starts_with(rel, '03-Languages/') AND contains(lower(name), '-standards') AND upper(name) <> upper(split_part(rel, '/', 2)) || '-STANDARDS.MD'""")
 def qual4_name_issues(spark, sf_dir):
     return checks.name_issues(rows(spark, sf_dir, "documents", f"concat({_NAMED.format('doc_id')}, doc_id, '.md') AS rel"))
 
@@ -93,10 +119,14 @@ def hlth6_sizes(spark, sf_dir):
     return checks.sizes(rows(spark, sf_dir, "documents", "doc_id AS rel", "text AS content")).withColumn("percent", F.col("percent").cast("double"))
 
 
-@query("SELECT page_id AS rel, CASE WHEN page_id % 5 = 0 THEN 'missing' WHEN page_id % 5 = 1 THEN 'mismatch' WHEN page_id % 5 = 2 THEN 'symlink' ELSE 'copy' END AS state FROM pages")
+_ENTRY = "CASE page_id % 6 WHEN 0 THEN NULL WHEN 1 THEN substr(url, 1, 5) WHEN 2 THEN 'http:' WHEN 3 THEN 'https' ELSE 'http: ' END"
+
+
+@query(f"""WITH e AS (SELECT page_id AS rel, {_ENTRY} AS content, length(url) % 2 = 0 AS link FROM pages)
+  SELECT rel, CASE WHEN content IS NULL THEN 'missing' WHEN sha256(content) <> sha256('http:') THEN 'mismatch' WHEN link THEN 'symlink' ELSE 'copy' END AS state FROM e""")
 def join15_entry_states(spark, sf_dir):
-    entries = rows(spark, sf_dir, "pages", "page_id AS rel", "CAST(CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'other' ELSE 'truth' END AS BINARY) AS content", "page_id % 5 = 2 AS link")
-    return checks.entry_states(entries, spark.range(1).selectExpr("CAST('truth' AS BINARY) AS content"))
+    entries = rows(spark, sf_dir, "pages", "page_id AS rel", f"CAST({_ENTRY} AS BINARY) AS content", "length(url) % 2 = 0 AS link")
+    return checks.entry_states(entries, spark.range(1).selectExpr("CAST('http:' AS BINARY) AS content"))
 
 
 @query("""WITH l AS (SELECT doc_id AS rel, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::INT AS line_no FROM documents)
