@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corvane.plans import composites, health, vault  # noqa: F401  they register their queries
+from corvane.plans import composites, health, parsing, vault  # noqa: F401  they register their queries
 from corvane.plans import queries as plans
 
 
