@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from corvane.functions import rules as R
 
 # Words that raise a comment's value, and words of design documents' file names.
-VALUABLE = """because reason windows crash leak deadlock race thread goroutine performance silent buffer encoding timeout mutex unsafe
-workaround trap override compat fallback patch drift symlink""".split()
+VALUABLE = [
+    "because", "reason", "windows", "crash", "leak", "deadlock", "race", "thread", "goroutine", "performance", "silent", "buffer", "encoding",
+    "timeout", "mutex", "unsafe", "workaround", "trap", "override", "compat", "fallback", "patch", "drift", "symlink",
+]
 DESIGN_NAMES = ["convention", "architecture", "design", "rule", "pattern", "guideline", "standard"]
 
 # The line patterns and generated-file marks.

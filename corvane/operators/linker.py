@@ -17,9 +17,12 @@ from corvane.functions import text as T
 from corvane.runtime import ship
 
 # Words that are too general to be linked.
-IGNORED = """the and for with from that this rule rules guide notes note code file path test tests tool tools lang topic category status draft
-stable archived audience both agent human true false null none date name go py rs ts js sh c cpp md src bin lib git bash rust python typescript
-golang skill home agents review-log log logs readme""".split()
+IGNORED = [
+    "the", "and", "for", "with", "from", "that", "this", "rule", "rules", "guide", "notes", "note", "code", "file", "path", "test", "tests",
+    "tool", "tools", "lang", "topic", "category", "status", "draft", "stable", "archived", "audience", "both", "agent", "human", "true",
+    "false", "null", "none", "date", "name", "go", "py", "rs", "ts", "js", "sh", "c", "cpp", "md", "src", "bin", "lib", "git", "bash", "rust",
+    "python", "typescript", "golang", "skill", "home", "agents", "review-log", "log", "logs", "readme",
+]
 
 _LINK = re.compile(r"!?\[\[([^\]|#]+)[^\]]*\]\]")
 _KEPT = re.compile(r"(\[\[[^\]]+\]\]|!?\[[^\]]*\]\([^)]+\)|`[^`]+`|<[^>]+>|https?://[^\s)\]]+)")
