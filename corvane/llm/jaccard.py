@@ -213,15 +213,16 @@ def links(docs: DataFrame, parts: int, files: int, reps: DataFrame, n: int, num:
     members = table(signatures.join(lists, "sig").select("hub", "doc_id").distinct(), files)
     count_blocks = F.ceil(F.count("*") / BLOCK_ROWS).cast("int")
     dealt = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
-    hubs = members.groupBy("hub").agg(F.count("*").alias("m"), count_blocks.alias("blocks")).where("m > 1")
-    own = members.where("doc_id <> hub").join(hubs.select("hub", "blocks"), "hub").select("hub", dealt, "doc_id")
+    # few hubs have more members than a block: their sizes are a small table, so that Spark need not bring a hub's members together
+    large = members.groupBy("hub").agg(count_blocks.alias("blocks")).where("blocks > 1")
+    own = members.where("doc_id <> hub").join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("hub", dealt, "doc_id")
     with_hub = own.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("doc_id"))
     blobs = sets.select("doc_id", "blob")
     local = table(own.unionByName(with_hub).join(blobs, "doc_id").groupBy("hub", "block").applyInArrow(tk.tidy(_within_block(num, den)), "hub long, doc_id long, root long"), files)
     edges = local.where("root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
 
     # what is not connected to its hub yet, against itself and against what is
-    left = local.join(hubs.where("blocks > 1").select("hub"), "hub").where("doc_id <> hub")
+    left = local.join(large.select("hub"), "hub", "left_semi").where("doc_id <> hub")
     alone, joined = left.where("root <> hub"), left.where("root = hub")
     sizes = alone.groupBy("hub").agg(count_blocks.alias("blocks"))
     dealt_to = lambda rows, sizes: rows.join(sizes, "hub").select("hub", "doc_id", "root", dealt)

@@ -184,7 +184,11 @@ def fit(rows: list, dim: int = 16, epochs: int = 6, rate: float = 4.0, seed: int
 
 
 def train(docs: DataFrame) -> LanguageModel | None:
-    """Learn from text and lang of the rows that are not held out."""
+    """Learn from text and lang of the rows that are not held out; None if there is none.
+
+    docs: doc_id, text, lang; other columns are ignored. Rows with a null doc_id, text or lang are not learned from, nor are
+    texts without letters; repeated rows count each time.
+    """
     tk.ship(docs.sparkSession)
     return fit(_features(_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))))
 

@@ -68,6 +68,10 @@ def test_jaccard_against_brute_force(spark, n, num, den):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found.collect()} == brute_components(texts, n, num, den)
 
 
+def test_jaccard_query_against_brute_force(spark, sf, texts):
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op1_ngram_jaccard_join(spark, sf).collect()} == brute_components(texts, 3, 9, 10)
+
+
 def test_jaccard_splits_large_hubs(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_ROWS", 8)
     rng = random.Random(2)
@@ -318,6 +322,7 @@ def test_chat_round_trip():
 def test_chat_nulls_and_ties(spark):
     rows = [(1, 0, None, None), (1, 0, "user", "b"), (1, 0, "user", "a"), (None, None, "assistant", "x"), (2, 1, "assistant", "")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "conv_id long, turn long, role string, text string, formatted int")
+    assert chat.format_conversations(df.limit(0)).collect() == []
     got = {r.conv_id: (r.n_turns, r.loss_chars, chat.read_turns(r.formatted)) for r in chat.format_conversations(df).collect()}
     assert got == {1: (3, 0, [("", ""), ("user", "a"), ("user", "b")]), None: (1, 1, [("assistant", "x")]), 2: (1, 0, [("assistant", "")])}
 
