@@ -36,7 +36,11 @@ def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Call
 
 @stage
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model rejects go; lang becomes the predicted one."""
+    """Documents whose language the model rejects go; lang becomes the predicted one.
+
+    Null texts and texts without letters have no language and go; repeated rows are judged alike. Without labelled rows
+    nothing is learned and all go; an empty table gives an empty one. Other columns are left out.
+    """
     found = langid.predict(docs, langid.train(docs), keep=["doc_id", "text", "source", "n_chars"])
     return found.where(~F.col("rejected")).select("doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars")
 
@@ -57,20 +61,26 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 @stage
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 50 bytes that an earlier document has are cut; documents of which nothing is left go."""
+    """Strings of 50 bytes that an earlier document has are cut; documents of which nothing is left go.
+
+    Null and empty texts go with them; a null doc_id counts as the last, and rows that repeat a doc_id are not cut by each other.
+    """
     found = suffix.remove_repeats(docs, length=50, keep=("lang", "source")).where("length(kept) > 0")
     return found.select("doc_id", F.col("kept").alias("text"), "lang", "source", F.length("kept").cast("long").alias("n_chars"))
 
 
 @stage
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a window of ten words of the benchmark go."""
+    """Documents with a window of ten words of the benchmark go, or all words of a shorter item.
+
+    Null and empty texts stay; repeated rows are judged alike; an empty benchmark removes nothing.
+    """
     return decontam.remove_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=10, drop="documents", keep=COLUMNS[2:])
 
 
 @stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left."""
+    """(doc_id, n_tokens, ids): the token ids of what is left; null and empty texts have none, every repeated row has a row."""
     return bpe.encode_documents(docs, tokenizer_path(), decoded=False).select("doc_id", "n_tokens", "ids")
 
 
