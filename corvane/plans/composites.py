@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import composites
+from corvane.operators import canvas, composites, graph, render
 from corvane.operators import notes as N
 from corvane.plans.health import CONTENT, NOTES, REL, _split
 from corvane.plans.queries import query, read
 from corvane.plans.vault import rows
-from corvane.sources import readers
+from corvane.sources import readers, sinks
 
 _PATH = "concat(CASE p_size % 8 WHEN 0 THEN '01-Rules/' WHEN 1 THEN 'src/.hidden/' WHEN 2 THEN 'lib/node_modules/' WHEN 3 THEN '05-Tools/x/' WHEN 4 THEN '' WHEN 5 THEN '.git/' ELSE 'src/' END, replace(p_name, ' ', '-'), CASE p_size % 7 WHEN 0 THEN '.md' WHEN 1 THEN '.PY' WHEN 2 THEN '.min.js' WHEN 3 THEN '' WHEN 4 THEN '.go' WHEN 5 THEN '.png' ELSE '.ts' END)"
 
@@ -167,3 +167,61 @@ def parse1_search_fields(spark, sf_dir):
   SELECT rel, target, regexp_replace(target, '^.*/', '') AS name FROM t WHERE target <> ''""")
 def parse8_link_forms(spark, sf_dir):
     return N.link_forms(rows(spark, sf_dir, "documents", f"{REL} AS rel", f"{CONTENT} AS content"))
+
+
+# --- orders, and what is staged ----------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey || '/' || l_linenumber AS a, 'x' || l_partkey AS b, l_discount AS ratio FROM lineitem ORDER BY l_discount DESC, a, b LIMIT 30")
+def sort4_most_similar(spark, sf_dir):
+    return render.by_ratio(rows(spark, sf_dir, "lineitem", "concat(l_orderkey, '/', l_linenumber) AS a", "concat('x', l_partkey) AS b", "l_discount AS ratio")).limit(30)
+
+
+@query("SELECT o_custkey AS rel_a, o_orderkey AS rel_b, o_orderpriority AS keyword, 1 AS idx_a, o_custkey % 7 AS idx_b, o_orderkey % 3 AS score FROM orders ORDER BY score DESC, rel_a, rel_b, keyword, idx_a, idx_b LIMIT 50")
+def sort5_first_conflicts(spark, sf_dir):
+    return render.by_conflict(rows(spark, sf_dir, "orders", "o_custkey AS rel_a", "o_orderkey AS rel_b", "o_orderpriority AS keyword", "1 AS idx_a", "o_custkey % 7 AS idx_b", "o_orderkey % 3 AS score")).limit(50)
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS src, l_partkey % 40 AS dst FROM lineitem WHERE l_suppkey <> l_partkey % 40), n AS (SELECT s_suppkey AS node FROM supplier), o AS (SELECT src AS node, count(*) AS o FROM e GROUP BY 1), i AS (SELECT dst AS node, count(*) AS i FROM e GROUP BY 1)
+  SELECT node, coalesce(i, 0) AS in_degree, coalesce(o, 0) AS out_degree FROM n LEFT JOIN i USING (node) LEFT JOIN o USING (node) WHERE coalesce(i, 0) >= 4 OR coalesce(o, 0) >= 6 ORDER BY coalesce(i, 0) + coalesce(o, 0) DESC, node LIMIT 20""")
+def sort6_hubs(spark, sf_dir):
+    edges = rows(spark, sf_dir, "lineitem", "l_suppkey AS src", "l_partkey % 40 AS dst").where("src <> dst").distinct()
+    return render.hubs(graph.degrees(rows(spark, sf_dir, "supplier", "s_suppkey AS node"), edges)).limit(20)
+
+
+@query("SELECT CASE WHEN contains(rel, '/') AND split_part(rel, '/', 1) IN ('01-Rules', '05-Tools') THEN split_part(rel, '/', 1) ELSE 'Root' END AS category, count(*) AS n FROM (SELECT " + _PATH + " AS rel FROM part) GROUP BY 1")
+def cls2_categories(spark, sf_dir):
+    return rows(spark, sf_dir, "part", f"{_PATH} AS rel").groupBy(canvas.category(F.col("rel")).alias("category")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT p_brand AS section, md5('| name | type | tier | command | status |' || chr(10) || '|---|---|---|---|---|' || chr(10) || string_agg('| ' || p_name || ' | ' || p_type || ' | t | ' || CASE WHEN p_size % 2 = 0 THEN '`run ' || p_size || '`' ELSE '—' END || ' | ok |', chr(10) ORDER BY p_partkey)) AS digest
+  FROM part WHERE p_brand IN ('Brand#11', 'Brand#12', 'Brand#13') GROUP BY 1""")
+def sink5_matrix(spark, sf_dir):
+    found = rows(spark, sf_dir, "part", "p_partkey AS position", "p_brand AS section", "p_name AS name", "p_type AS type", "'t' AS tier", "IF(p_size % 2 = 0, concat('run ', p_size), NULL) AS verification_command", "'ok' AS declared_status")
+    return render.matrix(found, ["Brand#11", "Brand#12", "Brand#13", "none"]).select("section", F.md5("page").alias("digest"))
+
+
+_CHANGES = "SELECT doc_id AS rel, CASE WHEN n_chars % 3 = 0 THEN NULL ELSE concat(lang, source) END AS content, CASE WHEN n_chars % 2 = 0 THEN {sha} ELSE 'old' END AS expected FROM documents WHERE n_chars % 5 < 2 UNION ALL SELECT -1, 'new', NULL UNION ALL SELECT -2, 'new', 'gone'"
+
+
+@query(f"WITH c AS ({_CHANGES.format(sha='sha256(text)')}), f AS (SELECT doc_id AS rel, text FROM documents) SELECT coalesce(c.rel, f.rel) AS rel, md5(CASE WHEN c.rel IS NOT NULL THEN c.content ELSE f.text END) AS digest FROM f FULL JOIN c ON f.rel = c.rel WHERE c.rel IS NULL OR c.content IS NOT NULL")
+def sink3_changed(spark, sf_dir):
+    files, changes = _changes(spark, sf_dir)
+    return sinks.changed(files, changes).select("rel", F.md5("content").alias("digest"))
+
+
+@query(f"WITH c AS ({_CHANGES.format(sha='sha256(text)')}), f AS (SELECT doc_id AS rel, sha256(text) AS found FROM documents) SELECT c.rel, expected, found FROM c LEFT JOIN f USING (rel) WHERE expected IS DISTINCT FROM found")
+def sink3_refused(spark, sf_dir):
+    return sinks.stale_changes(*_changes(spark, sf_dir))
+
+
+def _changes(spark, sf_dir):
+    documents = read(spark, sf_dir, "documents")
+    documents.createOrReplaceTempView("documents")
+    return documents.select(F.col("doc_id").alias("rel"), F.col("text").alias("content")), spark.sql(_CHANGES.format(sha="sha2(text, 256)"))
+
+
+@query(rf"""WITH {NOTES}, l AS (SELECT rel, content, len(regexp_extract_all(content, '\[\[([^\]]+)\]\]')) AS n FROM notes) SELECT split_part(rel, '/', 1) AS top, count(*) AS notes, sum(n)::BIGINT AS links FROM l WHERE contains(rel, '/') GROUP BY 1""")
+def graph1_links_by_folder(spark, sf_dir):
+    found = rows(spark, sf_dir, "documents", f"{REL} AS rel", f"{CONTENT} AS content").where(F.contains("rel", F.lit("/")))
+    return N.links(found).groupBy(F.substring_index("rel", "/", 1).alias("top")).agg(F.count_distinct("rel").alias("notes"), F.count("*").alias("links"))
