@@ -38,10 +38,10 @@ def plan(drafts: DataFrame, routes: DataFrame, fallback: DataFrame) -> DataFrame
     """
     columns = ["type", "name", "standards", "cheatsheet", "target", "target_dir", "target_project"]
     goal = F.struct(*columns).alias("goal")
-    tagged = drafts.select("rel", F.posexplode("tags").alias("at", "tag")).join(F.broadcast(routes.select("tag", goal)), "tag")
+    tagged = drafts.select("rel", F.posexplode("tags").alias("at", "tag")).join(routes.select("tag", goal), "tag")
     first = tagged.groupBy("rel").agg(F.min_by(F.struct("tag", "goal"), "at").alias("m"))
-    other = F.broadcast(fallback.select(F.col("type_of").alias("type"), F.struct(*columns).alias("of_type")))
-    default = F.broadcast(fallback.where("type_of = 'default'").select(F.struct(*columns).alias("of_default")))
+    other = fallback.select(F.col("type_of").alias("type"), F.struct(*columns).alias("of_type"))
+    default = fallback.where("type_of = 'default'").select(F.struct(*columns).alias("of_default"))
     rows = drafts.select("rel", "title", F.coalesce("type", F.lit("source-notes")).alias("type")).join(first, "rel", "left").join(other, "type", "left").join(default, F.lit(True), "left")  # one default
     rows = rows.select("rel", "title", F.col("m.tag").alias("matched_tag"), F.coalesce("m.goal", "of_type", "of_default").alias("g"))
     file = F.concat(T.upper_slug(F.col("title")), F.lit(".md"))

@@ -78,9 +78,9 @@ def checked_links(notes: DataFrame, files: DataFrame) -> DataFrame:
     links = N.links(notes).where("target <> ''").withColumn("target", F.replace("target", F.lit("\\"), F.lit("/")))
     folder = F.regexp_extract("rel", "^(.*/)[^/]*$", 1)
     stem = F.regexp_replace(F.substring_index("target", "/", -1), "\\.[^.]*$", "")
-    links = links.select("*", F.monotonically_increasing_id().alias("id"), F.array_distinct(F.array("target", F.concat(folder, "target"), stem)).alias("keys"))
-    hits = links.select("id", F.explode("keys").alias("key")).join(link_keys(files), "key").select("id").distinct()
-    return links.join(hits.withColumn("hit", F.lit(True)), "id", "left").select("rel", "line_no", "target", F.col("hit").isNotNull().alias("found"))
+    keys = F.array_distinct(F.array("target", F.concat(folder, "target"), stem))
+    hits = links.select("rel", "target", F.explode(keys).alias("key")).join(link_keys(files), "key").select("rel", "target", F.lit(True).alias("hit")).distinct()
+    return links.join(hits, ["rel", "target"], "left").select("rel", "line_no", "target", F.col("hit").isNotNull().alias("found"))
 
 
 def link_issues(links: DataFrame) -> DataFrame:
