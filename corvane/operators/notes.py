@@ -12,18 +12,22 @@ from pyspark.sql import functions as F
 from corvane.functions import text as T
 
 
-def lines(notes: DataFrame) -> DataFrame:
-    """(rel, line_no, line, in_fence, in_fields); line feeds end lines, a carriage return before them is dropped."""
+#: What opens and closes a fence, by reader: most of them, those that know backticks only, and those that look anywhere in a line.
+FENCE_MARKS = {"prefix": "^\\s*(```|~~~)", "backticks": "^\\s*```", "anywhere": "```"}
+
+
+def lines(notes: DataFrame, fences: str = "prefix") -> DataFrame:
+    """(rel, line_no, line, in_fence, in_fields); line feeds end lines, a carriage return before them is dropped. fences: one of FENCE_MARKS."""
     text = F.regexp_replace(F.regexp_replace("content", "\r\n", "\n"), "\n\\z", "")
     rows = notes.select("rel", F.posexplode(F.split(text, "\n", -1)).alias("i", "line"))
     order = Window.partitionBy("rel").orderBy("i")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    mark = F.ltrim("line").rlike("^(```|~~~)")
+    mark = F.col("line").rlike(FENCE_MARKS[fences])
     first = F.first(F.col("line") == "---").over(so_far)
     rules = F.sum((F.col("line") == "---").cast("int")).over(so_far)
     rows = rows.select("rel", (F.col("i") + 1).alias("line_no"), "line", (first & ((rules < 2) | ((rules == 2) & (F.col("line") == "---")))).alias("in_fields"), mark.alias("mark"))
-    fences = F.sum((F.col("mark") & ~F.col("in_fields")).cast("int")).over(Window.partitionBy("rel").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.select("rel", "line_no", "line", ((fences % 2 == 1) | F.col("mark")).alias("in_fence"), "in_fields")
+    toggles = F.sum((F.col("mark") & ~F.col("in_fields")).cast("int")).over(Window.partitionBy("rel").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.select("rel", "line_no", "line", ((toggles % 2 == 1) | F.col("mark")).alias("in_fence"), "in_fields")
 
 
 def fields(notes: DataFrame) -> DataFrame:

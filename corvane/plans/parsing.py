@@ -7,7 +7,7 @@ from pyspark.sql import types as S
 
 from corvane.functions import rules as R
 from corvane.functions import text as T
-from corvane.operators import checks, code, inbox, ledger, search
+from corvane.operators import checks, code, inbox, ledger, render, search
 from corvane.operators import notes as N
 from corvane.plans.queries import _PHRASE, SEARCH, _records, _search_notes, _search_sql, documents, query, read
 from corvane.plans.vault import rows
@@ -186,3 +186,21 @@ def misc16_first_dates(spark, sf_dir):
 @query("SELECT p_partkey AS rel, p_retailprice AS score FROM part ORDER BY score DESC, rel LIMIT 40")
 def sort2_top_findings(spark, sf_dir):
     return code.top(rows(spark, sf_dir, "part", "p_partkey AS rel", "1 AS line_no", "p_retailprice AS score"), 40).select("rel", "score")
+
+
+_FENCED = "concat('a', chr(10), CASE n_chars % 4 WHEN 0 THEN '~~~' WHEN 1 THEN 'see ```x' WHEN 2 THEN '  ```py' ELSE 'b' END, chr(10), 'c', chr(10), '```', chr(10), 'd')"
+
+
+@query(f"""WITH n AS (SELECT doc_id AS rel, {_FENCED} AS content FROM documents), l AS (SELECT rel, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM n),
+  m AS (SELECT rel, i, k, CASE k WHEN 'prefix' THEN starts_with(ltrim(line), '```') OR starts_with(ltrim(line), '~~~') WHEN 'backticks' THEN starts_with(ltrim(line), '```') ELSE contains(line, '```') END AS mark FROM l, (VALUES ('prefix'), ('backticks'), ('anywhere')) v(k)),
+  t AS (SELECT *, sum(mark::INT) OVER (PARTITION BY rel, k ORDER BY i) AS s FROM m) SELECT rel, k AS fences, count(*) FILTER (s % 2 = 1 OR mark) AS n FROM t GROUP BY rel, k""")
+def parse7_fences(spark, sf_dir):
+    notes = rows(spark, sf_dir, "documents", "doc_id AS rel", f"{_FENCED} AS content")
+    found = [N.lines(notes, kind).groupBy("rel").agg(F.count_if("in_fence").alias("n")).select("rel", F.lit(kind).alias("fences"), "n") for kind in N.FENCE_MARKS]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("SELECT min(rel) AS rel, '// Code Template: ' || min(rel) || chr(10) || chr(10) || arg_min(p_type, rel) AS content FROM (SELECT 'Templates/code/' || CASE WHEN p_size % 2 = 0 THEN 'go/' ELSE 'py/' END || p_brand || '-' || p_partkey || '.txt' AS rel, p_type FROM part) WHERE contains(lower(rel), 'brand#2') AND contains(rel, '/go/')")
+def srch4_code_template(spark, sf_dir):
+    files = rows(spark, sf_dir, "part", "concat('Templates/code/', IF(p_size % 2 = 0, 'go/', 'py/'), p_brand, '-', p_partkey, '.txt') AS rel", "p_type AS content")
+    return render.code_template(files, " Brand#2", "Go")
