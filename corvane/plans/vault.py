@@ -43,7 +43,8 @@ def cls6_design_documents(spark, sf_dir):
   SELECT rel, CASE WHEN regexp_matches(name, '(?i)[.]go$') THEN 'go' WHEN regexp_matches(lower(p_type || ' ' || name), 'ring|bolt') THEN 'metal' WHEN contains(lower(p_type || ' ' || name), 'economy') THEN 'one' ELSE 'rest' END AS destination FROM f""")
 def cls8_destination(spark, sf_dir):
     found = rows(spark, sf_dir, "part", "p_partkey", "concat('d/', p_name, CASE p_size % 3 WHEN 0 THEN '.GO' WHEN 1 THEN '' ELSE '.txt' END) AS rel", "p_type")
-    return found.select(F.col("p_partkey").alias("rel"), code.destination(F.col("rel"), F.col("p_type"), {".go": "go"}, [(["ring", "bolt"], "metal"), (["economy"], "one")], "rest").alias("destination"))
+    place = code.destination(F.col("rel"), F.col("p_type"), {".go": "go"}, [(["ring", "bolt"], "metal"), (["economy"], "one")], "rest")
+    return found.select("p_partkey", place.alias("destination")).withColumnRenamed("p_partkey", "rel")
 
 
 _TAGS = "CASE p_size % 9 WHEN 0 THEN NULL WHEN 1 THEN {0}'topic/git', 'lang/GO'{1} WHEN 2 THEN {0}'topic/mutex', 'category/tools'{1} WHEN 3 THEN {0}'category/my-Tool'{1} WHEN 4 THEN {0}'topic/powertools', 'source/web'{1} WHEN 5 THEN {0}'category/project:x'{1} WHEN 6 THEN {0}'source/book'{1} WHEN 7 THEN {0}'lang/python', 'lang/go'{1} ELSE {0}'topic/other'{1} END"
