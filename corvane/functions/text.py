@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 CJK = "[\\u4e00-\\u9fff]"
-_RUN = "(?<![a-z0-9])[a-z0-9]{2,}(?![a-z0-9])"  # a part of a word with separators, where one of them is beside it
 EMPTY = "cast(array() as array<string>)"
 
 
@@ -35,28 +32,37 @@ def index_tokens(text: Column) -> Column:
     return F.concat(F.flatten(F.transform(words, word)), F.when(low.rlike(CJK), F.flatten(F.transform(runs, run))).otherwise(F.expr(EMPTY)))
 
 
-def index_terms(text: Column) -> Column:
-    """The distinct index tokens. Words are made distinct first, so that only distinct ones with parts are taken apart."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.array_distinct(F.regexp_extract_all(low, F.lit("([a-z0-9_.\\-]+)"), 1))
-    parts = F.array_distinct(F.regexp_extract_all(low, F.lit(f"{_RUN}(?=[._\\-])|(?<=[._\\-]){_RUN}"), 0))
-    latin = F.array_distinct(F.concat(words, parts))
-    return F.when(low.rlike(CJK), F.array_distinct(index_tokens(text))).otherwise(latin)
+def _bags(words: Column, low: Column) -> Column:
+    """STRUCT<words, parts> of the ASCII words of a lower-case text: parts are those of words with separators, and its CJK tokens."""
+    of_words = F.filter(F.split(F.array_join(F.filter(words, lambda w: F.contains(w, F.lit(".")) | F.contains(w, F.lit("-")) | F.contains(w, F.lit("_"))), " "), "[^a-z0-9]+"), lambda p: F.length(p) > 1)
+    cjk = F.when(low.rlike(CJK), index_tokens(F.regexp_replace(low, "[a-z0-9_.\\-]+", " "))).otherwise(F.expr(EMPTY))
+    return F.struct(words.alias("words"), F.concat(of_words, cjk).alias("parts"))
 
 
-def token_count(text: Column) -> Column:
-    """How many index tokens a text has, by counting matches: words, and runs of two and more alphanumerics that are no whole words."""
+def token_bags(text: Column, distinct: bool = False) -> Column:
+    """STRUCT<words, parts>: the index tokens in two arrays and in no order, repeated ones kept; distinct: words only once.
+
+    Cheaper than index_tokens where order does not matter: only words with separators are taken apart, in one piece.
+    """
     low = F.lower(F.coalesce(text, F.lit("")))
-    of = lambda pattern: F.regexp_count(low, F.lit(pattern))
-    latin = of("[a-z0-9_.\\-]+") + of(f"{_RUN}(?=[._\\-])|(?<=[._\\-]){_RUN}")
-    return F.when(low.rlike(CJK), F.size(index_tokens(text))).otherwise(latin)
+    words = F.regexp_extract_all(low, F.lit("([a-z0-9_.\\-]+)"), 1)
+    words = F.array_distinct(words) if distinct else words
+    return F.element_at(F.transform(F.array(words), lambda w: _bags(w, low)), 1)  # words are computed once
+
+
+def index_terms(text: Column) -> Column:
+    """The distinct index tokens."""
+    return F.element_at(F.transform(F.array(token_bags(text, distinct=True)), lambda b: F.array_distinct(F.concat(b["words"], b["parts"]))), 1)
+
+
+def token_count(bags: Column) -> Column:
+    """How many tokens the bags of a text hold."""
+    return F.size(bags["words"]) + F.size(bags["parts"])
 
 
-def term_count(text: Column, term: str) -> Column:
-    """How often a text has an index token. Alphanumeric terms are counted where they stand alone or between separators."""
-    if not re.fullmatch("[a-z0-9]{2,}", term):
-        return count_of(index_tokens(text), term)
-    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"(?<![a-z0-9]){term}(?![a-z0-9])"))
+def term_count(bags: Column, term: str) -> Column:
+    """How often the bags of a text hold a token."""
+    return count_of(bags["words"], term) + count_of(bags["parts"], term)
 
 
 def count_of(items: Column, item: str | Column) -> Column:

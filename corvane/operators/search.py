@@ -1,8 +1,7 @@
 """Ranked search: BM25 over sections with heading, title, tag, phrase, coverage and language boosts.
 
 A query has a handful of terms, so document frequencies come from one aggregation with a column for each
-term, and scoring is one pass over the notes. Terms and tokens are counted by matching, without arrays of tokens;
-nothing is exploded and only the top-k rows are sorted.
+term, and scoring is one pass over the notes; nothing is exploded and only the top-k rows are sorted.
 """
 
 from __future__ import annotations
@@ -38,8 +37,9 @@ def expand(query: str, terms: list[Term], clusters: list[tuple[list[str], list[s
 
 def statistics(notes: DataFrame, terms: list[Term]) -> dict:
     """N, the mean number of tokens, and the document frequency of each term: one row."""
-    columns = [F.sum((T.term_count(F.col("content"), t.text) > 0).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)]
-    return notes.agg(F.count("*").alias("n"), F.avg(T.token_count(F.col("content"))).alias("mean"), *columns).first().asDict()
+    bags = notes.select(T.token_bags(F.col("content")).alias("b"))
+    columns = [F.sum((F.array_contains("b.words", t.text) | F.array_contains("b.parts", t.text)).cast("long")).alias(f"df{i}") for i, t in enumerate(terms)]
+    return bags.agg(F.count("*").alias("n"), F.avg(T.token_count(F.col("b"))).alias("mean"), *columns).first().asDict()
 
 
 def term_statistics(notes: DataFrame) -> DataFrame:
@@ -90,7 +90,8 @@ def search(notes: DataFrame, query: str, terms: list[Term], language: str | None
     raw = F.lower(F.concat_ws(" ", "title", F.array_join(tags, " "), "content"))
     rows = kept.select("rel", "title", "kind", F.lower(F.coalesce("title", F.lit(""))).alias("low"), tags.alias("tags"), raw.alias("raw"), "sections")
     whole = lambda s: F.concat_ws("\n", s["heading"], s["body"])
-    counted = F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body"), T.token_count(whole(s)).alias("n"), F.array(*[T.term_count(whole(s), t.text) for t in terms]).alias("tf")))
+    bagged = F.transform("sections", lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body"), T.token_bags(whole(s)).alias("b")))
+    counted = F.transform(bagged, lambda s: F.struct(s["heading"].alias("heading"), s["body"].alias("body"), T.token_count(s["b"]).alias("n"), F.array(*[T.term_count(s["b"], t.text) for t in terms]).alias("tf")))
     rows = rows.withColumn("sections", counted)
     scored = rows.withColumn("scores", F.transform("sections", lambda s: section_score(s)))
     best = F.greatest(F.coalesce(F.array_max("scores"), zero), zero)
