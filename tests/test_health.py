@@ -1,5 +1,11 @@
 import difflib
+import hashlib
+import random
 
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.functions import text as T
 from corvane.operators import canvas, checks, conflicts, consolidate, health, render, search, similarity
 from corvane.sources import sinks
 
@@ -63,13 +69,11 @@ def test_consolidation_of_no_tags_and_ties(spark):
     planned = consolidate.plan(drafts, routes, fallback)
     assert rows(planned.select("rel", "matched_tag", "target_path")) == [("a", "lang/x", "S.md"), ("b", None, "Art/T.md"), ("c", None, "Art/T.md")]
     texts = spark.createDataFrame([("a", "body"), ("b", "---\nstatus: draft\n---\nB"), ("c", "---\nstatus: draft\n---\nC")], "rel string, content string")
-    out = {r.target_path: (r.content, r.n_drafts) for r in consolidate.rendered(planned, texts, texts.limit(0), __import__("pyspark").sql.functions.lit("2024-01-02").cast("date")).collect()}
+    out = {r.target_path: (r.content, r.n_drafts) for r in consolidate.rendered(planned, texts, texts.limit(0), F.lit("2024-01-02").cast("date")).collect()}
     assert out["Art/T.md"] == ("---\nstatus: stable\n---\nC", 2) and out["S.md"][0].startswith("# X Standards\n\n\n---\n\n#### My Title!") and "2024-01-02" in out["S.md"][0]
 
 
 def test_duplicates_against_all_pairs(spark):
-    import random
-
     rng = random.Random(4)
     base = [" ".join("".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(26)) for _ in range(4)]
     texts = {}
@@ -96,10 +100,6 @@ def test_conflicts_share_tags_and_split_hot_tokens(spark, monkeypatch):
 
 
 def test_term_counts_equal_the_tokens(spark):
-    from pyspark.sql import functions as F
-
-    from corvane.functions import text as T
-
     texts = ["The the.the x.y a_b-cd ...", "go go.go-go2 2go _go_ GO", "中文字符 the 中文", "", None, "é the-é a.b.c.d ab..cd .ab. ab.", "the" * 3 + " the"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     tokens = T.index_tokens(F.col("t"))
@@ -108,10 +108,6 @@ def test_term_counts_equal_the_tokens(spark):
 
 
 def test_snapshots_of_changes(spark, tmp_path):
-    import hashlib
-
-    import pytest
-
     root = f"file://{tmp_path}/s"
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     files = spark.createDataFrame([("a", "1"), ("b", "2")], "rel string, content string")
@@ -137,8 +133,6 @@ def test_snapshot_of_a_publisher_that_died(spark, tmp_path):
 
 
 def test_marks_frames_and_nightly_steps(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([("The C++ $x the", "a\n\n b  \nc\nd")], "t string, b string")
     got = df.select(render.marked(F.col("t"), ["the", "c++", "$x"], "$", "\\"), render.snippet_frame(F.col("b"), F.lit(2)), render.snippet_frame(F.col("b"), F.lit(0)), render.marked(F.col("t"), [" "])).first()
     assert tuple(got) == ("$The\\ $C++\\ $$x\\ $the\\", " b\nc\nd", "a\n b", "The C++ $x the")
