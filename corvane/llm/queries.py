@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, jaccard, langid, lm, quality, spans, suffix, urlfilter
+from . import bpe, centroids, chat, decontam, jaccard, langid, lm, quality, spans, spelling, suffix, toxicity, urlfilter
 
 TOKENIZER = "word_bpe_49k.json"
 RULES = (
@@ -77,8 +77,28 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.lower(F.hex("kept")).alias("kept_sha256"))
 
 
+def op11_toxicity(spark, sf_dir):
+    docs = _read(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, _read(spark, sf_dir, "labels")))
+    return found.select("doc_id", langid.is_held_out().alias("held_out"), "score", "predicted")
+
+
+def op12_centroid_clustering(spark, sf_dir):
+    return centroids.cluster(_read(spark, sf_dir, "embeddings"), k=40, rounds=5)
+
+
+def op13_spelling_variants(spark, sf_dir):
+    return spelling.spelling_variants(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_lm_scoring, op5_quality_rules, op6_substring_dedup, op7_bpe, op8_url_filters, op9_benchmark_decontamination, op10_suffix_array_dedup)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_ngram_jaccard_join, op2_language_id, op3_chat_formatting, op4_lm_scoring, op5_quality_rules, op6_substring_dedup, op7_bpe, op8_url_filters,
+            op9_benchmark_decontamination, op10_suffix_array_dedup, op11_toxicity, op12_centroid_clustering, op13_spelling_variants,
+        )
+    }
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -208,8 +228,64 @@ def _sql_leaks() -> str:
     FROM d LEFT JOIN cover USING (k) LEFT JOIN items USING (k)"""
 
 
+def _sql_centroids(k: int = 40, rounds: int = 5) -> str:
+    def near(r):
+        return f"""
+    a{r} AS MATERIALIZED (
+      SELECT rid, k, d FROM (SELECT rid, k, d, row_number() OVER (PARTITION BY rid ORDER BY d, k) AS r FROM (
+        SELECT rid, k, sum((xs.x - c.x) * (xs.x - c.x))::BIGINT AS d FROM xs JOIN c{r} c USING (i) GROUP BY rid, k)) WHERE r = 1)"""
+
+    def moved(r):
+        return f"""
+    c{r + 1} AS MATERIALIZED (
+      SELECT k, i, coalesce((s - ((s % n) + n) % n) // n, x)::BIGINT AS x FROM c{r} LEFT JOIN (
+        SELECT k, i, sum(x)::BIGINT AS s, count(*) AS n FROM a{r} JOIN xs USING (rid) GROUP BY k, i) m USING (k, i))"""
+
+    steps = ",".join(f"{near(r)},{moved(r)}" for r in range(rounds))
+    return f"""
+    WITH x AS MATERIALIZED (
+      SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS rid, vec_id, v FROM (
+        SELECT vec_id, list_transform(embedding, lambda e: floor(256 * e::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64)),
+    xs AS MATERIALIZED (SELECT rid, unnest(range(64)) AS i, unnest(v) AS x FROM x),
+    c0 AS MATERIALIZED (SELECT rid AS k, i, x FROM xs WHERE rid < {k}),{steps},{near(rounds)},
+    g AS (SELECT k, sum(d)::BIGINT AS s FROM a{rounds} GROUP BY k),
+    h AS (SELECT k, sha256(string_agg(x::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY k)
+    SELECT vec_id, k::INTEGER AS cluster, d AS distance, s AS cluster_inertia, (SELECT sum(d)::BIGINT FROM a{rounds}) AS inertia, h AS centroid_sha256
+    FROM a{rounds} JOIN x USING (rid) JOIN g USING (k) JOIN h USING (k)"""
+
+
+def _sql_spelling() -> str:
+    low = _LOWER.format("run")
+    return f"""
+    WITH RECURSIVE tab AS (
+      SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(b, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    r AS (SELECT d, {low} AS w FROM (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]{{7,}}')) AS run FROM documents)),
+    u AS (SELECT d, w, count(*) AS n FROM r GROUP BY d, w),
+    b AS (SELECT w, n, hex(encode(d || ':' || w)) AS x FROM u),
+    h AS (
+      SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(x), 2), lambda i: 16 * strpos('0123456789ABCDEF', x[i + 1]) + strpos('0123456789ABCDEF', x[i + 2]) - 17)),
+        lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) AS h FROM b, tab),
+    v AS MATERIALIZED (
+      SELECT word, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN h % 31 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2) ELSE w END AS word, n FROM h)
+      WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+    cut AS MATERIALIZED (SELECT word, n, i, left(word, i::INT) AS p, substr(word, i::INT + 2) AS q FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+    near AS MATERIALIZED (
+      SELECT DISTINCT * FROM (
+        SELECT a.word AS a, b.word AS b, b.n FROM cut a JOIN cut b ON a.i = b.i AND a.p = b.p AND a.q = b.q AND a.word <> b.word
+        UNION ALL SELECT cut.word, v.word, v.n FROM cut JOIN v ON v.word = p || q
+        UNION ALL SELECT v.word, cut.word, cut.n FROM cut JOIN v ON v.word = p || q)),
+    best AS (SELECT a, b, n, k FROM (SELECT a, b, n, count(*) OVER (PARTITION BY a) AS k, row_number() OVER (PARTITION BY a ORDER BY n DESC, b) AS r FROM near) WHERE r = 1),
+    f AS MATERIALIZED (SELECT word, v.n, coalesce(k, 0) AS n_near, CASE WHEN best.n >= 10 * v.n THEN b END AS form, CASE WHEN best.n >= 10 * v.n THEN best.n END AS form_n FROM v LEFT JOIN best ON word = a),
+    walk AS (SELECT word, coalesce(form, word) AS at FROM f UNION ALL SELECT walk.word, f.form FROM walk JOIN f ON walk.at = f.word WHERE f.form IS NOT NULL AND walk.at <> walk.word)
+    SELECT f.word, f.form, last.root, f.n, f.n_near, f.form_n
+    FROM f JOIN (SELECT walk.word, walk.at AS root FROM walk JOIN f ON walk.at = f.word WHERE f.form IS NULL) last ON last.word = f.word"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_centroid_clustering": _sql_centroids(),
+        "op13_spelling_variants": _sql_spelling(),
         "op3_chat_formatting": _sql_chat(),
         "op4_lm_scoring": _sql_lm(),
         "op5_quality_rules": _sql_quality(),
