@@ -7,6 +7,7 @@ fixtures in tests/.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions import rules as R
 from corvane.functions import text as T
-from corvane.operators import activity, checks, conflicts, graph, ledger, search, similarity
-from corvane.sources import readers
+from corvane.operators import activity, checks, conflicts, graph, ledger, postings, search, similarity
+from corvane.sources import readers, shared, sinks
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
@@ -67,10 +68,10 @@ SEARCH = [search.Term("the", 1.0), search.Term("and", 1.0), search.Term("that",
 _PHRASE = "that the"
 
 
-def _search_sql() -> str:
+def _search_sql(docs: str = "documents") -> str:
     terms = ", ".join(f"({i}, '{t.text}', {t.weight}, {str(t.core).lower()})" for i, t in enumerate(SEARCH))
     return f"""
-    WITH d AS (SELECT doc_id, lower(text) AS raw, ['lang/' || lang, 'source/' || source] AS tags, lower(split_part(text, chr(10), 1)) AS title, {_TOKENS} AS t, string_split(text, chr(10)) AS ls FROM documents),
+    WITH d AS (SELECT doc_id, lower(text) AS raw, ['lang/' || lang, 'source/' || source] AS tags, lower(split_part(text, chr(10), 1)) AS title, {_TOKENS} AS t, string_split(text, chr(10)) AS ls FROM {docs}),
     terms(i, q, w, core) AS (VALUES {terms}),
     st AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM d),
     df AS (SELECT i, q, w, core, CASE WHEN count(*) FILTER (list_contains(t, q)) = 0 THEN 1.0 ELSE ln(1 + ((SELECT n FROM st) - count(*) FILTER (list_contains(t, q)) + 0.5) / (count(*) FILTER (list_contains(t, q)) + 0.5)) END AS idf FROM terms, d GROUP BY ALL),
@@ -94,15 +95,47 @@ def _search_notes(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").alias("rel"), F.substring_index("text", "\n", 1).alias("title"), tags.alias("tags"), F.lit("notes").alias("kind"), F.col("text").alias("content"), body.alias("sections"))
 
 
+def _search_index(spark, sf_dir, changed: bool = False) -> postings.Index:
+    """The index of the documents in the shared folder, built when it is not there yet; its name holds sizes and times of the files."""
+    fs, path = shared.store(spark, f"{sf_dir}/documents.parquet")
+    files = fs.listStatus(path)
+    key = hashlib.md5(" ".join([sf_dir, str(changed), *sorted(f"{f.getPath().getName()} {f.getLen()} {f.getModificationTime()}" for f in files)]).encode()).hexdigest()
+    root = f"{shared.folder(spark)}/search-{key}"
+    notes = _search_notes(documents(spark, sf_dir))
+    steps = [lambda: postings.add(notes, root)]
+    if changed:
+        again = notes.where("rel % 7 = 0 AND rel % 5 <> 0").withColumn("content", F.concat(F.lit("with that thing\n"), "content"))
+        again = again.withColumn("title", F.lit("with that thing")).withColumn("sections", F.concat(F.array(F.struct(F.lit(None).cast("string").alias("heading"), F.lit("with that thing").alias("body"))), "sections"))
+        steps += [lambda: postings.remove(notes.where("rel % 5 = 0"), root), lambda: postings.add(again, root)]
+    done = len(postings.Index(spark, root).segments) if sinks.current(spark, root) else 0
+    for step in steps[done:]:
+        step()
+    return postings.Index(spark, root)
+
+
+@query(f"""WITH s AS (SELECT doc_id, unnest({_TOKENS}) AS term, sec FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS sec FROM documents))
+  SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, count(DISTINCT (doc_id, sec)) AS sections FROM s GROUP BY term""")
+def srch1_index(spark, sf_dir):
+    rows = _search_index(spark, sf_dir)._table("postings").where("section >= 0 AND tf > 0")
+    return rows.groupBy("term").agg(F.count_distinct("rel").alias("df"), F.sum("tf").alias("cf"), F.count("*").alias("sections"))
+
+
 @query(_search_sql())
 def srch1_scores(spark, sf_dir):
-    found = search.search(_search_notes(documents(spark, sf_dir)), _PHRASE, SEARCH, language="lang/en", top=None)
+    found = postings.search(_search_index(spark, sf_dir), _PHRASE, SEARCH, language="lang/en", top=None)
+    return found.select("rel", "section", F.round("score", 4).alias("score"))
+
+
+@query(_search_sql("(SELECT doc_id, lang, source, CASE WHEN doc_id % 7 = 0 THEN 'with that thing' || chr(10) || text ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"))
+def srch1_changed_index(spark, sf_dir):
+    """The same search after a fifth of the notes was taken out and some of the others indexed anew, without a rebuild."""
+    found = postings.search(_search_index(spark, sf_dir, changed=True), _PHRASE, SEARCH, language="lang/en", top=None)
     return found.select("rel", "section", F.round("score", 4).alias("score"))
 
 
 @query(f"SELECT *, row_number() OVER (ORDER BY score DESC, rel) AS rank FROM ({_search_sql()}) ORDER BY score DESC, rel LIMIT 10")
 def srch1_search(spark, sf_dir):
-    found = search.search(_search_notes(documents(spark, sf_dir)), _PHRASE, SEARCH, language="lang/en", top=10)
+    found = postings.search(_search_index(spark, sf_dir), _PHRASE, SEARCH, language="lang/en", top=10)
     return found.select("rel", "section", F.round("score", 4).alias("score"), "rank")
 
 

@@ -43,15 +43,66 @@ def json_contract(documents: DataFrame, schema: T.StructType, version: int = 1)
     return rows.select("rel", problem.isNull().alias("ok"), problem.alias("problem"), "data")
 
 
-_READ = re.compile(r"^\s*(?:select|with|show|describe|explain)\b", re.IGNORECASE)
+# Nodes that parsed queries are made of, commands that only read, and functions that run code of the caller's choice.
+QUERY_NODES = {
+    "Aggregate", "AsOfJoin", "CurrentNamespace", "Distinct", "Except", "Filter", "Generate", "GlobalLimit", "Intersect", "Join", "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation",
+    "PipeOperator", "Pivot", "Project", "RebalancePartitions", "RelationTimeTravel", "Repartition", "RepartitionByExpression", "Sample", "Sort", "SubqueryAlias", "Union", "Unpivot", "UnresolvedFunctionName",
+    "UnresolvedHaving", "UnresolvedHint", "UnresolvedInlineTable", "UnresolvedNamespace", "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTable", "UnresolvedTableOrView",
+    "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "UnresolvedView", "UnresolvedWith", "View", "Window", "WithWindowDefinition",
+}
+READING_COMMANDS = {"DescribeRelation", "DescribeColumn", "DescribeFunction", "DescribeNamespace", "DescribeQueryCommand", "ShowTables", "ShowColumns", "ShowColumnsCommand", "ShowNamespaces", "ShowViews", "ShowFunctions", "ShowPartitions", "ShowTableProperties"}
+RUNNING_FUNCTIONS = {"reflect", "try_reflect", "java_method"}
+
+
+def _sequence(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
+class _Reading:
+    """Decides on the tree of a parsed statement whether it only reads."""
+
+    def __init__(self, spark: SparkSession):
+        names = ("plans.logical.LogicalPlan", "expressions.PlanExpression")
+        self.kinds = {n.split(".")[-1]: spark._jvm.java.lang.Class.forName("org.apache.spark.sql.catalyst." + n) for n in names}
+
+    def _is(self, node, kind: str) -> bool:
+        return self.kinds[kind].isInstance(node)
+
+    def problem(self, plan) -> str | None:
+        """The first node that does more than read, in the plan, its common table expressions, its subqueries and what it explains; None if there is none."""
+        name = plan.getClass().getSimpleName()
+        if name == "ExplainCommand":
+            return self.problem(plan.logicalPlan())
+        if name.rstrip("$") not in QUERY_NODES | READING_COMMANDS:
+            return name
+        return next(filter(None, (*map(self.problem, self._below(plan)), *map(self._in_expression, _sequence(plan.expressions())))), None)
+
+    def _below(self, plan) -> list:
+        return _sequence(plan.children()) + [x for x in _sequence(plan.innerChildren()) if self._is(x, "LogicalPlan")]
+
+    def _in_expression(self, e) -> str | None:
+        name = e.getClass().getSimpleName()
+        if name == "UnresolvedFunction" and (called := e.nameParts().last().lower()) in RUNNING_FUNCTIONS:
+            return called
+        if self._is(e, "PlanExpression") and (found := self.problem(e.plan())):
+            return found
+        return next(filter(None, map(self._in_expression, _sequence(e.children()))), None)
 
 
 def guarded_sql(spark: SparkSession, query: str, limit: int = 20) -> DataFrame:
-    """At most ``limit`` rows of one reading statement; anything else is refused. PRAGMA table_info(t) describes a table."""
-    body = query.strip().rstrip(";")
-    body = re.sub(r"(?i)^pragma\s+table_info\s*\(\s*['\"`]?(\w+)['\"`]?\s*\)$", r"DESCRIBE TABLE \1", body)
-    if ";" in body or not _READ.match(body):
-        raise ValueError("only a single SELECT, WITH, SHOW, DESCRIBE or EXPLAIN statement is allowed")
+    """At most ``limit`` rows of one statement that only reads; ValueError for anything else. PRAGMA table_info(t) describes a table.
+
+    The statement is parsed by Spark's own parser and admitted by its tree: all nodes have to be known to read, wherever they stand (behind WITH, in a
+    subquery, under EXPLAIN), so writes, changes of the catalog or the settings, scripts and several statements are refused. Semicolons in literals and comments are text.
+    """
+    body = re.sub(r"(?i)^\s*pragma\s+table_info\s*\(\s*['\"`]?(\w+)['\"`]?\s*\)\s*;?\s*$", r"DESCRIBE TABLE \1", query)
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(body)
+    except Exception as e:
+        raise ValueError(f"not one readable statement: {str(e)[:200]}") from e
+    problem = _Reading(spark).problem(plan)
+    if problem:
+        raise ValueError(f"only a single statement that reads is allowed, not {problem}")
     return spark.sql(body).limit(limit)
 
 

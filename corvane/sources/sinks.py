@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corvane.sources import shared
+
 
 class StaleSnapshot(RuntimeError):
     """The published snapshot is not the one that the change was made from."""
@@ -67,25 +69,18 @@ def commit(files: DataFrame, changes: DataFrame, root: str, expected: str | None
     return publish(changed(files, changes), root, expected)
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+def _numbers(spark: SparkSession, root: str) -> list[int]:
+    return [int(n.split("-")[1]) for n in shared.names(spark, root) if n.startswith("POINTER-")]
 
 
-def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    """(number, snapshot) of all pointers in order; an empty one is that of a publisher that died, or is about to write it."""
-    fs, folder = _fs(spark, root)
-    if not fs.exists(folder):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(folder)]
-    numbers = sorted(int(n.split("-")[1]) for n in names if n.startswith("POINTER-"))
-    read = lambda n: next(iter(r[0] for r in spark.read.text(f"{root}/POINTER-{n:09d}").take(1)), "")
-    return [(n, read(n)) for n in numbers[-3:]]
+def _pointed(spark: SparkSession, root: str, numbers: list[int]) -> str | None:
+    """What the last whole pointer says; an empty one is that of a publisher that died, or is about to write it."""
+    return next((name for n in reversed(numbers) if (name := shared.read_small(spark, f"{root}/POINTER-{n:09d}").strip())), None)
 
 
 def current(spark: SparkSession, root: str) -> str | None:
     """The name of the published snapshot, or None before the first."""
-    return next((name for _, name in reversed(_pointers(spark, root)) if name), None)
+    return _pointed(spark, root, _numbers(spark, root))
 
 
 def read_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
@@ -99,18 +94,13 @@ def point_to(spark: SparkSession, root: str, name: str, expected: str | None) ->
     Pointers are numbered and only added, so a reader always finds the last whole one. Creating the next number
     fails if another publisher has it, which decides between two of them; one that dies leaves no lock behind.
     """
-    before = _pointers(spark, root)
-    found = next((n for _, n in reversed(before) if n), None)
+    numbers = _numbers(spark, root)
+    found = _pointed(spark, root, numbers)
     if found != expected:
         raise StaleSnapshot(f"expected {expected}, found {found}")
-    number = before[-1][0] + 1 if before else 1
-    fs, pointer = _fs(spark, f"{root}/POINTER-{number:09d}")
-    try:
-        out = fs.create(pointer, False)
-    except Exception as e:
-        raise StaleSnapshot(f"another publisher made pointer {number}") from e
-    out.write(bytearray(name.encode()))
-    out.close()
+    number = numbers[-1] + 1 if numbers else 1
+    if not shared.write_new(spark, f"{root}/POINTER-{number:09d}", name):
+        raise StaleSnapshot(f"another publisher made pointer {number}")
 
 
 def publish(rows: DataFrame, root: str, expected: str | None) -> str:
