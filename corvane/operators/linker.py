@@ -1,21 +1,27 @@
 """The dictionary linker: a dictionary of note names, and first mentions of them in notes that do not link them yet.
 
-Terms reach notes by an equi-join on their first four characters (Spark broadcasts a dictionary under its size
-threshold and shuffles a larger one), and only distinct character 4-grams of a note take part, not its text; what is left to do for one note, in order, is a function of that note and its own terms.
+All terms are found in one pass over a note by an Aho-Corasick automaton, which is compiled on the driver and broadcast. The size of the dictionary is
+checked first: one of more than ``DICTIONARY_BYTES`` is dealt into as many automata as stay within it, and the notes are
+read once for each, so what a task holds is bounded and nothing is joined. What is left to do for one note, in order, is a function of that note and its own terms.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
 from corvane.runtime import ship
 
+DICTIONARY_BYTES = 64 << 20
+
 # Words that are too general to be linked.
 IGNORED = [
     "the", "and", "for", "with", "from", "that", "this", "rule", "rules", "guide", "notes", "note", "code", "file", "path", "test", "tests",
@@ -44,11 +50,55 @@ def dictionary(notes: DataFrame) -> DataFrame:
     return rows.groupBy("term").agg(F.min(F.struct("rel", "i", "target")).alias("f")).select("term", F.col("f.target").alias("target"), F.col("f.rel").alias("source"))
 
 
+def _automata(words: DataFrame) -> list[Broadcast]:
+    """Compiled automata over the terms of a dictionary (term, target, source), each from at most DICTIONARY_BYTES of it; empty and null terms are left out."""
+    import ahocorasick
+
+    kept = words.select("term", "target", "source").where("term <> ''")
+    size = kept.agg(F.sum(F.octet_length("term") + F.octet_length("target") + F.octet_length("source") + 64)).first()[0] or 0
+    shards, out = max(1, -(-size // DICTIONARY_BYTES)), []
+    for i in range(shards):
+        automaton = ahocorasick.Automaton()
+        for r in kept.where(F.pmod(F.xxhash64("term"), F.lit(shards)) == i).toLocalIterator():
+            automaton.add_word(r.term, (r.term, r.target, r.source))
+        if len(automaton):
+            automaton.make_automaton()
+            out.append(words.sparkSession.sparkContext.broadcast(automaton))
+    return out
+
+
+def _found(automaton, text: str) -> dict[tuple[str, str, str], list[int]]:
+    """Of each (term, target, source) that a text has its places in it, overlapping ones too."""
+    out: dict[tuple[str, str, str], list[int]] = {}
+    for end, word in automaton.iter(text):
+        out.setdefault(word, []).append(end - len(word[0]) + 1)
+    return out
+
+
 def mentions(notes: DataFrame, words: DataFrame) -> DataFrame:
-    """(rel, term, target, source): terms whose characters a note has somewhere, its own left out."""
-    grams = notes.select("rel", F.explode(F.array_distinct(T.ngrams(F.col("content"), 4))).alias("start"))
-    offers = grams.join(words.withColumn("start", F.substring("term", 1, 4)), "start").where(F.col("source") != F.col("rel"))
-    return offers.join(notes.select("rel", "content"), "rel").where(F.contains("content", "term")).select("rel", "term", "target", "source")
+    """(rel, term, target, source, n, first): terms whose characters a note has somewhere, how often and where first (from 0); its own are left out.
+
+    Null contents have none, repeated notes are reported each time; a note without a rel is left out, as is a dictionary's empty term.
+    """
+    ship(notes.sparkSession)
+    rows = notes.select("rel", "content").where("rel IS NOT NULL AND content IS NOT NULL")
+    kind = notes.schema["rel"].dataType
+
+    def scan(known: Broadcast):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at, out = [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    for (term, target, source), places in _found(known.value, text).items():
+                        at.append(i)
+                        out.append((term, target, source, len(places), places[0]))
+                columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["rel", "term", "target", "source", "n", "first"])
+
+        return rows.mapInArrow(run, f"rel {kind.simpleString()}, term string, target string, source string, n long, first long")
+
+    none = notes.sparkSession.createDataFrame([], f"rel {kind.simpleString()}, term string, target string, source string, n long, first long")
+    return reduce(DataFrame.unionByName, map(scan, _automata(words)), none).where(F.col("source") != F.col("rel"))
 
 
 def _plain_lines(text: str) -> Iterator[tuple[int, str, bool]]:
@@ -95,16 +145,29 @@ def link_text(text: str, terms: list[tuple[str, str]]) -> tuple[str, list[tuple[
 
 
 def link(notes: DataFrame, words: DataFrame) -> DataFrame:
-    """(rel, content, links ARRAY<STRUCT<line, term, link>>) of notes (rel, content) that get a link."""
-    ship(notes.sparkSession)
-    per_note = mentions(notes, words).groupBy("rel").agg(F.collect_list(F.struct("term", "target")).alias("terms"))  # distinct names: bounded by the note's text
-    rows = notes.select("rel", "content").join(per_note, "rel")
-    kind = dict(rows.dtypes)["rel"]
+    """(rel, content, links ARRAY<STRUCT<line, term, link>>) of notes (rel, content) that get a link.
+
+    A dictionary of one automaton is used where the notes are read, without a shuffle; terms of a larger one come together by note first.
+    """
+    spark = notes.sparkSession
+    ship(spark)
+    kind = notes.schema["rel"].dataType.simpleString()
+    schema = f"rel {kind}, content string, links array<struct<line:int,term:string,link:string>>"
+    automata = _automata(words)
+    rows = notes.select("rel", "content").where("rel IS NOT NULL AND content IS NOT NULL")
+    if len(automata) > 1:
+        per_note = mentions(notes, words).groupBy("rel").agg(F.collect_set(F.struct("term", "target")).alias("terms"))  # distinct names: bounded by the note's text
+        rows = rows.join(per_note, "rel")
+    known = automata[0] if len(automata) == 1 else None
+
+    def terms_of(rel, text: str) -> list[tuple[str, str]]:
+        return [(term, target) for term, target, source in _found(known.value, text) if source != str(rel)]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            done = [link_text(c, [(t["term"], t["target"]) for t in ts]) for c, ts in zip(b["content"], b["terms"])]
+            terms = map(terms_of, b["rel"], b["content"]) if known else ([(t["term"], t["target"]) for t in ts] for ts in b["terms"])
+            done = [link_text(c, ts) for c, ts in zip(b["content"], terms)]
             links = [[{"line": n, "term": t, "link": w} for n, t, w in made] for _, made in done]
             yield pd.DataFrame({"rel": b["rel"], "content": [c for c, _ in done], "links": links})[[bool(m) for m in links]]
 
-    return rows.mapInPandas(run, f"rel {kind}, content string, links array<struct<line:int,term:string,link:string>>")
+    return rows.mapInPandas(run, schema) if automata else spark.createDataFrame([], schema)

@@ -197,9 +197,28 @@ def _words(spark, sf_dir):
     return found.selectExpr("term", "concat('b/', i) AS target", "concat('b/', i) AS source")
 
 
-@query(f"WITH w AS ({_WORDS}) SELECT doc_id::VARCHAR AS rel, term, target FROM documents JOIN w ON contains(text, term)")
+@query(f"""WITH w AS ({_WORDS}) SELECT doc_id::VARCHAR AS rel, term, target, strpos(text, term) - 1 AS first,
+  (length(text) - length(replace(text, term, ''))) // length(term) AS n FROM documents JOIN w ON contains(text, term)""")
 def join9_term_mentions(spark, sf_dir):
-    return linker.mentions(rows(spark, sf_dir, "documents", "CAST(doc_id AS STRING) AS rel", "text AS content"), _words(spark, sf_dir)).select("rel", "term", "target")
+    """Words of the benchmark in documents; none of them can overlap itself, so their number is what replacing them takes away."""
+    return linker.mentions(rows(spark, sf_dir, "documents", "CAST(doc_id AS STRING) AS rel", "text AS content"), _words(spark, sf_dir)).select("rel", "term", "target", "n", "first")
+
+
+_ONE_LINE = "trim(regexp_replace(text, '[^A-Za-zÀ-ÿ .,]+', ' '{}))"
+
+
+_FIRST = r"'(^|[^\[`\p{L}\p{N}_\-/])' || ws[i + 1].term || '([^\]`\p{L}\p{N}_\-.]|$)'"
+
+
+@query(rf"""WITH RECURSIVE w AS ({_WORDS}), d AS (SELECT doc_id::VARCHAR AS rel, {_ONE_LINE.format(", 'g'")} AS t FROM documents WHERE text IS NOT NULL),
+  m AS (SELECT rel, t, list(struct_pack(term := term, target := target) ORDER BY length(term) DESC, term) AS ws FROM d JOIN w ON contains(t, term) GROUP BY rel, t),
+  s AS (SELECT rel, t, ws, 0 AS i, 0 AS n FROM m UNION ALL
+    SELECT rel, regexp_replace(t, {_FIRST}, '\1[[' || ws[i + 1].target || ']]\2'), ws, i + 1, n + regexp_matches(t, {_FIRST})::INT FROM s WHERE i < len(ws))
+  SELECT rel, n AS n_links, md5(t) AS digest FROM s WHERE i = len(ws) AND n > 0""")
+def link1_linked_lines(spark, sf_dir):
+    """Documents as one plain line each, without marks that protect text, so that SQL can replace first mentions one term after the other."""
+    notes = rows(spark, sf_dir, "documents", "CAST(doc_id AS STRING) AS rel", f"{_ONE_LINE.format('')} AS content")
+    return linker.link(notes, _words(spark, sf_dir)).select("rel", F.size("links").alias("n_links"), F.md5("content").alias("digest"))
 
 
 @query()
