@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from corvane.operators import checks, code, export, inbox, linker, lookup, reports
 from corvane.plans.queries import query, read
-from corvane.sources import sinks
+from corvane.sources import journal, shared, sinks
 
 
 def rows(spark, sf_dir, name, *columns):
@@ -231,3 +233,32 @@ def link1_linked_notes(spark, sf_dir):
   SELECT stem AS term, replace(min(rel), '.md', '') AS target, min(rel) AS source FROM n GROUP BY stem""")
 def join10_dictionary(spark, sf_dir):
     return linker.dictionary(rows(spark, sf_dir, "part", "concat('d', p_partkey % 5, '/', p_name, '.md') AS rel", "CAST(NULL AS STRING) AS title", "CAST(NULL AS ARRAY<STRING>) AS tags"))
+
+
+def _damaged_store(spark, sf_dir) -> journal.Store:
+    """Documents as files; one change whose writer is lost when all is prepared, one whose writer is lost before, and what recovery makes of them."""
+    root = f"{shared.folder(spark)}/store-{uuid.uuid4().hex}"
+    fs, where = shared.store(spark, root)
+    fs.deleteOnExit(where)
+    store = journal.Store(spark, root, buckets=16)
+    files = rows(spark, sf_dir, "documents", "CAST(doc_id AS STRING) AS rel", "text AS content", "doc_id").where("content IS NOT NULL")
+    journal.apply(store, files.selectExpr("rel", "content", "CAST(NULL AS STRING) AS expected"))
+    new = "CASE WHEN doc_id % 10 = 3 THEN NULL ELSE concat('{} ', content) END AS content"
+    journal.Transaction(store).stage(files.where("doc_id % 10 IN (3, 4)").selectExpr("rel", new.format("first"), "sha2(content, 256) AS expected")).prepare()
+    journal.Transaction(store).stage(files.where("doc_id % 10 = 5").selectExpr("rel", new.format("second"), "sha2(content, 256) AS expected"))
+    journal.recover(store)
+    return store
+
+
+@query("""SELECT doc_id::VARCHAR AS rel, md5(CASE WHEN doc_id % 10 = 4 THEN 'first ' || text ELSE text END) AS digest FROM documents WHERE text IS NOT NULL AND doc_id % 10 <> 3""")
+def sink3_recovered_files(spark, sf_dir):
+    return _damaged_store(spark, sf_dir).files().select("rel", F.md5("content").alias("digest"))
+
+
+@query("""WITH d AS (SELECT doc_id, text, doc_id % 10 AS k FROM documents WHERE text IS NOT NULL),
+  j AS (SELECT 'create' AS action, 'committed' AS status, doc_id, NULL AS b, sha256(text) AS a FROM d
+    UNION ALL SELECT CASE k WHEN 3 THEN 'delete' ELSE 'write' END, CASE k WHEN 5 THEN 'rolled_back' ELSE 'committed' END, doc_id, sha256(text),
+      CASE k WHEN 4 THEN sha256('first ' || text) WHEN 5 THEN sha256('second ' || text) END FROM d WHERE k IN (3, 4, 5))
+  SELECT doc_id::VARCHAR AS rel, action, status, b AS before_sha256, a AS after_sha256 FROM j""")
+def sink3_journal(spark, sf_dir):
+    return _damaged_store(spark, sf_dir).journal().drop("tx")
