@@ -1,8 +1,8 @@
 """Language identification: averaged hashed subword embeddings with a linear softmax, trained by SGD in numpy.
 
 A document's vector is the mean of the embeddings of its byte 2- and 3-grams, taken inside words with a blank on each side and hashed
-into ``BUCKETS``. Training uses a bounded sample of labelled rows (``SAMPLE`` for each label in expectation, by a hash of doc_id, fewer where
-that makes more than ``MOST_ROWS`` for all labels), and to every other row of it a disguised copy: its letters are
+into ``BUCKETS``. Training uses a bounded sample of different labelled rows (about ``SAMPLE`` for each label, by a hash of doc_id and text, fewer where
+that makes more than ``MOST_ROWS`` for all labels), and to about half of them, by another bit of that hash, a disguised copy: its letters are
 exchanged by a random permutation, so it has words and lengths of prose but no learned language. Disguised rows are a class of
 their own, which is never predicted but takes probability from the others. A fifth of the sample sets the softmax temperature
 and the confidence under which a prediction is rejected: the one that rejects ``LOST`` of the right predictions there.
@@ -95,20 +95,24 @@ def is_held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """About SAMPLE rows for each label, or fewer to stay within MOST_ROWS: those whose hash is under the label's share, or all of a rarer label."""
-    rows = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count()
+    """About SAMPLE different rows for each label, or fewer to stay within MOST_ROWS: those whose hash is under the label's share, or all of a rarer label.
+
+    Copies of a row count once, so neither ids that repeat nor the way ids are given out decide what is learned.
+    """
+    rows = docs.where(~is_held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).withColumn("h", F.xxhash64("doc_id", "text", F.lit("langid")))
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("count"))
     labels = counts.count()
     if labels > MOST_ROWS:
         raise ValueError(f"{labels} labels are more than the {MOST_ROWS} rows that are learned from")
-    place = F.pmod(F.xxhash64("doc_id", F.lit("langid")), F.lit(1 << 30)).cast("double") / (1 << 30)
-    return rows.join(F.broadcast(counts), "lang").where(place * F.col("count") < min(SAMPLE, MOST_ROWS // max(1, labels))).select("doc_id", "text", "lang")
+    place = F.pmod("h", F.lit(1 << 30)).cast("double") / (1 << 30)
+    near = rows.join(F.broadcast(counts), "lang").where(place * F.col("count") < min(SAMPLE, MOST_ROWS // max(1, labels)))
+    return near.select("h", "doc_id", "text", "lang").dropDuplicates(["h", "lang"]).orderBy("h", "lang", "doc_id", "text").limit(MOST_ROWS)
 
 
 def _features(docs: DataFrame) -> list:
     """(lang, buckets, weights) of the sample, and of the disguised copies with a null lang.
 
-    At most BUCKETS numbers for each row, whatever its length, and 1.5 * MOST_ROWS rows in expectation reach the driver.
+    At most BUCKETS numbers for each row, whatever its length, and 2 * MOST_ROWS rows reach the driver.
     """
 
     def counted(data, off):
@@ -119,22 +123,22 @@ def _features(docs: DataFrame) -> list:
 
     def run(batches):
         for batch in batches:
-            ids, lang = batch.column("doc_id").to_pylist(), batch.column("lang").to_pylist()
+            ids, lang = batch.column("h").to_pylist(), batch.column("lang").to_pylist()
             out = []
             for first, data, off in tk.blocks(batch.column("text")):
                 for i, (buckets, weights) in enumerate(counted(data, off)):
                     out.append((ids[first + i], lang[first + i], buckets, weights))
                 for i in range(len(off) - 1):
-                    if ids[first + i] % 2:
+                    if ids[first + i] >> 40 & 1:
                         text = data[off[i] : off[i + 1]]
                         rng = np.random.default_rng(abs(ids[first + i]))
                         out += [(ids[first + i], None, *x) for x in counted(disguised(text, np.array([0, len(text)]), rng), np.array([0, len(text)]))]
             columns = list(zip(*out)) or [()] * 4
             kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "lang", "ids", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["h", "lang", "ids", "weights"])
 
-    rows = docs.select("doc_id", "text", "lang").mapInArrow(tk.tidy_map(run), "doc_id long, lang string, ids array<int>, weights array<float>").toArrow()
-    order = sorted(range(rows.num_rows), key=lambda i: (rows["doc_id"][i].as_py(), rows["lang"][i].as_py() or "", rows["lang"][i].as_py() is None))
+    rows = docs.select("h", "text", "lang").mapInArrow(tk.tidy_map(run), "h long, lang string, ids array<int>, weights array<float>").toArrow()
+    order = sorted(range(rows.num_rows), key=lambda i: (rows["h"][i].as_py(), rows["lang"][i].as_py() or "", rows["lang"][i].as_py() is None))
     return [(rows["lang"][i].as_py(), rows["ids"][i].values.to_numpy(), rows["weights"][i].values.to_numpy()) for i in order if len(rows["ids"][i].values)]
 
 
@@ -187,7 +191,7 @@ def train(docs: DataFrame) -> LanguageModel | None:
     """Learn from text and lang of the rows that are not held out; None if there is none.
 
     docs: doc_id, text, lang; other columns are ignored. Rows with a null doc_id, text or lang are not learned from, nor are
-    texts without letters; repeated rows count each time.
+    texts without letters; repeated rows count once.
     """
     tk.ship(docs.sparkSession)
     return fit(_features(_sample(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")))))
@@ -198,7 +202,8 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
 
     lang_pred: the most probable label, of equal ones the first by name; "und" with score 0 where the text is null or
     has no letter, and for all rows if the model has learned from none. score: its calibrated probability, next to the other
-    labels and to no learned language. rejected: "und", or a score under the model's threshold. Each row is judged by its whole text alone; keep names the columns carried along (doc_id).
+    labels and to no learned language. rejected: "und", or a score under the model's threshold. Each row is judged by its whole text alone; keep names the
+    columns carried along (doc_id), as ``name_in`` where the result has that name.
     """
     spark = docs.sparkSession
     tk.ship(spark)
@@ -218,6 +223,7 @@ def predict(docs: DataFrame, model: LanguageModel | None, keep: list[str] | None
             rejected = [x == UNKNOWN or s < low for x, s in zip(pred, score)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], names=[*batch.schema.names[:-1], "lang_pred", "score", "rejected"])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    made = ("lang_pred", "score", "rejected")
+    rows = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(keep)], F.col("text").cast("string").alias("__text"))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(tk.tidy_map(run), f"{ddl}, lang_pred string, score double, rejected boolean")
+    return rows.mapInArrow(tk.tidy_map(run), f"{ddl}, lang_pred string, score double, rejected boolean").toDF(*tk.kept_names(keep, made), *made)

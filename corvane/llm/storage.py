@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-_made: list[str] = []
+_made: dict[str, int] = {}  # by which thread
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,7 +49,7 @@ def table(df: DataFrame, files: int | None = None) -> DataFrame:
     fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[out] = path
-    _made.append(path)
+    _made[path] = threading.get_ident()
     return out
 
 
@@ -61,14 +62,21 @@ def drop(*tables: DataFrame) -> None:
 
 
 def made() -> list[str]:
-    """The folders of all tables made so far and not deleted."""
-    return list(_made)
+    """The folders of all tables that this thread has made and that are not deleted."""
+    return [p for p, thread in list(_made.items()) if thread == threading.get_ident()]
+
+
+def read_by(df: DataFrame) -> set[str]:
+    """The folders that the plan of a DataFrame reads."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    files = (x for x in map(leaves.apply, range(leaves.size())) if x.getClass().getSimpleName() == "LogicalRelation")
+    roots = [x.relation().location().rootPaths() for x in files if x.relation().getClass().getSimpleName() == "HadoopFsRelation"]
+    return {r.apply(i).toString() for r in roots for i in range(r.size())}
 
 
 def delete(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables by their folders."""
     for path in paths:
-        if path in _made:
-            _made.remove(path)
+        if _made.pop(path, None) is not None:
             fs, where = _place(spark, path)
             fs.delete(where, True)

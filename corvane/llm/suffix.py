@@ -294,7 +294,7 @@ def whole_characters(data: np.ndarray, removed: np.ndarray) -> np.ndarray:
 def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept) for every row of documents.
 
-    docs: doc_id long, text string; of other columns those named by keep are carried along. Each byte goes that is covered by a string of ``length``
+    docs: doc_id long, text string; of other columns those named by keep are carried along (as ``name_in`` where the result has that name). Each byte goes that is covered by a string of ``length``
     bytes which also starts in a document of a smaller doc_id, judged on the input; matches never cross documents.
     texts: kept is the text without them, where a character goes only if all its bytes do; else kept is the SHA-256 of
     the bytes left, and any byte can go. A null text is empty (kept null if texts); a null doc_id counts as larger than
@@ -314,4 +314,5 @@ def remove_repeats(docs: DataFrame, length: int = 50, texts: bool = True, keep:
     found = segments.groupBy("p").applyInArrow(tk.tidy(_sort_part(length)), ex.REPLY)
     replies = shared.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
     found = whole.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(tk.tidy(_apply(length, texts, carried)), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'string' if texts else 'binary'}{kept}")
-    return found.toDF("doc_id", "n_bytes", "n_removed", "n_spans", "kept", *keep)
+    made = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept")
+    return found.toDF(*made, *tk.kept_names(keep, made))

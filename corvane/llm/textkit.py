@@ -283,5 +283,10 @@ def ranges(start: np.ndarray, length: np.ndarray, step: int = 1) -> np.ndarray:
     return out.cumsum()
 
 
+def kept_names(keep, made) -> list[str]:
+    """Names for the columns that an operator carries along; one that the operator makes a column of itself gets ``_in`` behind it."""
+    return [f"{c}_in" if c in made else c for c in keep]
+
+
 def to_strings(parts: list[bytes | None]) -> pa.Array:
     return pa.array(parts, pa.binary()).cast(pa.string())

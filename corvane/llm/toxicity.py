@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, keep: list[str] | None =
 
     score: 0 to 1, higher where label 1 is likelier; a null text counts as empty, and empty texts and those without letters have the score of one window
     at distance 0. predicted: 1 from 0.5 on. Without a model, score 0. Each row is judged by its whole text alone, so repeated
-    rows are judged alike; keep names the columns carried along (doc_id).
+    rows are judged alike; keep names the columns carried along (doc_id), as ``name_in`` where the result has that name.
     """
     spark = docs.sparkSession
     tk.ship(spark)
@@ -191,4 +191,4 @@ def score(docs: DataFrame, model: ToxicityModel | None, keep: list[str] | None =
     kinds = [f.dataType.simpleString() for f in rows.schema.fields[:-1]]
     rows = rows.toDF(*[f"k{i}" for i in range(len(keep))], "text")
     ddl = ", ".join(f"k{i} {kind}" for i, kind in enumerate(kinds))
-    return rows.mapInArrow(tk.tidy_map(run), f"{ddl}, score double, predicted int").toDF(*keep, "score", "predicted")
+    return rows.mapInArrow(tk.tidy_map(run), f"{ddl}, score double, predicted int").toDF(*tk.kept_names(keep, ("score", "predicted")), "score", "predicted")

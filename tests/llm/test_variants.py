@@ -66,7 +66,7 @@ def test_toxicity_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "123 !!"), (3, "123 !!"), (None, "grumpfish " * 40), (4, "x" * 300000), (5, "ba do " * 60000 + "grumpfish snivelbag"), (6, "ßä日本語 " * 50)]
     odd = widened(spark.createDataFrame(rows, "doc_id long, text string"))
     got = toxicity.score(odd, model, ["doc_id", "score", "k0"]).collect()
-    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "score", "k0", "predicted"}
+    assert len(got) == len(rows) and got[0].asDict().keys() == {"doc_id", "score_in", "k0", "score", "predicted"}
     by = {}
     for r in toxicity.score(odd, model).collect():
         assert 0 <= r.score <= 1
@@ -217,3 +217,42 @@ def test_variants_query_against_brute_force(spark, sf):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in queries.op13_spelling_variants(spark, sf).collect()}
     assert got == brute_variants(docs)
+
+
+# --- language ID: what is learned does not hang on ids
+
+
+def test_language_sample_of_repeated_and_even_ids(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    for one in (1, 2, 3, 11):  # every text under one id, in copies
+        same = docs.select(*[langid.F.lit(one).cast("long").alias("doc_id"), "text", "lang"]).where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0")
+        many = same.unionByName(same).unionByName(same)
+        n = langid._sample(many).count()
+        assert n == 0 if same.isEmpty() else 300 < n <= langid.MOST_ROWS
+    rows = langid._features(langid._sample(docs.selectExpr("doc_id * 2 AS doc_id", "text", "lang")))
+    disguised = sum(r[0] is None for r in rows)
+    assert 0.35 < disguised / (len(rows) - disguised) < 0.65
+
+
+def test_kept_columns_may_have_the_names_of_results(spark, sf):
+    from corvane.llm import suffix
+
+    docs = spark.createDataFrame([(1, "one two three " * 20, 0.5, "x"), (2, None, None, None)], "doc_id long, text string, score double, kept string")
+    model = langid.train(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert langid.predict(docs, model, ["doc_id", "score", "text"]).columns == ["doc_id", "score_in", "text", "lang_pred", "score", "rejected"]
+    assert sorted((r.doc_id, r.score_in) for r in langid.predict(docs, model, ["doc_id", "score"]).collect()) == [(1, 0.5), (2, None)]
+    found = suffix.remove_repeats(docs, keep=("kept", "score"))
+    assert found.columns[-2:] == ["kept_in", "score"] and {r.kept_in for r in found.collect()} == {"x", None}
+
+
+def test_stages_can_be_chained_without_writing(spark, sf):
+    import corpus_pipeline as p
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 40")
+    one = two = docs
+    for _, stage in p.STAGES:
+        one = stage(spark, one, sf)
+    for _, stage in p.STAGES:
+        two = stage(spark, two, sf)  # the tables that the first chain still reads stay
+    rows = lambda df: sorted((r.doc_id, r.n_tokens, tuple(r.ids)) for r in df.collect())
+    assert rows(one) == rows(two) and len(rows(one)) > 10
