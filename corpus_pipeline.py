@@ -1,11 +1,13 @@
 """The corpus pipeline: language ID, near-duplicate join, suffix-array dedup, decontamination, BPE encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written to the shared folder and read again as the next stage's docs.
-The intermediate tables of a stage go when the next one begins, as what it returned has been written by then.
+The intermediate tables of a stage go when the stage after it begins, unless what that one gets still reads them: stages can be chained without
+writing in between, and pipelines of several threads or inputs, or one after the other, do not touch each other's tables. What no stage deletes goes with the session.
 """
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 from functools import wraps
 
@@ -17,18 +19,24 @@ from corvane.llm.queries import tokenizer_path
 from corvane.llm.storage import drop, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-_left: list[str] = []
+_left: dict[tuple[int, str], tuple[str, list[str]]] = {}  # by thread and input: the last stage and its tables
 
 
 def stage(function: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """The same function, which deletes first the intermediate tables of the stage before it."""
+    """The same function, which deletes first the intermediate tables of the stage before it that nothing reads any more."""
 
     @wraps(function)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        storage.delete(spark, _left)
+        key, names = (threading.get_ident(), sf_dir), [f.__name__ for _, f in STAGES]
+        last, left = _left.pop(key, ("", []))
+        follows = last in names and names.index(last) + 1 == names.index(function.__name__)
+        left = left if follows else []
+        if left and storage.read_by(docs).isdisjoint(left):
+            storage.delete(spark, left)
+            left = []
         before = storage.made()
         out = function(spark, docs, sf_dir)
-        _left[:] = [p for p in storage.made() if p not in before]
+        _left[key] = function.__name__, [p for p in storage.made() if p not in before] + left
         return out
 
     return run
