@@ -15,6 +15,7 @@ names a note decides whether it is there, so neither needs a rebuild.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import uuid
@@ -27,7 +28,8 @@ from corvane.functions import text as T
 from corvane.operators.search import K1, B, Term
 from corvane.sources import shared, sinks
 
-BUCKETS = 32
+BUCKET_BYTES = 256 << 20  # of text; the number of folders is fixed when an index is new
+FEW = 300  # words that a query reads by name
 SALTS = 4  # tasks that share the postings of one bucket
 GRAM = 3
 RUN = "[a-z0-9_.\\-]+|[\\u4e00-\\u9fff]+"
@@ -35,8 +37,21 @@ TITLE, TAGS, CONTENT = -1, -2, -3
 HEADING, BODY, FENCE = 1, 2, 4
 
 
-def _bucket(c: Column | str) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+SCHEMAS = {
+    "notes": "rel {}, title string, low string, tags array<string>, kind string, n int, there boolean",
+    "postings": "term string, rel {}, section int, tf int, n int, area int, bucket int",
+    "sections": "rel {}, section int, heading string, body string, part int",
+    "grams": "gram string, word string, bucket int",
+}
+
+
+def _bucket(c: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(c), F.lit(buckets)).cast("int")
+
+
+def _format(spark: SparkSession, root: str) -> dict:
+    """What holds for all segments of an index: its number of folders, and the type of rel."""
+    return json.loads(shared.read_small(spark, f"{root}/FORMAT"))
 
 
 def _runs(text: Column) -> Column:
@@ -44,7 +59,7 @@ def _runs(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(f"({RUN})"), 1))
 
 
-def _postings(notes: DataFrame) -> DataFrame:
+def _postings(notes: DataFrame, buckets: int) -> DataFrame:
     """(bucket, term, rel, section, tf, n, area) of notes (rel, title, tags, content, sections)."""
     whole = lambda s: F.concat_ws("\n", s["heading"], s["body"])
     s = notes.select("rel", F.posexplode("sections").alias("section", "s")).select("rel", "section", "s.heading", "s.body", whole(F.col("s")).alias("text"))
@@ -63,7 +78,7 @@ def _postings(notes: DataFrame) -> DataFrame:
     content = notes.select("rel", T.token_bags(F.col("content"), distinct=True).alias("b"), _runs(F.col("content")).alias("r"))
     content = content.select("rel", F.lit(CONTENT).alias("section"), F.lit(0).alias("n"), F.explode(F.array_distinct(F.concat("b.words", "b.parts", "r"))).alias("term"), F.lit(0).alias("tf"), F.lit(0).alias("area"))
     rows = reduce(DataFrame.unionByName, (tokens, areas, beside, content))
-    rows = rows.select(_bucket("term").alias("bucket"), F.pmod(F.xxhash64("rel"), F.lit(SALTS)).alias("salt"), "*").repartition("bucket", "salt")
+    rows = rows.select(_bucket("term", buckets).alias("bucket"), F.pmod(F.xxhash64("rel"), F.lit(SALTS)).alias("salt"), "*").repartition("bucket", "salt")
     return rows.groupBy("bucket", "salt", "term", "rel", "section").agg(F.sum("tf").cast("int").alias("tf"), F.max("n").alias("n"), F.bit_or("area").cast("int").alias("area")).drop("salt")
 
 
@@ -73,15 +88,18 @@ def add(notes: DataFrame, root: str) -> str:
     Missing lists count as empty; rows without a rel are left out; of rows that share a rel in one call the index holds all, as one note.
     """
     spark, name = notes.sparkSession, f"seg-{uuid.uuid4().hex}"
+    size = notes.agg(F.sum(F.octet_length("content"))).first()[0] or 0
+    shared.write_new(spark, f"{root}/FORMAT", json.dumps({"buckets": min(4096, 4 + size // BUCKET_BYTES), "rel": notes.schema["rel"].dataType.simpleString()}))
+    buckets = _format(spark, root)["buckets"]
     notes = shared.spread(notes.where("rel IS NOT NULL"))
     low = F.lower(F.coalesce("title", F.lit("")))
     notes.select("rel", "title", low.alias("low"), F.coalesce("tags", F.expr(T.EMPTY)).alias("tags"), "kind", T.token_count(T.token_bags(F.col("content"))).alias("n"), F.lit(True).alias("there")).write.parquet(f"{root}/{name}/notes")
-    _postings(notes).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/{name}/postings")
-    parts = notes.select(_bucket("rel").alias("part"), "rel", F.posexplode("sections").alias("section", "s")).select("part", "rel", "section", "s.heading", "s.body")
+    _postings(notes, buckets).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{root}/{name}/postings")
+    parts = notes.select(_bucket("rel", buckets).alias("part"), "rel", F.posexplode("sections").alias("section", "s")).select("part", "rel", "section", "s.heading", "s.body")
     parts.repartition("part").write.partitionBy("part").parquet(f"{root}/{name}/sections")
-    words = spark.read.parquet(f"{root}/{name}/postings").select("term").distinct()
+    words = _read(spark, root, name, "postings").select("term").distinct()
     grams = words.select(F.explode(F.array_distinct(F.when(F.length("term") < GRAM, F.array("term")).otherwise(T.ngrams(F.col("term"), GRAM)))).alias("gram"), F.col("term").alias("word"))
-    grams.select(_bucket("gram").alias("bucket"), "*").repartition("bucket").sortWithinPartitions("gram").write.partitionBy("bucket").parquet(f"{root}/{name}/grams")
+    grams.select(_bucket("gram", buckets).alias("bucket"), "*").repartition("bucket").sortWithinPartitions("gram").write.partitionBy("bucket").parquet(f"{root}/{name}/grams")
     _publish(spark, root, name)
     return name
 
@@ -110,12 +128,21 @@ def _publish(spark: SparkSession, root: str, name: str) -> None:
     raise sinks.StaleSnapshot(f"no turn to publish {name}")
 
 
+def _read(spark: SparkSession, root: str, segment: str, name: str) -> DataFrame:
+    return spark.read.schema(SCHEMAS[name].format(_format(spark, root)["rel"])).parquet(f"{root}/{segment}/{name}")
+
+
+def _grams(text: str) -> list[str]:
+    return sorted({text[i : i + GRAM] for i in range(len(text) - GRAM + 1)})
+
+
 class Index:
     """The published state of an index: tables of all its segments, with the notes that are there now."""
 
     def __init__(self, spark: SparkSession, root: str):
         name = sinks.current(spark, root)
         self.spark, self.root = spark, root
+        self.buckets = _format(spark, root)["buckets"] if name else 0
         self.segments = [] if name is None else [r.segment for r in spark.read.parquet(f"{root}/{name}").orderBy("at").collect()]
         self._holds = [set(shared.names(spark, f"{root}/{s}")) for s in self.segments]
         if not self.segments:
@@ -125,50 +152,57 @@ class Index:
         self.notes = (notes if len(self.segments) == 1 else notes.join(last, ["rel", "at"])).where("there")
 
     def _table(self, name: str) -> DataFrame:
-        found = [self.spark.read.parquet(f"{self.root}/{s}/{name}").withColumn("at", F.lit(i)) for i, s in enumerate(self.segments) if name in self._holds[i]]
+        found = [_read(self.spark, self.root, s, name).withColumn("at", F.lit(i)) for i, s in enumerate(self.segments) if name in self._holds[i]]
         return reduce(DataFrame.unionByName, found)
 
+    def _buckets(self, values: list[str]) -> list[int]:
+        """The folders of a few terms or grams."""
+        return sorted(set(self.spark.sql("SELECT 1").select(F.array(*(_bucket(F.lit(v), self.buckets) for v in values))).first()[0]))
+
     def _live(self, rows: DataFrame) -> DataFrame:
         """Rows of the notes that are there, from the segment that has them."""
         return rows if len(self.segments) == 1 else rows.join(self.notes.select("rel", "at"), ["rel", "at"], "left_semi")
 
     def postings(self, terms: list[str]) -> DataFrame:
         """The live postings of a few terms: only their folders are read."""
-        buckets = [r[0] for r in self.spark.createDataFrame([(t,) for t in terms], "t string").select(_bucket("t")).distinct().collect()]
-        return self._live(self._table("postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(terms)))
-
-    def words(self, test: Column, part: str) -> DataFrame:
-        """(word): the words that a test of the column word holds for; part: what they contain, whose grams narrow the search."""
-        grams = self._table("grams")
-        if len(part) < GRAM:
-            return grams.select("word").distinct().where(test)
-        own = sorted({part[i : i + GRAM] for i in range(len(part) - GRAM + 1)})
-        buckets = [r[0] for r in self.spark.createDataFrame([(g,) for g in own], "g string").select(_bucket("g")).distinct().collect()]
-        found = grams.where(F.col("bucket").isin(buckets) & F.col("gram").isin(own)).groupBy("word").agg(F.count_distinct("gram").alias("k"))
-        return found.where(F.col("k") == len(own)).select("word").where(test)
+        return self._live(self._table("postings").where(F.col("bucket").isin(self._buckets(terms)) & F.col("term").isin(terms)))
+
+    def matching(self, test: Column, parts: list[str]) -> DataFrame:
+        """The live postings whose term passes a test that implies that it contains one of the parts.
+
+        The grams of the parts say which words those are. If they are few, only their folders and row groups are read; a test that many words pass, such as one for
+        a short part, is applied to all postings.
+        """
+        rows = self._table("postings")
+        if all(len(p) >= GRAM for p in parts):
+            own = sorted({g for p in parts for g in _grams(p)})
+            grams = self._table("grams").where(F.col("bucket").isin(self._buckets(own)) & F.col("gram").isin(own))
+            few = grams.select(F.col("word").alias("term"), _bucket("word", self.buckets).alias("bucket")).distinct().where(test).limit(FEW + 1).collect()
+            if len(few) <= FEW:
+                rows = rows.where(F.col("bucket").isin(sorted({r.bucket for r in few})) & F.col("term").isin([r.term for r in few])) if few else rows.where(F.lit(False))
+        return self._live(rows.where(test))
 
     def statistics(self, terms: list[Term]) -> dict:
         """N, the mean number of tokens, and the document frequency of each term."""
-        n = self.notes.agg(F.count("*").alias("n"), F.avg("n").alias("mean")).first().asDict()
-        rows = self.postings([t.text for t in terms]).where(F.col("section") == CONTENT)
-        found = {r.term: r.df for r in rows.groupBy("term").agg(F.count_distinct("rel").alias("df")).collect()}
-        return n | {f"df{i}": found.get(t.text, 0) for i, t in enumerate(terms)}
+        known = self.postings([t.text for t in terms]).where(F.col("section") == CONTENT).groupBy("term").agg(F.count_distinct("rel").alias("k"), F.lit(0.0).alias("mean"))
+        rows = known.unionAll(self.notes.agg(F.lit(None).cast("string").alias("term"), F.count("*").alias("k"), F.avg("n").alias("mean")).select("term", "k", "mean")).collect()
+        found, notes = {r.term: r.k for r in rows if r.term is not None}, next(r for r in rows if r.term is None)
+        return {"n": notes.k, "mean": notes.mean} | {f"df{i}": found.get(t.text, 0) for i, t in enumerate(terms)}
 
     def phrase(self, phrase: str) -> DataFrame:
         """(rel, section, head, body): live sections whose heading or body contains a phrase of several words; nothing is missed, whatever stands between them."""
         spans = [m.span() for m in re.finditer(RUN, phrase)]
         rows = self._table("sections")
         if spans:
-            sections = None
-            for a, b in spans:
-                word, begins, ends = phrase[a:b], a > 0, b < len(phrase)
-                col = F.col("word")
-                test = (col == word) if begins and ends else F.startswith(col, F.lit(word)) if begins else F.endswith(col, F.lit(word)) if ends else F.contains(col, F.lit(word))
-                own = self._table("postings").where("section >= 0").join(self.words(test, word).withColumnRenamed("word", "term"), "term", "left_semi").select("rel", "section", "at").distinct()
-                sections = own if sections is None else sections.join(own, ["rel", "section", "at"], "left_semi")
-            sections = self._live(sections)
-            parts = [r[0] for r in sections.select(_bucket("rel")).distinct().collect()]  # at most BUCKETS
-            rows = rows.where(F.col("part").isin(parts) if parts else F.lit(False)).join(sections, ["rel", "section", "at"], "left_semi")
+            # the longest of its words, one that is whole if there is one, picks the sections to look at
+            a, b = max(spans, key=lambda s: (s[0] > 0 and s[1] < len(phrase), s[1] - s[0]))
+            word, term = phrase[a:b], F.col("term")
+            test = F.contains(term, F.lit(word)) if b - a == len(phrase) else (term == word) if a > 0 and b < len(phrase) else F.startswith(term, F.lit(word)) if a > 0 else F.endswith(term, F.lit(word))
+            sections = self.matching(test, [word]).where("section >= 0").select("rel", "section", "at")
+            if self.buckets > 64:
+                parts = [r[0] for r in sections.select(_bucket("rel", self.buckets)).distinct().collect()]  # at most self.buckets
+                rows = rows.where(F.col("part").isin(parts) if parts else F.lit(False))
+            rows = rows.join(sections, ["rel", "section", "at"], "left_semi")
         else:
             rows = self._live(rows)
         has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(phrase))
@@ -188,23 +222,22 @@ def search(index: Index, query: str, terms: list[Term], language: str | None = N
     plain = [bool(re.fullmatch(RUN, t.text)) for t in terms]
     one = bool(re.fullmatch(RUN, q))
     asked = [t.text for t in terms] + ([q] if one else [])
-    # words that contain what is asked for, with a bit for each
-    found = [index.words(F.contains("word", F.lit(x)), x).select("word", F.lit(1 << i).cast("long").alias("bit")) for i, x in enumerate(asked) if i >= len(terms) or plain[i]]
-    bits = reduce(DataFrame.unionByName, found).groupBy("word").agg(F.bit_or("bit").alias("bits")).withColumnRenamed("word", "term") if found else None
+    looked = [(i, x) for i, x in enumerate(asked) if i >= len(terms) or plain[i]]
     zero = F.lit(0.0)
     plus = lambda test, x: F.when(test, F.lit(float(x))).otherwise(zero)
     bit = lambda c, i: F.col(c).bitwiseAND(F.lit(1 << i)) != 0
     spoken = [(1 << i, t.text) for i, t in enumerate(terms) if not plain[i]] + ([] if one or len(q) < 1 else [(1 << len(terms), q)])
     of = lambda test, c="bits": F.bit_or(F.when(test, F.col(c)).otherwise(F.lit(0).cast("long")))
     parts = []
-    if bits is not None:
-        rows = index._live(index._table("postings").join(bits, "term"))
+    if looked:
+        bits = reduce(Column.bitwiseOR, (F.when(F.contains("term", F.lit(x)), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, x in looked))
+        rows = index.matching(bits != 0, [x for _, x in looked]).withColumn("bits", bits)
         area = lambda k: (F.col("section") >= 0) & (F.col("area").bitwiseAND(F.lit(k)) != 0)
         parts.append(rows.select("rel", "section", "bits", area(HEADING).alias("head"), area(BODY).alias("body"), area(FENCE).alias("fence"), F.when(F.col("term").isin([t.text for t in terms]), F.col("tf")).alias("tf"), "n", "term"))
     for b, text in spoken:
         hit = index.phrase(text).select("rel", "section", F.lit(b).cast("long").alias("bits"), "head", "body", F.lit(False).alias("fence"), F.lit(0).alias("tf"), F.lit(0).alias("n"), F.lit("").alias("term"))
         parts.append(hit)
-    rows = reduce(DataFrame.unionByName, parts)
+    rows = reduce(DataFrame.unionByName, parts).repartition("rel")  # for both groupings
     none = F.lit(0).cast("long")
     counted = [F.max(F.when(F.col("term") == t.text, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(terms)]
     sections = rows.groupBy("rel", "section").agg(of(F.col("head")).alias("head"), of(F.col("body")).alias("body"), F.bool_or("fence").alias("fence"), F.max("n").alias("n"), of((F.col("section") < 0) | (F.col("term") == "")).alias("any"), *counted)
