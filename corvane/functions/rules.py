@@ -17,6 +17,18 @@ REVIEW_STATUSES = ["unreviewed", "reviewed"]
 CLAIM_PREFIXES = ["必须", "禁止", "不得", "应", "推荐", "MUST", "SHOULD", "NEVER", "is ", "is not"]
 POSITIVE = "一定要|必须|应当|推荐|正确|(?<![A-Za-z])always(?![A-Za-z])|(?<![A-Za-z])must(?!\\s*not)(?![A-Za-z])|(?<![A-Za-z])should(?![A-Za-z])"
 NEGATIVE = "不能|不应|不得|不要|禁止|切勿|(?<![A-Za-z])must\\s+not(?![A-Za-z])|(?<![A-Za-z])never(?![A-Za-z])|(?<![是能与])否(?!则)"
+MARKERS = "(?i)一定要|必须|应当|推荐|正确|不能|不应|不得|不要|禁止|切勿|(?<![A-Za-z])must\\s+not(?![A-Za-z])|(?<![A-Za-z])always(?![A-Za-z])|(?<![A-Za-z])must(?![A-Za-z])|(?<![A-Za-z])should(?![A-Za-z])|(?<![A-Za-z])never(?![A-Za-z])"
+ENGLISH_STOPS = [
+    "the", "a", "an", "and", "or", "of", "to", "in", "on", "at", "by", "is", "are", "was", "were", "be", "been", "for", "with", "when", "if", "then",
+    "this", "that", "it", "its", "as", "we", "you", "they", "he", "she", "can", "could", "will", "would", "do", "does", "did", "have", "has", "had", "not", "no",
+    "so", "such", "than", "there", "their", "from",
+]
+CJK_STOPS = [
+    "我们", "你们", "他们", "它们", "这个", "那个", "一个", "一些", "一下", "什么", "怎么", "如何", "如果", "那么", "因为", "所以", "但是", "然后", "或者", "以及", "并且", "其中", "其他",
+    "所有", "任何", "时候", "情况", "进行", "使用", "可以", "就是", "还是", "也是", "都是", "不是", "没有", "能够", "需要", "应该", "注意", "建议", "这里", "那里", "哪些", "以下", "如下",
+    "上面", "下面", "相关", "问题", "方法", "方式", "内容", "笔记", "文章", "文档", "说明", "描述", "介绍", "总结", "记录", "整理", "设置", "配置", "支持", "默认", "当前", "系统", "数据",
+    "代码", "测试", "运行", "执行", "处理", "返回", "参数", "函数", "变量", "类型", "来源", "参考", "出自", "来自", "一定",
+]
 DIRECTORY_TRUST = [
     ("06-Sources/Books/", "primary", "medium"),
     ("06-Sources/Papers/", "primary", "medium"),

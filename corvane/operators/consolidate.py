@@ -59,8 +59,9 @@ def appendix(title: Column, body: Column, rel: Column, day: Column) -> Column:
 
 
 def body_of(content: Column) -> Column:
-    """A note without its leading block."""
-    return F.regexp_replace(content, "(?s)\\A---[ \\t]*\\r?\\n.*?\\n---", "")
+    """What stands behind the first two ---, without white space around it; the whole content if it does not begin with one or has no second."""
+    parts = F.split(content, "---", 3)
+    return F.when(F.startswith(content, F.lit("---")) & (F.size(parts) == 3), F.regexp_replace(F.get(parts, F.lit(2)), "^\\s+|\\s+$", "")).otherwise(content)
 
 
 def rendered(planned: DataFrame, drafts: DataFrame, files: DataFrame, day: Column) -> DataFrame:

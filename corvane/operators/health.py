@@ -183,7 +183,7 @@ def changed_files(porcelain: DataFrame) -> DataFrame:
     state = F.struct(F.lit(False).alias("old"), F.expr(T.EMPTY).alias("out"))
 
     def step(s: Column, x: Column) -> Column:
-        code, path = F.substring(x, 1, 2), F.substring(x, 4, 1 << 20)
+        code, path = F.substring(x, 1, 2), F.substring(x, F.lit(4), F.length(x))
         formed = (F.length(x) >= 4) & (F.substring(x, 3, 1) == " ")
         moved = ~s["old"] & formed & code.rlike("^[RC]")
         one = F.when(s["old"], F.array(x)).when(~formed | code.isin("??", "!!"), F.expr(T.EMPTY)).otherwise(F.array(path))

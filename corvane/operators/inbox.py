@@ -18,7 +18,7 @@ TRIVIAL_TITLES = ["test", "temp", "123", "todo", "fix typo", "临时", "测试"]
 def tagged(tags: Column, space: str) -> Column:
     """The names under one tag space, in order."""
     own = F.filter(F.coalesce(tags, F.expr(T.EMPTY)), lambda t: t.startswith(f"{space}/"))
-    return F.transform(own, lambda t: F.substring(t, len(space) + 2, 1 << 20))
+    return F.transform(own, lambda t: F.substring(t, F.lit(len(space) + 2), F.length(t)))
 
 
 def destinations(drafts: DataFrame) -> DataFrame:

@@ -75,7 +75,7 @@ def tags_of_block(notes: DataFrame) -> DataFrame:
     """(rel, tags) as the compactor reads them: every ``- `` line of the leading block is a tag."""
     block = F.regexp_extract("content", "(?s)\\A---[ \\t]*\\r?\\n(.*?)\\r?\\n---", 1)
     items = F.filter(F.transform(F.split(block, "\n"), lambda x: F.trim(x)), lambda x: F.startswith(x, F.lit("- ")))
-    return notes.select("rel", F.transform(items, lambda x: F.regexp_replace(F.trim(F.substring(x, 3, 1 << 20)), "^['\"]+|['\"]+$", "")).alias("tags"))
+    return notes.select("rel", F.transform(items, lambda x: F.regexp_replace(F.trim(F.substring(x, F.lit(3), F.length(x))), "^['\"]+|['\"]+$", "")).alias("tags"))
 
 
 def with_placeholders(content: Column) -> Column:

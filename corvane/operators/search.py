@@ -169,3 +169,64 @@ def query_language(query: str) -> str | None:
 
     low = query.lower().strip()
     return next((tag for word, tag in LANGUAGES.items() if word in low.split() or re.search(rf"\b{re.escape(word)}\b", low)), None)
+
+
+# --- the same for a column of queries: built-in expressions ------------------------------------------------------
+
+TERM = "array<struct<term: string, weight: double, core: boolean>>"
+
+
+def _term(text: Column, weight: float, core: bool = True) -> Column:
+    return F.struct(text.alias("term"), F.lit(weight).alias("weight"), F.lit(core).alias("core"))
+
+
+def _first_seen(terms: Column) -> Column:
+    """Of terms with the same text the first one."""
+    texts = F.transform(terms, lambda t: t["term"])
+    return F.filter(terms, lambda t, i: F.array_position(texts, t["term"]) == i + 1)
+
+
+def terms_of(query: Column) -> Column:
+    """ARRAY<STRUCT<term, weight, core>>: query_terms of each query; a null one has none."""
+    low, none = F.lower(F.coalesce(query, F.lit(""))), F.expr(f"cast(array() as {TERM})")
+
+    def word(w: Column) -> Column:
+        parts = F.filter(F.split(w, "[._\\-]+"), lambda p: F.length(p) > 1)
+        return F.concat(F.array(_term(w, 1.5)), F.transform(parts, lambda p: _term(p, 1.0, False)))
+
+    def run(r: Column) -> Column:
+        halves = F.array(_term(F.substring(r, 1, 2), 1.3), _term(F.substring(r, 3, 2), 1.3))
+        pairs = F.when(F.length(r) == 4, halves).when(F.length(r) > 2, F.transform(T.ngrams(r, 2), lambda p: _term(p, 1.2))).otherwise(none)
+        return F.concat(F.array(_term(r, 1.8)), pairs, F.transform(T.ngrams(r, 1), lambda c: _term(c, 0.3, False)))
+
+    words = F.transform(F.regexp_extract_all(low, F.lit("([a-z0-9_.\\-]+)"), 1), word)
+    runs = F.transform(F.regexp_extract_all(low, F.lit(f"({T.CJK}+)"), 1), run)
+    return _first_seen(F.concat(F.flatten(words), F.flatten(runs)))
+
+
+def language_of(query: Column) -> Column:
+    """query_language of each query: null where it names none."""
+    import re
+
+    low = F.lower(F.trim(query))
+    words = F.split(low, "\\s+")
+    found = None
+    for word, tag in LANGUAGES.items():
+        named = F.array_contains(words, word) | low.rlike(f"\\b{re.escape(word)}\\b")
+        found = F.when(named, tag) if found is None else found.when(named, tag)
+    return found
+
+
+def _holds(part: str):
+    return lambda t: F.contains(t["term"], F.lit(part))
+
+
+def expanded(query: Column, terms: Column, clusters: list[tuple[list[str], list[str]]]) -> Column:
+    """expand for each query and its terms: the terms, then at 0.9 the expansions of every cluster that the query or a term sets off."""
+    more = []
+    for triggers, words in clusters:
+        hit = F.lit(False)
+        for x in triggers:
+            hit = hit | F.contains(F.coalesce(query, F.lit("")), F.lit(x)) | F.exists(terms, _holds(x))
+        more.append(F.when(hit, F.array(*[_term(F.lit(w), 0.9, False) for w in words])).otherwise(F.expr(f"cast(array() as {TERM})")))
+    return _first_seen(F.concat(terms, *more))

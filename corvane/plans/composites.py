@@ -172,6 +172,11 @@ def parse8_link_forms(spark, sf_dir):
 # --- orders, and what is staged ----------------------------------------------------------------------------------
 
 
+@query("SELECT o_orderkey AS rel, date_diff('day', o_orderdate::DATE, DATE '2000-01-01') AS age_days FROM orders ORDER BY age_days DESC, rel LIMIT 40")
+def sort6_oldest_drafts(spark, sf_dir):
+    return render.by_age(rows(spark, sf_dir, "orders", "o_orderkey AS rel", "CAST(datediff(DATE '2000-01-01', o_orderdate) AS BIGINT) AS age_days")).limit(40)
+
+
 @query("SELECT l_orderkey || '/' || l_linenumber AS a, 'x' || l_partkey AS b, l_discount AS ratio FROM lineitem ORDER BY l_discount DESC, a, b LIMIT 30")
 def sort4_most_similar(spark, sf_dir):
     return render.by_ratio(rows(spark, sf_dir, "lineitem", "concat(l_orderkey, '/', l_linenumber) AS a", "concat('x', l_partkey) AS b", "l_discount AS ratio")).limit(30)

@@ -208,7 +208,7 @@ def cons1_plan(spark, sf_dir):
     return _plan(spark, sf_dir)[1].select("rel", "matched_tag", "action", "target_path")
 
 
-@query(rf"""WITH {_PLAN}, b AS (SELECT p.*, content, CASE WHEN {_CLOSED} THEN substr(content, 4 + strpos(substr(content, 4), chr(10) || '---' || chr(10)) + 3) ELSE content END AS body FROM p JOIN notes USING (rel)),
+@query(rf"""WITH {_PLAN}, b AS (SELECT p.*, content, CASE WHEN starts_with(content, '---') AND len(string_split(content, '---')) > 2 THEN regexp_replace(array_to_string(string_split(content, '---')[3:], '---'), '^\s+|\s+$', '', 'g') ELSE content END AS body FROM p JOIN notes USING (rel)),
   x AS (SELECT target_path, string_agg(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '#### ' || title || chr(10) || chr(10) || '> 来源: `' || rel || '` | 日期: 2024-05-06' || chr(10) || chr(10) || body || chr(10), '' ORDER BY rel) AS t, count(*) AS n FROM b WHERE action <> 'create' GROUP BY 1)
   SELECT target_path, n AS n_drafts, md5(CASE target_path WHEN 'L/EN-STANDARDS.md' THEN '# EN Standards' || chr(10) WHEN '01-Rules/DE.md' THEN 'old' ELSE '# Rules' || chr(10) END || t) AS digest FROM x""")
 def cons1_rendered(spark, sf_dir):

@@ -73,21 +73,47 @@ def tok3_conflict_tokens(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", F.md5(F.array_join(F.array_sort(tokens), " ")).alias("digest"))
 
 
-@query("""SELECT term, weight::DOUBLE AS weight, core FROM (VALUES ('go', 1.5, true), ('std.vector', 1.5, true), ('std', 1.0, false), ('vector', 1.0, false), ('内存泄漏', 1.8, true), ('内存', 1.3, true), ('泄漏', 1.3, true), ('内', 0.3, false), ('存', 0.3, false), ('泄', 0.3, false), ('漏', 0.3, false), ('锁', 1.8, true)) t(term, weight, core)""")
+# benchmark texts and page addresses as what is asked for; every third one has some CJK behind it
+_ASKED = "concat(text, CASE length(text) % 3 WHEN 0 THEN ' 内存泄漏 锁' WHEN 1 THEN ' 并发设计模式' ELSE '' END)"
+_TERMS = rf"""asked AS (SELECT item_id, lower({_ASKED}) AS q FROM benchmark),
+  word AS (SELECT item_id, unnest(regexp_extract_all(q, '[a-z0-9_.\-]+')) AS w, generate_subscripts(regexp_extract_all(q, '[a-z0-9_.\-]+'), 1) AS i FROM asked),
+  run AS (SELECT item_id, unnest(regexp_extract_all(q, '[一-鿿]+')) AS w, generate_subscripts(regexp_extract_all(q, '[一-鿿]+'), 1) AS i FROM asked),
+  part AS (SELECT item_id, i, unnest(list_filter(string_split_regex(w, '[._\-]+'), lambda p: length(p) > 1)) AS w, generate_subscripts(list_filter(string_split_regex(w, '[._\-]+'), lambda p: length(p) > 1), 1) AS j FROM word),
+  pair AS (SELECT item_id, i, unnest(range(1, length(w))) AS j, w FROM run WHERE length(w) > 2),
+  one AS (SELECT item_id, i, unnest(range(1, length(w) + 1)) AS j, w FROM run),
+  offer AS (
+    SELECT item_id, w AS term, 1.5 AS weight, true AS core, 0 AS k, i, 0 AS j, 0 AS l FROM word UNION ALL SELECT item_id, w, 1.0, false, 0, i, 1, j FROM part
+    UNION ALL SELECT item_id, w, 1.8, true, 1, i, 0, 0 FROM run UNION ALL SELECT item_id, w[j:j + 1], CASE WHEN length(w) = 4 THEN 1.3 ELSE 1.2 END, true, 1, i, 1, j FROM pair WHERE length(w) <> 4 OR j % 2 = 1
+    UNION ALL SELECT item_id, w[j:j], 0.3, false, 1, i, 2, j FROM one),
+  terms AS (SELECT item_id, term, weight::DOUBLE AS weight, core FROM (SELECT *, row_number() OVER (PARTITION BY item_id, term ORDER BY k, i, j, l) AS r FROM offer) WHERE r = 1)"""
+
+
+@query(f"WITH {_TERMS} FROM terms")
 def tok2_query_terms(spark, sf_dir):
-    return spark.createDataFrame([(t.text, t.weight, t.core) for t in search.query_terms("Go std.vector 内存泄漏 go 锁")], "term string, weight double, core boolean")
+    asked = rows(spark, sf_dir, "benchmark", "item_id", f"{_ASKED} AS q")
+    return asked.select("item_id", F.explode(search.terms_of(F.col("q"))).alias("t")).select("item_id", "t.*")
 
 
-@query("SELECT * FROM (VALUES ('how in C++ and go', 'lang/go'), ('RUST', 'lang/rust'), ('food', NULL), ('a c++ thing', 'lang/cpp'), ('x py', 'lang/python')) t(query, language)")
+_LANGUAGE = "concat(substr(text, 1, 30), CASE n_chars % 9 WHEN 0 THEN ' in C++ and go' WHEN 1 THEN ' RUST' WHEN 2 THEN ' food' WHEN 3 THEN ' a c++ thing' WHEN 4 THEN ' x-py' WHEN 5 THEN ' shell.' WHEN 6 THEN ' .sh/bash' WHEN 7 THEN ' typescripts' ELSE '' END)"
+
+
+@query(f"""WITH q AS (SELECT doc_id, lower({_LANGUAGE}) AS q FROM documents), l(i, word, tag) AS (VALUES {", ".join(f"({i}, '{w}', '{t}')" for i, (w, t) in enumerate(search.LANGUAGES.items()))}),
+  hit AS (SELECT doc_id, min(i) AS i FROM q, l WHERE list_contains(string_split_regex(trim(q, ' ' || chr(10) || chr(9)), '\\s+'), word) OR regexp_matches(q, '\\b' || replace(word, '+', '\\+') || '\\b') GROUP BY doc_id)
+  SELECT q.doc_id, tag AS language FROM q LEFT JOIN hit USING (doc_id) LEFT JOIN l USING (i)""")
 def tok4_query_languages(spark, sf_dir):
-    asked = ["how in C++ and go", "RUST", "food", "a c++ thing", "x py"]
-    return spark.createDataFrame([(q, search.query_language(q)) for q in asked], "query string, language string")
+    return rows(spark, sf_dir, "documents", "doc_id", f"{_LANGUAGE} AS q").select("doc_id", search.language_of(F.col("q")).alias("language"))
+
+
+_CLUSTERS = [(["the", "lock"], ["mutex", "the", "race"]), (["锁"], ["mutex", "并发"]), (["tion"], ["race", "state"])]
 
 
-@query("SELECT term, weight::DOUBLE AS weight, core FROM (VALUES ('lock', 1.0, true), ('mutex', 0.9, false), ('race', 0.9, false)) t(term, weight, core)")
+@query(f"""WITH {_TERMS}, c(k, x, w, j) AS (VALUES {", ".join(f"({k}, '{x}', '{w}', {j})" for k, (xs, ws) in enumerate(_CLUSTERS) for x in xs for j, w in enumerate(ws))}),
+  hit AS (SELECT DISTINCT item_id, k, w, j FROM asked, c WHERE contains(q, x) OR EXISTS (SELECT 1 FROM terms t WHERE t.item_id = asked.item_id AND contains(t.term, x))),
+  extra AS (SELECT item_id, w AS term FROM hit GROUP BY item_id, w)
+  SELECT item_id, term, weight, core FROM terms UNION ALL SELECT item_id, term, 0.9, false FROM extra ANTI JOIN terms USING (item_id, term)""")
 def tok5_expanded_terms(spark, sf_dir):
-    found = search.expand("a lock", [search.Term("lock")], [(["lock"], ["mutex", "lock", "race"]), (["leak"], ["memory"]), (["ock"], ["race"])])
-    return spark.createDataFrame([(t.text, t.weight, t.core) for t in found], "term string, weight double, core boolean")
+    asked = rows(spark, sf_dir, "benchmark", "item_id", f"lower({_ASKED}) AS q").select("item_id", "q", search.terms_of(F.col("q")).alias("terms"))
+    return asked.select("item_id", F.explode(search.expanded(F.col("q"), F.col("terms"), _CLUSTERS)).alias("t")).select("item_id", "t.*")
 
 
 @query(f"SELECT rel, score FROM ({_search_sql()}) JOIN documents ON rel = doc_id WHERE contains('source/' || source, 'e/src1')")

@@ -253,6 +253,13 @@ def set1_snapshot_diff(spark, sf_dir):
     return graph.snapshot_diff(half(0), half(1))
 
 
+@query(f"WITH l AS ({_HREF}) SELECT DISTINCT 'added' AS change, target FROM l")
+def set2_first_snapshot(spark, sf_dir):
+    """A first run has nothing before it, so all is added."""
+    links = _page_links(spark, sf_dir).select("target").distinct()
+    return graph.snapshot_diff(links.where("false"), links)
+
+
 @query("""WITH n AS (SELECT n_name AS node, n_regionkey AS category, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1 AS i FROM nation),
   s AS (SELECT category, ceil(count(*) / 4) AS rows FROM n GROUP BY category), t AS (SELECT category, coalesce(sum(rows * 120 + 40) OVER (ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS top FROM s)
   SELECT category, node, (i % 4)::BIGINT AS col, (i // 4)::BIGINT AS row, (i % 4 * 320)::BIGINT AS x, (top + i // 4 * 120)::BIGINT AS y FROM n JOIN t USING (category)""")
@@ -280,18 +287,25 @@ def dedup1_sequence_ratio(spark, sf_dir):
     return similarity.duplicates(_benchmark_notes(spark, sf_dir), least=0.40)  # the items are distinct: a low threshold, so that there are rows
 
 
-@query("""WITH c AS (SELECT d.doc_id, CASE quality WHEN 1 THEN 'positive' ELSE 'negative' END AS p, 'lang/' || lang AS tag, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{13,}'))) AS w FROM documents d JOIN labels USING (doc_id) WHERE quality IS NOT NULL),
-  s AS (SELECT a.doc_id AS rel_a, b.doc_id AS rel_b, min(a.w) AS keyword, count(*) AS score, min(a.tag) AS tag FROM c a JOIN c b ON a.w = b.w AND a.doc_id < b.doc_id AND a.p <> b.p AND a.tag = b.tag GROUP BY ALL)
-  SELECT rel_a, rel_b, keyword, tag, 0 AS idx_a, 0 AS idx_b, score FROM s""")
+_SAID = "replace(replace(text, ' with ', ' must '), ' that ', ' never ')"
+_OPENING = "'w/' || lower(regexp_extract(text, '^[^A-Za-z]*([A-Za-z]+[^A-Za-z]+[A-Za-z]+)', 1))"
+
+
+@query(rf"""WITH d AS (SELECT doc_id AS rel, {_OPENING} AS tag, {_SAID} AS content FROM documents WHERE text IS NOT NULL),
+  l AS (SELECT rel, tag, list_transform(list_filter(string_split(regexp_replace(content, '`[^`
+]*`', ' ', 'g'), chr(10)), lambda x: NOT starts_with(ltrim(x), '|')), lambda x: regexp_replace(x, '^[>\s#*`-]+', '')) AS ls FROM d),
+  p AS (SELECT rel, tag, list_filter(list_transform(flatten(list_transform(ls, lambda x: string_split_regex(x, '[!?;:]'))), lambda x: trim(x)), lambda x: x <> '') AS ps FROM l),
+  c AS (SELECT rel, tag, unnest(ps) AS c, generate_subscripts(ps, 1) - 1 AS idx FROM p),
+  q AS (SELECT *, CASE WHEN regexp_matches(c, '(^|[^A-Za-z])never($|[^A-Za-z])') THEN 'negative' WHEN regexp_matches(c, '(^|[^A-Za-z])(always|must|should)($|[^A-Za-z])') THEN 'positive' END AS pol FROM c),
+  t AS (SELECT rel, tag, idx, pol, unnest(list_distinct(list_transform(regexp_extract_all(c, '[A-Za-z][A-Za-z0-9_\-]+'), lambda w: lower(w)))) AS w FROM q WHERE pol IS NOT NULL),
+  f AS (SELECT * FROM t WHERE w NOT IN ('must', 'never', 'always', 'should', {", ".join(f"'{w}'" for w in R.ENGLISH_STOPS)})),
+  j AS (SELECT a.rel AS rel_a, b.rel AS rel_b, a.tag, a.idx AS idx_a, b.idx AS idx_b, count(*) AS score, arg_min(a.w, (-length(a.w), a.w)) AS keyword
+    FROM f a JOIN f b ON a.tag = b.tag AND a.w = b.w AND a.rel < b.rel AND a.pol <> b.pol GROUP BY ALL)
+  SELECT rel_a, rel_b, keyword, tag, idx_a::INT AS idx_a, idx_b::INT AS idx_b, score FROM (SELECT *, row_number() OVER (PARTITION BY rel_a, rel_b, keyword ORDER BY idx_a, idx_b) AS r FROM j) WHERE r = 1""")
 def conf1_conflicts(spark, sf_dir):
-    """Labelled documents: the quality label is the polarity, the language the tag, long words the tokens."""
-    polarity = F.when(F.col("quality") == 1, "positive").when(F.col("quality") == 0, "negative")
-    labels = read(spark, sf_dir, "labels").select("doc_id", polarity.alias("polarity"))
-    clauses = documents(spark, sf_dir).join(labels, "doc_id").select(
-        F.col("doc_id").alias("rel"), F.lit(0).alias("idx"), "polarity", F.array(F.concat(F.lit("lang/"), "lang")).alias("tags"),
-        F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{13,})"), 1).alias("tokens"),
-    )
-    return conflicts.candidates(clauses)
+    """Whole documents with two words exchanged for markers of polarity; notes meet under the two words that they open with."""
+    notes = documents(spark, sf_dir).where("text IS NOT NULL").selectExpr("doc_id AS rel", f"array({_OPENING}) AS tags", f"{_SAID} AS content")
+    return conflicts.candidates(conflicts.clauses(shared.spread(notes)))
 
 
 # --- trust and quality -------------------------------------------------------------------------------------------
@@ -336,13 +350,13 @@ def cls1_trust(spark, sf_dir):
 def _quality_notes(spark, sf_dir):
     pairs = [("title", F.substring_index("text", "\n", 1)), ("created", F.lit("2024-01-01")), ("updated", F.when(F.col("n_chars") % 5 == 0, "soon").otherwise("2024-01-02")), ("type", F.col("source")), ("tags", F.col("lang")), ("status", F.when(F.col("lang") == "en", "stable").otherwise("odd")), ("audience", F.lit("both"))]
     fields = F.create_map(*[x for k, v in pairs for x in (F.lit(k), v)])
-    tags = F.array(F.concat(F.lit("lang/"), "lang"), F.col("source"))
+    tags = F.array(F.concat(F.lit("lang/"), "lang"), F.col("source"), F.concat(F.lit("team/"), "lang"))
     return documents(spark, sf_dir).select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("rel"), fields.alias("fields"), tags.alias("tags"), F.array(F.lit("both"), F.col("lang")).alias("audience"))
 
 
 _ISSUES = """SELECT 'notes/' || doc_id || '.md' AS rel, unnest([
     {l: CASE WHEN trim(split_part(text, chr(10), 1)) = '' THEN 'ERROR' END, c: 'FRONTMATTER', m: 'missing title'}, {l: CASE WHEN lang <> 'en' THEN 'ERROR' END, c: 'FRONTMATTER', m: 'status odd'},
-    {l: 'WARN', c: 'FRONTMATTER', m: 'type ' || source}, {l: 'WARN', c: 'FRONTMATTER', m: 'audience ' || lang}, {l: 'WARN', c: 'TAG', m: 'tag form ' || source},
+    {l: 'WARN', c: 'FRONTMATTER', m: 'type ' || source}, {l: 'WARN', c: 'FRONTMATTER', m: 'audience ' || lang}, {l: 'WARN', c: 'TAG', m: 'tag form ' || source}, {l: 'WARN', c: 'TAG', m: 'tag space team/' || lang},
     {l: CASE WHEN n_chars % 5 = 0 THEN 'WARN' END, c: 'FRONTMATTER', m: 'updated soon'}]) AS x FROM documents"""
 
 

@@ -104,7 +104,7 @@ def lint1_forbidden(spark, sf_dir):
     return export.lint(lines, ["ing", "License", "th"])
 
 
-_NAMED = "CASE {0} % 6 WHEN 0 THEN '99-Inbox/x' WHEN 1 THEN '10-Daily/x' WHEN 2 THEN '01-Rules/2024-01-01-' WHEN 3 THEN '03-Languages/go/x-standards-' WHEN 4 THEN 'a?b|' ELSE '01-Rules/(s p' END"
+_NAMED = "CASE WHEN {0} % 12 = 11 THEN '01-Rules/（s p' ELSE CASE {0} % 6 WHEN 0 THEN '99-Inbox/x' WHEN 1 THEN '10-Daily/x' WHEN 2 THEN '01-Rules/2024-01-01-' WHEN 3 THEN '03-Languages/go/x-standards-' WHEN 4 THEN 'a?b|' ELSE '01-Rules/(s p' END END"
 
 
 @query(f"""WITH n AS (SELECT {_NAMED.format('doc_id')} || doc_id || '.md' AS rel FROM documents), f AS (SELECT *, regexp_replace(rel, '^.*/', '') AS name, NOT regexp_matches(rel, '^(99-Inbox|10-Daily|Templates|11-Agents)/') AS formal FROM n)
@@ -112,6 +112,7 @@ _NAMED = "CASE {0} % 6 WHEN 0 THEN '99-Inbox/x' WHEN 1 THEN '10-Daily/x' WHEN 2
   UNION ALL SELECT rel, 'WARN', 'NAMING', 'space' FROM f WHERE contains(name, ' ') AND NOT regexp_matches(rel, '^(10-Daily|Templates)/')
   UNION ALL SELECT rel, 'WARN', 'NAMING', CASE WHEN starts_with(rel, '99') THEN 'draft' ELSE 'daily' END || ' without date' FROM f WHERE regexp_matches(rel, '^(99-Inbox|10-Daily)/') AND NOT regexp_matches(name, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
   UNION ALL SELECT rel, 'ERROR', 'NAMING', 'dated name' FROM f WHERE formal AND regexp_matches(name, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}')
+  UNION ALL SELECT rel, 'ERROR', 'NAMING', 'full-width parentheses' FROM f WHERE formal AND regexp_matches(name, '[（）]')
   UNION ALL SELECT rel, 'WARN', 'NAMING', 'expected ' || upper(split_part(rel, '/', 2)) || '-STANDARDS.md' FROM f WHERE starts_with(rel, '03-Languages/') AND contains(lower(name), '-standards') AND upper(name) <> upper(split_part(rel, '/', 2)) || '-STANDARDS.MD'""")
 def qual4_name_issues(spark, sf_dir):
     return checks.name_issues(rows(spark, sf_dir, "documents", f"concat({_NAMED.format('doc_id')}, doc_id, '.md') AS rel"))
