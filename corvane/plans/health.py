@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from corvane.operators import canvas, consolidate, graph, health, render, search
+from corvane.operators import canvas, consolidate, diffs, graph, health, render, search
 from corvane.operators import notes as N
 from corvane.plans.queries import query, read
 from corvane.plans.vault import rows
@@ -146,6 +146,37 @@ def scan8_changed_files(spark, sf_dir):
     return health.changed_files(rows(spark, sf_dir, "supplier", status))
 
 
+_KEPT = "replace(replace(replace(concat('+', replace(text, chr(10), concat(chr(10), '+'))), concat(chr(10), '+T'), concat(chr(10), ' T')), concat(chr(10), '+E'), concat(chr(10), '-E')), concat(chr(10), '+D'), concat(chr(10), '\\\\ D'))"
+_DIFF = f"""concat('diff --git a/d/', doc_id, '.md b/d/', doc_id, '.md', chr(10), 'index 1..2 100644', chr(10), '--- a/d/', doc_id, '.md', chr(10), '+++ b/d/', doc_id, '.md', chr(10), '@@ -3,1 +', 1 + doc_id % 50, ',9 @@ head', chr(10), {_KEPT}, chr(10),
+  '@@ -90 +', 5000 + doc_id % 9, ' @@', chr(10), '-see https://old.io/?token=a', chr(10), '+see (https://h.io/?token=abc', doc_id, '&q=1).', chr(10), ' https://kept.io/?key=1', chr(10), '+', chr(10), '+plain https://h.io/?q=2', chr(10),
+  'diff --git a/x b/x', chr(10), 'deleted file mode 100644', chr(10), '--- a/x', chr(10), '+++ /dev/null', chr(10), '@@ -1 +0,0 @@', chr(10), '-+never https://gone.io/?secret=1', chr(10))"""
+_ADDED = f"""raw AS (SELECT doc_id AS id, {_DIFF} AS raw FROM documents WHERE text IS NOT NULL),
+  line AS (SELECT id, unnest(string_split(raw, chr(10))) AS line, generate_subscripts(string_split(raw, chr(10)), 1) AS i FROM raw),
+  head AS (SELECT *, sum((starts_with(line, 'diff --git '))::INT) OVER w AS f, sum((starts_with(line, '@@ -'))::INT) OVER w AS h FROM line WINDOW w AS (PARTITION BY id ORDER BY i)),
+  hunk AS (SELECT *, max(CASE WHEN starts_with(line, '@@ -') THEN regexp_extract(line, '[+]([0-9]+)', 1)::INT END) OVER g AS start, sum((starts_with(line, '+') OR starts_with(line, ' '))::INT) OVER (PARTITION BY id, f, h ORDER BY i) AS n FROM head WINDOW g AS (PARTITION BY id, f, h)),
+  path AS (SELECT id, f, max(substr(line, 7)) AS path FROM head WHERE h = (SELECT min(x.h) FROM head x WHERE x.id = head.id AND x.f = head.f) AND starts_with(line, '+++ b/') GROUP BY id, f),
+  added AS (SELECT hunk.id, path, (start + n - 1)::INT AS line_no, substr(line, 2) AS line FROM hunk JOIN path USING (id, f) WHERE start IS NOT NULL AND starts_with(line, '+') AND NOT starts_with(line, '+++ b/'))"""
+
+
+@query(f"WITH {_ADDED} SELECT id, path, line_no, md5(line) AS digest FROM added")
+def scan8_added_lines(spark, sf_dir):
+    found = diffs.added_lines(rows(spark, sf_dir, "documents", "doc_id AS id", "text", "doc_id").where("text IS NOT NULL").selectExpr("id", f"{_DIFF} AS raw"))
+    return found.select("id", "path", "line_no", F.md5("line").alias("digest"))
+
+
+@query(f"""WITH {_ADDED}, u AS (SELECT id, path, line_no, unnest(regexp_extract_all(line, 'https?://[^\\s()]+')) AS url FROM added)
+  SELECT id, path, line_no, url, 'token' AS param FROM u WHERE contains(url, '?token=')""")
+def url1_staged_lines(spark, sf_dir):
+    """Addresses with a credential in the lines that a change adds, not in those that it keeps or takes away."""
+    found = diffs.suspicious_additions(rows(spark, sf_dir, "documents", "doc_id AS id", "text", "doc_id").where("text IS NOT NULL").selectExpr("id", f"{_DIFF} AS raw"))
+    return found.drop("reason")
+
+
+@query("SELECT 'd/' || s_name AS rel FROM supplier UNION ALL SELECT 'n ' || chr(10) || s_name FROM supplier")
+def scan8_tracked_files(spark, sf_dir):
+    return diffs.tracked_files(rows(spark, sf_dir, "supplier", "concat('d/', s_name, char(0), ' ', char(0), 'n \n', s_name, char(0)) AS raw"))
+
+
 # --- the map -----------------------------------------------------------------------------------------------------
 
 _CATEGORY = "CASE WHEN split_part(rel, '/', 1) IN ('01-Rules', '03-Languages', '99-Inbox') THEN split_part(rel, '/', 1) ELSE 'Root' END"
