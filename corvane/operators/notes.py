@@ -138,6 +138,27 @@ def links(notes: DataFrame) -> DataFrame:
     return rows.select("rel", "line_no", raw.alias("raw")).select("rel", "line_no", T.link_target(F.col("raw")).alias("target")).where(~T.is_placeholder(F.col("target")))
 
 
+def heading_keys(notes: DataFrame) -> DataFrame:
+    """(rel, keys ARRAY): what an anchor can name in a note (rel, content): its headings in lower case, as written and without Markdown marks, those in fences too."""
+    written = F.transform(F.regexp_extract_all("content", F.lit("(?m)^#{1,6}\\s+(.+)$"), 1), lambda h: F.lower(F.regexp_replace(h, "^\\s+|\\s+$", "")))
+    bare = F.transform(written, lambda h: F.regexp_replace(F.regexp_replace(h, "[#*`_\\[\\]]", ""), "^\\s+|\\s+$", ""))
+    return notes.select("rel", F.array_union(written, bare).alias("keys"))
+
+
+def local_anchors(notes: DataFrame) -> DataFrame:
+    """(rel, line_no, anchor, known) of links to a place in the note itself, outside fences and inline code: known if it is one of its headings.
+
+    Block references (``^``) name no heading and are left out.
+    """
+    rows = lines(notes).where(~F.col("in_fence"))
+    raw = F.explode(F.regexp_extract_all(F.regexp_replace("line", "`[^`\n]*`", ""), F.lit("\\[\\[([^\\]]+)\\]\\]"), 1))
+    link = F.trim(F.substring_index(F.substring_index(F.col("raw"), "\\|", 1), "|", 1))
+    rows = rows.select("rel", "line_no", raw.alias("raw")).select("rel", "line_no", link.alias("link")).where("startswith(link, '#')")
+    rows = rows.select("rel", "line_no", F.trim(F.substring(F.col("link"), F.lit(2), F.length("link"))).alias("anchor")).where("anchor <> '' AND NOT startswith(anchor, '^')")
+    known = F.coalesce(F.array_contains("keys", F.lower("anchor")), F.lit(False))
+    return rows.join(heading_keys(notes), "rel").select("rel", "line_no", "anchor", known.alias("known"))
+
+
 def titles(notes: DataFrame) -> DataFrame:
     """(rel, title): the title field, else the first top heading, else the file's stem."""
     top = F.nullif(F.regexp_extract("content", "(?m)^#\\s+(.+)$", 1), F.lit(""))

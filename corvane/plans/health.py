@@ -146,6 +146,18 @@ def scan8_changed_files(spark, sf_dir):
     return health.changed_files(rows(spark, sf_dir, "supplier", status))
 
 
+_ANCHORED = f"concat({CONTENT}, chr(10), '### The `Deep` [One] ', chr(10), 'to [[#head]], [[#The deep one|x]] and [[#^b1]] or [[# ', lang, ' ]] and `[[#code]]` [[x#Head]] [[#', CASE n_chars % 3 WHEN 0 THEN 'the `deep` [one' ELSE 'Nothing' END, ']]')"
+
+
+@query(rf"""WITH n AS (SELECT {REL} AS rel, {_ANCHORED} AS content, lang FROM documents),
+  line AS (SELECT rel, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1)::INT AS line_no FROM n),
+  h AS (SELECT DISTINCT rel, unnest([lower(trim(h)), trim(regexp_replace(lower(trim(h)), '[#*`_\[\]]', '', 'g'))]) AS key FROM (SELECT rel, regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1) AS h FROM line WHERE regexp_matches(line, '^#{{1,6}}\s+.+$'))),
+  a AS (SELECT rel, line_no, trim(substr(split_part(unnest(regexp_extract_all(regexp_replace(line, '`[^`]*`', '', 'g'), '\[\[(#[^\]]+)\]\]', 1)), '|', 1), 2)) AS anchor FROM line)
+  SELECT rel, line_no, anchor, EXISTS (SELECT 1 FROM h WHERE h.rel = a.rel AND key = lower(anchor)) AS known FROM a WHERE anchor <> '' AND NOT starts_with(anchor, '^')""")
+def scan4_local_anchors(spark, sf_dir):
+    return N.local_anchors(rows(spark, sf_dir, "documents", f"{REL} AS rel", f"{_ANCHORED} AS content"))
+
+
 _KEPT = "replace(replace(replace(concat('+', replace(text, chr(10), concat(chr(10), '+'))), concat(chr(10), '+T'), concat(chr(10), ' T')), concat(chr(10), '+E'), concat(chr(10), '-E')), concat(chr(10), '+D'), concat(chr(10), '\\\\ D'))"
 _DIFF = f"""concat('diff --git a/d/', doc_id, '.md b/d/', doc_id, '.md', chr(10), 'index 1..2 100644', chr(10), '--- a/d/', doc_id, '.md', chr(10), '+++ b/d/', doc_id, '.md', chr(10), '@@ -3,1 +', 1 + doc_id % 50, ',9 @@ head', chr(10), {_KEPT}, chr(10),
   '@@ -90 +', 5000 + doc_id % 9, ' @@', chr(10), '-see https://old.io/?token=a', chr(10), '+see (https://h.io/?token=abc', doc_id, '&q=1).', chr(10), ' https://kept.io/?key=1', chr(10), '+', chr(10), '+plain https://h.io/?q=2', chr(10),

@@ -39,3 +39,11 @@ def test_added_lines(spark):
 def test_tracked_files(spark):
     df = spark.createDataFrame([("a/b\0c d\0\0 \0并\0",), ("",), (None,)], "raw string")
     assert [r.rel for r in diffs.tracked_files(df).collect()] == ["a/b", "c d", "并"]
+
+
+def test_local_anchors(spark):
+    from corvane.operators import notes as N
+
+    text = "# One *Two*\n```\n## In fence\n[[#skipped]]\n```\n[[#one two]] [[#One *Two*|x]] [[#in FENCE]] [[#^b]] [[#]] [[other#One]] `[[#code]]` [[#three]]\n"
+    got = N.local_anchors(spark.createDataFrame([("a", text), ("b", None), ("c", "[[#x]]")], "rel string, content string")).collect()
+    assert sorted((r.rel, r.line_no, r.anchor, r.known) for r in got) == [("a", 6, "One *Two*", True), ("a", 6, "in FENCE", True), ("a", 6, "one two", True), ("a", 6, "three", False), ("c", 1, "x", False)]
