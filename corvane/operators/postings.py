@@ -5,7 +5,7 @@ build that is lost midway leaves the old index in place; removing notes writes a
 names a note decides whether it is there, so neither needs a rebuild.
 
 * postings (term, rel, section, tf, n, area), in folders by a hash of the term and in files ordered by term: a query reads the folders of its words.
-  Sections -1 and -2 are the title and the tags, -3 what the content has beside its sections. area: 1 heading, 2 body, 4 the body has a code fence.
+  Sections -1 and -2 are the title and the tags, -3 the whole content where it is not just its sections. area: 1 heading, 2 body, 4 the body has a code fence.
 * grams (gram, word): the words that have a run of three characters. Boosts for substrings ask which words contain a term, and then read
   the postings of those words: a query term without blanks stands inside a word, so texts are not read for it.
 * sections (rel, section, heading, body), in folders by a hash of rel: phrases of several words are looked up in the sections
@@ -65,17 +65,21 @@ def _postings(notes: DataFrame, buckets: int) -> DataFrame:
     s = notes.select("rel", F.posexplode("sections").alias("section", "s")).select("rel", "section", "s.heading", "s.body", whole(F.col("s")).alias("text"))
     fence = F.when(F.contains("body", F.lit("```")), FENCE).otherwise(0)
     s = s.select("rel", "section", T.token_bags(F.col("text")).alias("b"), _runs(F.col("heading")).alias("h"), _runs(F.col("body")).alias("r"), fence.alias("fence"))
-    tokens = s.select("rel", "section", T.token_count(F.col("b")).alias("n"), F.explode(F.concat("b.words", "b.parts")).alias("term"), F.lit(1).alias("tf"), F.lit(0).alias("area"))
-    # words of the body are known from the tokens; what the heading has, and CJK runs, come beside them
-    areas = s.select("rel", "section", F.lit(0).alias("n"), F.explode(F.concat(F.transform("h", lambda x: F.struct(x.alias("term"), F.lit(HEADING).alias("area"))), F.transform("r", lambda x: F.struct(x.alias("term"), (F.col("fence") + BODY).alias("area"))))).alias("x"))
+    # the words of a body without a heading are known from its tokens; beside others, and beside CJK runs, places come in rows of their own
+    plain = (F.size("h") == 0) & ~F.exists("r", lambda x: x.rlike(T.CJK))
+    at = lambda xs, area: F.transform(xs, lambda x: F.struct(x.alias("term"), area.cast("int").alias("area")))
+    inside = F.concat(at("b.words", F.when(plain, F.col("fence") + BODY).otherwise(0)), at("b.parts", F.lit(0)))
+    tokens = s.select("rel", "section", T.token_count(F.col("b")).alias("n"), F.explode(inside).alias("x")).select("rel", "section", "n", "x.term", F.lit(1).alias("tf"), "x.area")
+    areas = s.where(~plain).select("rel", "section", F.lit(0).alias("n"), F.explode(F.concat(at("h", F.lit(HEADING)), at("r", F.col("fence") + BODY))).alias("x"))
     areas = areas.select("rel", "section", "n", "x.term", F.lit(0).alias("tf"), "x.area")
 
-    def at(k: int, text: Column) -> Column:
+    def of(k: int, text: Column) -> Column:
         return F.transform(_runs(text), lambda x: F.struct(x.alias("term"), F.lit(k).alias("section")))
 
-    other = F.concat(at(TITLE, F.col("title")), at(TAGS, F.concat_ws(" ", "tags")))
+    other = F.concat(of(TITLE, F.col("title")), of(TAGS, F.concat_ws(" ", "tags")))
     beside = notes.select("rel", F.explode(other).alias("x")).select("rel", "x.section", F.lit(0).alias("n"), "x.term", F.lit(0).alias("tf"), F.lit(0).alias("area"))
-    content = notes.select("rel", T.token_bags(F.col("content"), distinct=True).alias("b"), _runs(F.col("content")).alias("r"))
+    outside = ~F.col("content").eqNullSafe(F.array_join(F.transform("sections", whole), "\n"))
+    content = notes.where(outside).select("rel", T.token_bags(F.col("content"), distinct=True).alias("b"), _runs(F.col("content")).alias("r"))
     content = content.select("rel", F.lit(CONTENT).alias("section"), F.lit(0).alias("n"), F.explode(F.array_distinct(F.concat("b.words", "b.parts", "r"))).alias("term"), F.lit(0).alias("tf"), F.lit(0).alias("area"))
     rows = reduce(DataFrame.unionByName, (tokens, areas, beside, content))
     rows = rows.select(_bucket("term", buckets).alias("bucket"), F.pmod(F.xxhash64("rel"), F.lit(SALTS)).alias("salt"), "*").repartition("bucket", "salt")
@@ -184,7 +188,7 @@ class Index:
 
     def statistics(self, terms: list[Term]) -> dict:
         """N, the mean number of tokens, and the document frequency of each term."""
-        known = self.postings([t.text for t in terms]).where(F.col("section") == CONTENT).groupBy("term").agg(F.count_distinct("rel").alias("k"), F.lit(0.0).alias("mean"))
+        known = self.postings([t.text for t in terms]).where((F.col("section") == CONTENT) | (F.col("tf") > 0)).groupBy("term").agg(F.count_distinct("rel").alias("k"), F.lit(0.0).alias("mean"))
         rows = known.unionAll(self.notes.agg(F.lit(None).cast("string").alias("term"), F.count("*").alias("k"), F.avg("n").alias("mean")).select("term", "k", "mean")).collect()
         found, notes = {r.term: r.k for r in rows if r.term is not None}, next(r for r in rows if r.term is None)
         return {"n": notes.k, "mean": notes.mean} | {f"df{i}": found.get(t.text, 0) for i, t in enumerate(terms)}
@@ -240,7 +244,7 @@ def search(index: Index, query: str, terms: list[Term], language: str | None = N
     rows = reduce(DataFrame.unionByName, parts).repartition("rel")  # for both groupings
     none = F.lit(0).cast("long")
     counted = [F.max(F.when(F.col("term") == t.text, F.col("tf"))).alias(f"tf{i}") for i, t in enumerate(terms)]
-    sections = rows.groupBy("rel", "section").agg(of(F.col("head")).alias("head"), of(F.col("body")).alias("body"), F.bool_or("fence").alias("fence"), F.max("n").alias("n"), of((F.col("section") < 0) | (F.col("term") == "")).alias("any"), *counted)
+    sections = rows.groupBy("rel", "section").agg(of(F.col("head")).alias("head"), of(F.col("body")).alias("body"), F.bool_or("fence").alias("fence"), F.max("n").alias("n"), of(F.lit(True)).alias("any"), *counted)
     total, long_ = zero, F.lit(False)
     for i, (t, w) in enumerate(zip(terms, idf)):
         tf = F.col(f"tf{i}").cast("double")

@@ -173,6 +173,7 @@ def query_language(query: str) -> str | None:
 
 # --- the same for a column of queries: built-in expressions ------------------------------------------------------
 
+WORD = "[\\p{L}\\p{N}_]"
 TERM = "array<struct<term: string, weight: double, core: boolean>>"
 
 
@@ -212,7 +213,9 @@ def language_of(query: Column) -> Column:
     words = F.split(low, "\\s+")
     found = None
     for word, tag in LANGUAGES.items():
-        named = F.array_contains(words, word) | low.rlike(f"\\b{re.escape(word)}\\b")
+        # word boundaries as letters and digits of any script make them; behind a mark there is one only before a letter
+        end = f"(?!{WORD})" if word[-1].isalnum() else f"(?={WORD})"
+        named = F.array_contains(words, word) | low.rlike(f"(?<!{WORD}){re.escape(word)}{end}")
         found = F.when(named, tag) if found is None else found.when(named, tag)
     return found
 

@@ -98,7 +98,7 @@ _LANGUAGE = "concat(substr(text, 1, 30), CASE n_chars % 9 WHEN 0 THEN ' in C++ a
 
 
 @query(f"""WITH q AS (SELECT doc_id, lower({_LANGUAGE}) AS q FROM documents), l(i, word, tag) AS (VALUES {", ".join(f"({i}, '{w}', '{t}')" for i, (w, t) in enumerate(search.LANGUAGES.items()))}),
-  hit AS (SELECT doc_id, min(i) AS i FROM q, l WHERE list_contains(string_split_regex(trim(q, ' ' || chr(10) || chr(9)), '\\s+'), word) OR regexp_matches(q, '\\b' || replace(word, '+', '\\+') || '\\b') GROUP BY doc_id)
+  hit AS (SELECT doc_id, min(i) AS i FROM q, l WHERE list_contains(string_split_regex(trim(q, ' ' || chr(10) || chr(9)), '\\s+'), word) OR regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])' || replace(word, '+', '\\+') || CASE WHEN word LIKE '%+' THEN '[\\p{{L}}\\p{{N}}_]' ELSE '([^\\p{{L}}\\p{{N}}_]|$)' END) GROUP BY doc_id)
   SELECT q.doc_id, tag AS language FROM q LEFT JOIN hit USING (doc_id) LEFT JOIN l USING (i)""")
 def tok4_query_languages(spark, sf_dir):
     return rows(spark, sf_dir, "documents", "doc_id", f"{_LANGUAGE} AS q").select("doc_id", search.language_of(F.col("q")).alias("language"))
