@@ -75,9 +75,19 @@ def _found(automaton, text: str) -> dict[tuple[str, str, str], list[int]]:
     return out
 
 
-def mentions(notes: DataFrame, words: DataFrame) -> DataFrame:
+def _apart(places: list[int], length: int) -> int:
+    """How many of the ascending places of a term are left when, from the left, each takes its characters away."""
+    n, free = 0, 0
+    for at in places:
+        if at >= free:
+            n, free = n + 1, at + length
+    return n
+
+
+def mentions(notes: DataFrame, words: DataFrame, overlapping: bool = True) -> DataFrame:
     """(rel, term, target, source, n, first): terms whose characters a note has somewhere, how often and where first (from 0); its own are left out.
 
+    overlapping: whether places of a term that overlap each other all count; else those count that replacing the term from the left would meet.
     Null contents have none, repeated notes are reported each time; a note without a rel is left out, as is a dictionary's empty term.
     """
     ship(notes.sparkSession)
@@ -91,7 +101,7 @@ def mentions(notes: DataFrame, words: DataFrame) -> DataFrame:
                 for i, text in enumerate(batch.column(1).to_pylist()):
                     for (term, target, source), places in _found(known.value, text).items():
                         at.append(i)
-                        out.append((term, target, source, len(places), places[0]))
+                        out.append((term, target, source, len(places) if overlapping else _apart(places, len(term)), places[0]))
                 columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=["rel", "term", "target", "source", "n", "first"])
 

@@ -203,8 +203,9 @@ def _words(spark, sf_dir):
 @query(f"""WITH w AS ({_WORDS}) SELECT doc_id::VARCHAR AS rel, term, target, strpos(text, term) - 1 AS first,
   (length(text) - length(replace(text, term, ''))) // length(term) AS n FROM documents JOIN w ON contains(text, term)""")
 def join9_term_mentions(spark, sf_dir):
-    """Words of the benchmark in documents; none of them can overlap itself, so their number is what replacing them takes away."""
-    return linker.mentions(rows(spark, sf_dir, "documents", "CAST(doc_id AS STRING) AS rel", "text AS content"), _words(spark, sf_dir)).select("rel", "term", "target", "n", "first")
+    """Words of the benchmark in documents, as often as replacing them would meet them: a word can overlap itself."""
+    found = linker.mentions(rows(spark, sf_dir, "documents", "CAST(doc_id AS STRING) AS rel", "text AS content"), _words(spark, sf_dir), overlapping=False)
+    return found.select("rel", "term", "target", "n", "first")
 
 
 _ONE_LINE = "trim(regexp_replace(text, '[^A-Za-zÀ-ÿ .,]+', ' '{}))"

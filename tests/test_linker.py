@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from corvane import catalog
 from corvane.operators import linker
 
 TERMS = ["cache", "cache line", "line", "lines", "aa", "aaa", "并发", "并发设计", "std-mutex", "mutex", "C++ note", "note-x"]
@@ -75,3 +76,15 @@ def test_against_plain_versions(spark, monkeypatch, most):
 def test_without_words(spark):
     df, none = spark.createDataFrame([("a", "cache")], "rel string, content string"), spark.createDataFrame([], "term string, target string, source string")
     assert linker.mentions(df, none).count() == 0 and linker.link(df, none).count() == 0
+
+
+def test_terms_that_overlap_themselves(spark, duck, tmp_path):
+    texts = ["x elleelleelleelle", "elleelleelle elleelle", "none"]
+    spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(27, "elleelle")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    sql = catalog.oracle_sql()["join9_term_mentions"]
+    for name in ("documents", "benchmark"):
+        sql = sql.replace(f"FROM {name}", f"FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = sorted(duck.sql(f"SELECT rel, term, n, first FROM ({sql})").fetchall())
+    found = catalog.queries()["join9_term_mentions"](spark, str(tmp_path)).select("rel", "term", "n", "first")
+    assert sorted(tuple(r) for r in found.collect()) == want == [("0", "elleelle", 2, 2), ("1", "elleelle", 2, 0)]
