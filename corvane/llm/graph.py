@@ -15,15 +15,15 @@ def components(edges: DataFrame, files: int | None = None) -> DataFrame:
     rounds grow with the logarithm of the longest chain. Each round's edges are written to the
     shared folder, in so many files at most, and those of the round before are deleted.
     """
+    pairs = lambda df, *ends: df.select(F.explode(F.array(*[F.struct(F.col(u).alias("u"), F.col(v).alias("v")) for u, v in ends])).alias("x")).select("x.*")
     edges = table(edges.select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).where("u <> v").distinct(), files)
     state = None
     while True:
-        both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = pairs(edges, ("u", "v"), ("v", "u"))
         low = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(joined.select("u", F.col("m").alias("v")))
+        small = pairs(large.join(low, "u"), ("v", "m"), ("u", "m"))
         before, edges = edges, table(small.where("u <> v").distinct(), files)
         drop(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

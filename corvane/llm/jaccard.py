@@ -21,6 +21,8 @@ are compared across blocks, with each other and with the hub's component, a pair
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,7 @@ from .storage import drop, table
 BLOCK_ROWS = 128
 LEAST_FILES = 24  # of an intermediate table; larger inputs have one for 8 groups of documents
 STEP = 1.05  # of the size histogram
+SIGNATURES = 1 << 16  # that a batch has, about
 
 _FP = "g int, doc_id long, n_shingles long, f1 long, f2 long"
 _PRINT = ["n_shingles", "f1", "f2"]
@@ -140,15 +143,31 @@ def _step(n) -> F.Column:
 
 
 def _signatures(sets: DataFrame, last_small: int, num: int, den: int) -> DataFrame:
-    small = _step("n") <= last_small
-    least_large = float(STEP ** (last_small + 1))
-    pairs = (
-        sets.where(small).select("doc_id", "elements", F.posexplode("elements").alias("i", "e"))
-        .select("doc_id", "e", F.explode(F.slice("elements", F.col("i") + 2, F.size("elements"))).alias("f"))
-        .select("doc_id", F.xxhash64(F.lit(2), "e", "f").alias("sig"))
-    )
-    lists = sets.where(~small | (F.col("n") * den >= F.lit(num * least_large - den))).select("doc_id", F.explode(F.slice("elements", F.lit(1), F.col("n_first"))).alias("e")).select("doc_id", F.xxhash64(F.lit(1), "e").alias("sig"))
-    return pairs.unionByName(lists)
+    """(doc_id, sig): the subsets of small sets and the list entries of large ones, in one pass over the sets and in pieces of about SIGNATURES."""
+    lists = (_step("n") > last_small) | (F.col("n") * den >= F.lit(num * float(STEP ** (last_small + 1)) - den))
+
+    def run(batches):
+        for batch in batches:
+            ids, size, out = [], 0, []
+            for doc_id, small, in_lists, elements, n_first in zip(*(c if c.type == pa.list_(pa.int64()) else c.to_numpy(zero_copy_only=False) for c in batch.columns)):
+                e = elements.values.to_numpy().view(np.uint64)
+                left = tk.mix(e ^ tk.U(0x9E3779B97F4A7C15))
+                posted = [tk.mix(e[:n_first] ^ tk.U(0xD1B54A32D192ED03))] if in_lists else []
+                for piece in chain(posted, (tk.mix(left[i] + e[i + 1 :]) for i in range(len(e) - 1 if small else 0))):
+                    out.append(piece)
+                    ids.append(np.full(len(piece), doc_id))
+                    size += len(piece)
+                    if size >= SIGNATURES:
+                        yield _signed(ids, out)
+                        ids, size, out = [], 0, []
+            if size:
+                yield _signed(ids, out)
+
+    return sets.select("doc_id", (_step("n") <= last_small).alias("small"), lists.alias("lists"), "elements", "n_first").mapInArrow(tk.tidy_map(run), "doc_id long, sig long")
+
+
+def _signed(ids: list[np.ndarray], out: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(out).view(np.int64))], names=["doc_id", "sig"])
 
 
 def _connect(members: pa.Table, comp: np.ndarray, num: int, den: int, across: np.ndarray | None = None) -> np.ndarray:
@@ -214,7 +233,7 @@ def links(docs: DataFrame, parts: int, files: int, reps: DataFrame, n: int, num:
     count_blocks = F.ceil(F.count("*") / BLOCK_ROWS).cast("int")
     dealt = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
     # few hubs have more members than a block: their sizes are a small table, so that Spark need not bring a hub's members together
-    large = members.groupBy("hub").agg(count_blocks.alias("blocks")).where("blocks > 1")
+    large = table(members.groupBy("hub").agg(count_blocks.alias("blocks")).where("blocks > 1"), files)
     own = members.where("doc_id <> hub").join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("hub", dealt, "doc_id")
     with_hub = own.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("doc_id"))
     blobs = sets.select("doc_id", "blob")
@@ -222,7 +241,7 @@ def links(docs: DataFrame, parts: int, files: int, reps: DataFrame, n: int, num:
     edges = local.where("root <> doc_id").select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
 
     # what is not connected to its hub yet, against itself and against what is
-    left = local.join(large.select("hub"), "hub", "left_semi").where("doc_id <> hub")
+    left = table(local.join(large.select("hub"), "hub", "left_semi").where("doc_id <> hub"), files)
     alone, joined = left.where("root <> hub"), left.where("root = hub")
     sizes = alone.groupBy("hub").agg(count_blocks.alias("blocks"))
     dealt_to = lambda rows, sizes: rows.join(sizes, "hub").select("hub", "doc_id", "root", dealt)
@@ -232,7 +251,7 @@ def links(docs: DataFrame, parts: int, files: int, reps: DataFrame, n: int, num:
     everyone = one.unionByName(other).join(many, "hub")
     partners = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("n_alone") - 1)).otherwise(F.sequence(-F.coalesce("n_joined", F.lit(0)), F.col("n_alone") - 1))
     pairs = everyone.select("hub", "doc_id", "root", "block", F.explode(partners).alias("other")).select("hub", "doc_id", "root", "block", F.least("block", "other").alias("lower"), F.greatest("block", "other").alias("upper"))
-    return edges.unionByName(pairs.join(blobs, "doc_id").groupBy("hub", "lower", "upper").applyInArrow(tk.tidy(_across_blocks(num, den)), "a long, b long")), [sets, members, local]
+    return edges.unionByName(pairs.join(blobs, "doc_id").groupBy("hub", "lower", "upper").applyInArrow(tk.tidy(_across_blocks(num, den)), "a long, b long")), [sets, members, large, local, left]
 
 
 def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10) -> DataFrame:
@@ -256,10 +275,11 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 9, den: int = 10)
     own_print = F.struct(*_PRINT)
     several = worded.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(own_print).alias("low"), F.max(own_print).alias("high")).where("low <> high").select("doc_id")
     own = worded.join(several, "doc_id").join(classes, _PRINT).select("doc_id", "rep").distinct()
+    own = table(own, files)
     same = own.join(own.groupBy("doc_id").agg(F.min("rep").alias("low")), "doc_id").select(F.col("rep").alias("a"), F.col("low").alias("b"))
     linked, used = links(grouped, parts, files, reps, n, num, den)
     found = components(linked.unionByName(same), files)
-    drop(*used)
+    drop(own, *used)
     classes = classes.join(found, F.col("rep") == F.col("node"), "left").select(*_PRINT, "m", F.coalesce("root", "rep").alias("component_id"))
     # a class with very many rows is sent to them: at most HOT_SHARE classes are that large
     is_hot = F.col("m") * HOT_SHARE >= F.lit(total)

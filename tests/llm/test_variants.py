@@ -256,3 +256,19 @@ def test_stages_can_be_chained_without_writing(spark, sf):
         two = stage(spark, two, sf)  # the tables that the first chain still reads stay
     rows = lambda df: sorted((r.doc_id, r.n_tokens, tuple(r.ids)) for r in df.collect())
     assert rows(one) == rows(two) and len(rows(one)) > 10
+
+
+def test_signatures_in_small_pieces(spark, monkeypatch):
+    """All subsets of small sets and the entries of large ones, whatever the size of a piece."""
+    from corvane.llm import jaccard
+
+    monkeypatch.setattr(jaccard, "SIGNATURES", 3)
+    rows = [(1, 20, [5, 6, 7, 8], 2, 0.0, None), (2, 20, [6, 8], 1, 0.0, None), (3, 4000, [5, 6, 8], 2, 0.0, None), (4, 20, [9], 0, 0.0, None)]
+    sets = spark.createDataFrame(rows, jaccard._SETS)
+    last_small = sets.where("doc_id = 1").select(jaccard._step("n")).first()[0]
+    found = jaccard._signatures(sets, last_small, 9, 10).collect()
+    of = {i: {r.sig for r in found if r.doc_id == i} for i in (1, 2, 3, 4)}
+    assert len(found) == 12 and [len(of[i]) for i in (1, 2, 3, 4)] == [6 + 2, 1 + 1, 2, 0]  # small ones near the boundary are in lists too
+    assert of[2] < of[1] and len(of[3] & of[1]) == 2 and len(of[3] & of[2]) == 1
+    assert "Generate" not in jaccard._signatures(sets, last_small, 9, 10)._jdf.queryExecution().toString()
+    assert jaccard._signatures(sets, last_small - 1, 9, 10).count() == 5  # all are large
