@@ -155,3 +155,20 @@ def test_recent_orders_of_one_day_by_number(spark, duck, tmp_path):
     want = duck.sql(catalog.oracle_sql()["cls13_recently_changed"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")).fetchall()
     found = catalog.queries()["cls13_recently_changed"](spark, str(tmp_path))
     assert [tuple(r) for r in found.collect()] == want == [(k,) for k in (3, 8, 9, 20, 41, 77, 100, 500)]
+
+
+@pytest.mark.parametrize("slice_bytes", [1, 1 << 20])
+def test_digests_of_long_files_in_slices(spark, slice_bytes):
+    """The digest of each file is that of its whole content, which no grouping holds."""
+    columns = "tag string, type string, name string, standards string, cheatsheet string, target string, target_dir string, target_project string"
+    routes = spark.createDataFrame([("lang/x", "dual", "x", "S.md", "C.md", None, None, None), ("lang/y", "rule-append", "y", None, None, "R.md", None, None)], columns)
+    fallback = spark.createDataFrame([("default", "source-article", "A", None, None, None, "Art", None)], columns.replace("tag", "type_of", 1))
+    drafts = [(f"n{i:03}", "T" if i % 7 else "Ä", None, [["lang/x"], ["lang/y"], []][i % 3]) for i in range(90)]
+    planned = consolidate.plan(spark.createDataFrame(drafts, "rel string, title string, type string, tags array<string>"), routes, fallback)
+    texts = spark.createDataFrame([(d[0], f"body ü {d[0]}\n" * 40 if int(d[0][1:]) % 11 and d[0] != "n089" else None) for d in drafts], "rel string, content string")
+    files = spark.createDataFrame([("R.md", "old")], "rel string, content string")
+    day = F.lit("2024-01-02").cast("date")
+    pieces = consolidate.pieces(planned, texts, files, day)
+    want = rows(consolidate.rendered(planned, texts, files, day).select("target_path", "n_drafts", F.md5("content")))
+    assert rows(consolidate.digests(pieces, slice_bytes)) == want and len(want) == 4 and any(w[2] is None for w in want)
+    assert "collect_list" not in consolidate.digests(pieces)._jdf.queryExecution().toString()
