@@ -21,8 +21,6 @@ are compared across blocks, with each other and with the hub's component, a pair
 
 from __future__ import annotations
 
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,6 +35,8 @@ BLOCK_ROWS = 128
 LEAST_FILES = 24  # of an intermediate table; larger inputs have one for 8 groups of documents
 STEP = 1.05  # of the size histogram
 SIGNATURES = 1 << 16  # that a batch has, about
+GROUP_SIGNATURES, PART_SIGNATURES = 1 << 19, 1 << 20  # of a group of sets, and of a part of the hash space, about
+PIECE = 1 << 18  # signatures of one set that a group gets
 
 _FP = "g int, doc_id long, n_shingles long, f1 long, f2 long"
 _PRINT = ["n_shingles", "f1", "f2"]
@@ -142,32 +142,92 @@ def _step(n) -> F.Column:
     return F.floor(F.log(F.col(n).cast("double")) / F.lit(float(np.log(STEP)))).cast("int")
 
 
+def _asking(sets: DataFrame, last_small: int, num: int, den: int) -> DataFrame:
+    """(doc_id, small, lists, elements, n_first, m): which sets put out subsets, which are in lists, and how many signatures that makes."""
+    small = _step("n") <= last_small
+    lists = ~small | (F.col("n") * den >= F.lit(num * float(STEP ** (last_small + 1)) - den))
+    subsets = (F.size("elements").cast("long") * (F.size("elements") - 1) / 2).cast("long")
+    m = F.when(F.col("lists"), F.col("n_first").cast("long")).otherwise(0) + F.when(F.col("small"), subsets).otherwise(0)
+    return sets.select("doc_id", small.alias("small"), lists.alias("lists"), "elements", "n_first").withColumn("m", m)
+
+
+def _signed(e: np.ndarray, n_first: int, small: bool, lists: bool, piece: int = 0, pieces: int = 1) -> np.ndarray:
+    """The signatures of a set, or one of several pieces of them."""
+    i = np.arange(piece, len(e) - 1 if small else 0, pieces)
+    size = len(e) - 1 - i
+    subsets = tk.mix(np.repeat(tk.mix(e[i] ^ tk.U(0x9E3779B97F4A7C15)), size) + e[tk.ranges(i + 1, size)])
+    return np.concatenate((tk.mix(e[:n_first][piece::pieces] ^ tk.U(0xD1B54A32D192ED03)), subsets)) if lists else subsets
+
+
+def _rows_of(rows: pa.Table | pa.RecordBatch, *names: str):
+    """The named columns as numpy values, row by row, behind the elements of each."""
+    elements = (e.values.to_numpy().view(np.uint64) for e in rows["elements"])
+    return zip(elements, *(rows[c].to_numpy(zero_copy_only=False) if isinstance(rows, pa.RecordBatch) else rows[c].to_numpy() for c in names))
+
+
 def _signatures(sets: DataFrame, last_small: int, num: int, den: int) -> DataFrame:
-    """(doc_id, sig): the subsets of small sets and the list entries of large ones, in one pass over the sets and in pieces of about SIGNATURES."""
-    lists = (_step("n") > last_small) | (F.col("n") * den >= F.lit(num * float(STEP ** (last_small + 1)) - den))
+    """(doc_id, sig): the subsets of small sets and the list entries of large ones, in one pass over the sets and in pieces of about SIGNATURES.
+
+    The plain form of what _members sends packed."""
 
     def run(batches):
         for batch in batches:
             ids, size, out = [], 0, []
-            for doc_id, small, in_lists, elements, n_first in zip(*(c if c.type == pa.list_(pa.int64()) else c.to_numpy(zero_copy_only=False) for c in batch.columns)):
-                e = elements.values.to_numpy().view(np.uint64)
-                left = tk.mix(e ^ tk.U(0x9E3779B97F4A7C15))
-                posted = [tk.mix(e[:n_first] ^ tk.U(0xD1B54A32D192ED03))] if in_lists else []
-                for piece in chain(posted, (tk.mix(left[i] + e[i + 1 :]) for i in range(len(e) - 1 if small else 0))):
-                    out.append(piece)
-                    ids.append(np.full(len(piece), doc_id))
-                    size += len(piece)
+            for e, doc_id, n_first, small, lists, m in _rows_of(batch, "doc_id", "n_first", "small", "lists", "m"):
+                pieces = max(1, int(m) // SIGNATURES)
+                for piece in range(pieces):
+                    out.append(_signed(e, n_first, small, lists, piece, pieces))
+                    ids.append(np.full(len(out[-1]), doc_id))
+                    size += len(out[-1])
                     if size >= SIGNATURES:
-                        yield _signed(ids, out)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(out).view(np.int64))], names=["doc_id", "sig"])
                         ids, size, out = [], 0, []
             if size:
-                yield _signed(ids, out)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(out).view(np.int64))], names=["doc_id", "sig"])
 
-    return sets.select("doc_id", (_step("n") <= last_small).alias("small"), lists.alias("lists"), "elements", "n_first").mapInArrow(tk.tidy_map(run), "doc_id long, sig long")
+    return _asking(sets, last_small, num, den).mapInArrow(tk.tidy_map(run), "doc_id long, sig long")
 
 
-def _signed(ids: list[np.ndarray], out: list[np.ndarray]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids), pa.int64()), pa.array(np.concatenate(out).view(np.int64))], names=["doc_id", "sig"])
+def _members(sets: DataFrame, last_small: int, num: int, den: int) -> DataFrame:
+    """(hub, doc_id): the sets that share a signature with another, with the smallest doc_id of those that share it; the hub has no row of its own.
+
+    Sets are dealt into groups of about GROUP_SIGNATURES. A group sends its distinct signatures, each with the smallest doc_id that it has there, and hears the smallest of all:
+    a signature of very many documents costs one entry for each group. A set with more signatures than PIECE is dealt into several groups.
+    """
+    rows = _asking(sets, last_small, num, den).where("m > 0")
+    total = rows.agg(F.sum("m")).first()[0] or 0
+    groups, parts = max(ex.LEAST, total // GROUP_SIGNATURES), max(8, total // PART_SIGNATURES)
+    pieces = F.ceil(F.col("m") / PIECE).cast("int")
+    rows = rows.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).drop("m")
+    rows = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)).cast("int"))
+
+    def signed(table_: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        found = [_signed(e, *how) for e, *how in _rows_of(table_, "n_first", "small", "lists", "piece", "pieces")]
+        return np.concatenate(found), np.repeat(table_["doc_id"].to_numpy(), [len(x) for x in found])
+
+    def ask(key: tuple, own: pa.Table) -> pa.Table:
+        sigs, ids = signed(own)
+        order = np.lexsort((ids, sigs))
+        keys, at = np.unique(sigs[order], return_index=True)
+        return ex.ask_table(key[0].as_py(), keys, ids[order][at], parts)
+
+    def smallest(index, pay, _):
+        low = np.full(int(index.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(low, index, pay)
+        return low[index]
+
+    def meet(key: tuple, own: pa.Table, replies: pa.Table) -> pa.Table:
+        sigs, ids = signed(own)
+        hubs = ex.answers(replies, np.int64)[np.unique(sigs, return_inverse=True)[1]]
+        hubs, ids = hubs[hubs != ids], ids[hubs != ids]
+        order = np.lexsort((ids, hubs))
+        hubs, ids = hubs[order], ids[order]
+        new = np.ones(len(ids), bool)
+        new[1:] = (hubs[1:] != hubs[:-1]) | (ids[1:] != ids[:-1])
+        return pa.table({"hub": pa.array(hubs[new], pa.int64()), "doc_id": pa.array(ids[new], pa.int64())})
+
+    replies = ex.merge(rows.groupBy("g").applyInArrow(tk.tidy(ask), ex.ASK), smallest, np.int64)
+    return rows.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(tk.tidy(meet), "hub long, doc_id long").distinct()
 
 
 def _connect(members: pa.Table, comp: np.ndarray, num: int, den: int, across: np.ndarray | None = None) -> np.ndarray:
@@ -227,14 +287,12 @@ def links(docs: DataFrame, parts: int, files: int, reps: DataFrame, n: int, num:
     """A spanning forest (a, b) of the links between class representatives, and the tables that it is read from. docs: (g, doc_id, text); reps: (g, doc_id)."""
     replies = _element_counts(docs, reps, n, parts)
     sets = table(_candidates(docs, reps, replies, n, num, den), files)
-    signatures = _signatures(sets, boundary(sets), num, den)
-    lists = signatures.groupBy("sig").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m")).where("m > 1").select("sig", "hub")
-    members = table(signatures.join(lists, "sig").select("hub", "doc_id").distinct(), files)
+    members = table(_members(sets, boundary(sets), num, den), files)
     count_blocks = F.ceil(F.count("*") / BLOCK_ROWS).cast("int")
     dealt = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
     # few hubs have more members than a block: their sizes are a small table, so that Spark need not bring a hub's members together
     large = table(members.groupBy("hub").agg(count_blocks.alias("blocks")).where("blocks > 1"), files)
-    own = members.where("doc_id <> hub").join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("hub", dealt, "doc_id")
+    own = members.join(large, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select("hub", dealt, "doc_id")
     with_hub = own.select("hub", "block").distinct().select("hub", "block", F.col("hub").alias("doc_id"))
     blobs = sets.select("doc_id", "blob")
     local = table(own.unionByName(with_hub).join(blobs, "doc_id").groupBy("hub", "block").applyInArrow(tk.tidy(_within_block(num, den)), "hub long, doc_id long, root long"), files)

@@ -272,3 +272,24 @@ def test_signatures_in_small_pieces(spark, monkeypatch):
     assert of[2] < of[1] and len(of[3] & of[1]) == 2 and len(of[3] & of[2]) == 1
     assert "Generate" not in jaccard._signatures(sets, last_small, 9, 10)._jdf.queryExecution().toString()
     assert jaccard._signatures(sets, last_small - 1, 9, 10).count() == 5  # all are large
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 3])
+def test_members_of_hubs_without_rows_for_signatures(spark, monkeypatch, piece):
+    """The same members as from a join of all signatures with themselves, though no row for each moves; also where a set is dealt into pieces."""
+    from corvane.llm import jaccard
+
+    for name, size in (("PIECE", piece), ("GROUP_SIGNATURES", 64), ("PART_SIGNATURES", 64)):
+        monkeypatch.setattr(jaccard, name, size)
+    rows = [(i - 3, 20 + i % 3 * 2000, [j * 7919 for j in range(i % 9, i % 9 + 4 + i % 5)] + [i], 3, 0.0, None) for i in range(120)]  # one element is in many sets
+    sets = spark.createDataFrame([*rows, (500, 30, [12345], 0, 0.0, None)], jaccard._SETS)
+    last_small = sets.where("n = 2020").select(jaccard._step("n")).first()[0]
+    for at in (-1, last_small, last_small + 100):
+        together = {}
+        for r in jaccard._signatures(sets, at, 9, 10).collect():
+            together.setdefault(r.sig, set()).add(r.doc_id)
+        want = {(min(ids), i) for ids in together.values() for i in ids if i != min(ids)}
+        members = jaccard._members(sets, at, 9, 10)
+        found = [tuple(r) for r in members.collect()]
+        assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
+        assert "Join" not in members._jdf.queryExecution().toString()
