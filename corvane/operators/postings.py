@@ -63,15 +63,17 @@ def _postings(notes: DataFrame, buckets: int) -> DataFrame:
     """(bucket, term, rel, section, tf, n, area) of notes (rel, title, tags, content, sections)."""
     whole = lambda s: F.concat_ws("\n", s["heading"], s["body"])
     s = notes.select("rel", F.posexplode("sections").alias("section", "s")).select("rel", "section", "s.heading", "s.body", whole(F.col("s")).alias("text"))
-    fence = F.when(F.contains("body", F.lit("```")), FENCE).otherwise(0)
-    s = s.select("rel", "section", T.token_bags(F.col("text")).alias("b"), _runs(F.col("heading")).alias("h"), _runs(F.col("body")).alias("r"), fence.alias("fence"))
+    fence = F.when(F.contains("body", F.lit("```")), FENCE).otherwise(0).cast("int")
     # the words of a body without a heading are known from its tokens; beside others, and beside CJK runs, places come in rows of their own
-    plain = (F.size("h") == 0) & ~F.exists("r", lambda x: x.rlike(T.CJK))
-    at = lambda xs, area: F.transform(xs, lambda x: F.struct(x.alias("term"), area.cast("int").alias("area")))
-    inside = F.concat(at("b.words", F.when(plain, F.col("fence") + BODY).otherwise(0)), at("b.parts", F.lit(0)))
-    tokens = s.select("rel", "section", T.token_count(F.col("b")).alias("n"), F.explode(inside).alias("x")).select("rel", "section", "n", "x.term", F.lit(1).alias("tf"), "x.area")
-    areas = s.where(~plain).select("rel", "section", F.lit(0).alias("n"), F.explode(F.concat(at("h", F.lit(HEADING)), at("r", F.col("fence") + BODY))).alias("x"))
-    areas = areas.select("rel", "section", "n", "x.term", F.lit(0).alias("tf"), "x.area")
+    plain = ~F.lower(F.coalesce("heading", F.lit(""))).rlike(RUN) & ~F.coalesce("body", F.lit("")).rlike(T.CJK)
+    s = s.select("rel", "section", "heading", "body", T.token_bags(F.col("text")).alias("b"), plain.alias("plain"), fence.alias("fence"))
+    # what a function of each word asks for is a column: it would be computed for each word of the section
+    s = s.withColumns({"n": T.token_count(F.col("b")), "area": F.when(F.col("plain"), F.col("fence") + BODY).otherwise(0), "around": F.col("fence") + BODY})
+    at = lambda xs, tf, area: F.transform(xs, lambda x: F.struct(x.alias("term"), F.lit(tf).alias("tf"), area.alias("area")))
+    places = F.concat(at(_runs(F.col("heading")), 0, F.lit(HEADING)), at(_runs(F.col("body")), 0, F.col("around")))
+    inside = F.concat(at("b.words", 1, F.col("area")), at("b.parts", 1, F.lit(0)), F.when(~F.col("plain"), places).otherwise(F.array().cast("array<struct<term:string,tf:int,area:int>>")))
+    tokens = s.select("rel", "section", "n", F.explode(inside).alias("x"))
+    tokens = tokens.select("rel", "section", F.when(F.col("x.tf") > 0, F.col("n")).otherwise(0).alias("n"), "x.term", "x.tf", "x.area")
 
     def of(k: int, text: Column) -> Column:
         return F.transform(_runs(text), lambda x: F.struct(x.alias("term"), F.lit(k).alias("section")))
@@ -81,7 +83,7 @@ def _postings(notes: DataFrame, buckets: int) -> DataFrame:
     outside = ~F.col("content").eqNullSafe(F.array_join(F.transform("sections", whole), "\n"))
     content = notes.where(outside).select("rel", T.token_bags(F.col("content"), distinct=True).alias("b"), _runs(F.col("content")).alias("r"))
     content = content.select("rel", F.lit(CONTENT).alias("section"), F.lit(0).alias("n"), F.explode(F.array_distinct(F.concat("b.words", "b.parts", "r"))).alias("term"), F.lit(0).alias("tf"), F.lit(0).alias("area"))
-    rows = reduce(DataFrame.unionByName, (tokens, areas, beside, content))
+    rows = reduce(DataFrame.unionByName, (tokens, beside, content))
     rows = rows.select(_bucket("term", buckets).alias("bucket"), F.pmod(F.xxhash64("rel"), F.lit(SALTS)).alias("salt"), "*").repartition("bucket", "salt")
     return rows.groupBy("bucket", "salt", "term", "rel", "section").agg(F.sum("tf").cast("int").alias("tf"), F.max("n").alias("n"), F.bit_or("area").cast("int").alias("area")).drop("salt")
 

@@ -96,3 +96,22 @@ def test_dead_publishers_hide_nothing(spark, tmp_path):
         sinks.publish(spark.range(2), root, None)
     assert sinks.publish(spark.range(5), root, name) == sinks.current(spark, root)
     assert sinks.read_snapshot(spark, root).count() == 5
+
+
+def test_places_of_a_section_of_very_many_words(spark):
+    """What tells where words stand is asked once for a section, not once for each pair of its words."""
+    import time
+
+    words = 20_000
+    body = " ".join(f"w{i}" for i in range(words))
+    shape = "rel int, title string, tags array<string>, kind string, content string, sections array<struct<heading: string, body: string>>"
+    # by rel: a body alone, one beside a heading, one beside CJK, one with a fence
+    rows = [(1, "t", [], "k", body, [(None, body)]), (2, "t", [], "k", "head one\none two", [("head one", "one two")]), (3, "t", [], "k", "one 中文", [(None, "one 中文")]), (4, "t", [], "k", "``` x", [(None, "``` x")])]
+    start = time.time()
+    found = postings._postings(spark.createDataFrame(rows, shape), 4).where("section >= 0").collect()
+    assert time.time() - start < 25
+    of = lambda rel: {(r.term, r.tf, r.n, r.area) for r in found if r.rel == rel}
+    assert of(1) == {(f"w{i}", 1, words, 2) for i in range(words)}
+    assert of(2) == {("head", 1, 4, 1), ("one", 2, 4, 3), ("two", 1, 4, 2)}
+    assert {("one", 1, 2), ("中文", 1, 2)} <= {(t, tf, area) for t, tf, _, area in of(3)}
+    assert of(4) == {("x", 1, 1, 6)}
