@@ -112,34 +112,40 @@ def _sample(docs: DataFrame) -> DataFrame:
 def _features(docs: DataFrame) -> list:
     """(lang, buckets, weights) of the sample, and of the disguised copies with a null lang.
 
-    At most BUCKETS numbers for each row, whatever its length, and 2 * MOST_ROWS rows reach the driver.
+    At most BUCKETS numbers for each row, whatever its length, and 2 * MOST_ROWS rows reach the driver, where Spark holds several copies of
+    them on their way: they come as packed buckets and counts and become weights there.
     """
 
     def counted(data, off):
         buckets, at = subwords(data, off)
         for a, b in zip(at[:-1], at[1:]):
             ids, counts = np.unique(buckets[a:b], return_counts=True)
-            yield ids, (counts / max(1, b - a)).astype(np.float32)
+            yield tk.pack(ids.astype(np.uint16), delta=True), tk.pack(counts.astype(np.uint32))
 
     def run(batches):
         for batch in batches:
             ids, lang = batch.column("h").to_pylist(), batch.column("lang").to_pylist()
             out = []
             for first, data, off in tk.blocks(batch.column("text")):
-                for i, (buckets, weights) in enumerate(counted(data, off)):
-                    out.append((ids[first + i], lang[first + i], buckets, weights))
+                for i, packed in enumerate(counted(data, off)):
+                    out.append((ids[first + i], lang[first + i], *packed))
                 for i in range(len(off) - 1):
                     if ids[first + i] >> 40 & 1:
                         text = data[off[i] : off[i + 1]]
                         rng = np.random.default_rng(abs(ids[first + i]))
                         out += [(ids[first + i], None, *x) for x in counted(disguised(text, np.array([0, len(text)]), rng), np.array([0, len(text)]))]
             columns = list(zip(*out)) or [()] * 4
-            kinds = (pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["h", "lang", "ids", "weights"])
+            kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["h", "lang", "ids", "counts"])
 
-    rows = docs.select("h", "text", "lang").mapInArrow(tk.tidy_map(run), "h long, lang string, ids array<int>, weights array<float>").toArrow()
+    rows = docs.select("h", "text", "lang").mapInArrow(tk.tidy_map(run), "h long, lang string, ids binary, counts binary").toArrow()
     order = sorted(range(rows.num_rows), key=lambda i: (rows["h"][i].as_py(), rows["lang"][i].as_py() or "", rows["lang"][i].as_py() is None))
-    return [(rows["lang"][i].as_py(), rows["ids"][i].values.to_numpy(), rows["weights"][i].values.to_numpy()) for i in order if len(rows["ids"][i].values)]
+    out = []
+    for i in order:
+        ids, counts = tk.unpack(rows["ids"][i].as_py(), np.uint16, delta=True), tk.unpack(rows["counts"][i].as_py(), np.uint32)
+        if len(ids):
+            out.append((rows["lang"][i].as_py(), ids.astype(np.int32), (counts / counts.sum()).astype(np.float32)))
+    return out
 
 
 def fit(rows: list, dim: int = 16, epochs: int = 6, rate: float = 4.0, seed: int = 7) -> LanguageModel | None:

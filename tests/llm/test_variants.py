@@ -293,3 +293,19 @@ def test_members_of_hubs_without_rows_for_signatures(spark, monkeypatch, piece):
         found = [tuple(r) for r in members.collect()]
         assert len(found) == len(set(found)) and set(found) == want and len(want) > 100
         assert "Join" not in members._jdf.queryExecution().toString()
+
+
+def test_language_sample_comes_to_the_driver_packed(spark, sf, monkeypatch):
+    """Less than half of the eight bytes for each bucket and weight; unpacked, they are the shares of the buckets in a text."""
+    came, kind = [], type(spark.range(1))
+    plain = kind.toArrow
+    monkeypatch.setattr(kind, "toArrow", lambda self: came.append(plain(self)) or came[-1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = langid._features(langid._sample(docs.select("doc_id", "text", "lang")))
+    assert sum(t.nbytes for t in came) < 4 * sum(len(ids) for _, ids, _ in rows) and len(rows) > 50
+    want = set()
+    for text in [r.text.encode() for r in docs.where("text IS NOT NULL").select("text").collect()]:
+        buckets, _ = langid.subwords(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+        ids, counts = np.unique(buckets, return_counts=True)
+        want.add((ids.astype(np.int32).tobytes(), (counts / max(1, len(buckets))).astype(np.float32).tobytes()))
+    assert all((ids.tobytes(), weights.tobytes()) in want for lang, ids, weights in rows if lang is not None)
